@@ -13,6 +13,9 @@ like any other; an empty table gives an empty result; other columns are not look
 
 from __future__ import annotations
 
+import functools
+import json
+import re
 import zlib
 from collections import defaultdict
 
@@ -41,21 +44,73 @@ def cut(n: int, size: int = SEQUENCE) -> list[tuple[int, int]]:
     return [(0, head)] + [(k, size) for k in range(head, n, size)]
 
 
-def _piecer(path: str, size: int, end_id: int):
-    def run(batches):
+class Encoder:
+    """Ids of whole texts as little-endian 32-bit bytes.
+
+    A byte-level tokenizer splits at fixed places before it merges, so the ids of a text are those of its chunks, and chunks that come again
+    are looked up. Chunks end where the tokenizer surely splits: before white space, and between letters of the Latin blocks
+    and ASCII signs. Other tokenizers, and texts with an added token, are encoded whole.
+    """
+
+    KEPT = 700_000
+    LONGEST = 64
+    _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+    _SIGN = "!-/:-@\\[-`{-~"
+    _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
+    CHUNK = re.compile(f" ?[{_LETTER}]+(?![^{_SPACE}{_SIGN}])|[{_SIGN}]+(?=[{_SPACE}])| ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
+    WORD = re.compile(f" ?[{_LETTER}]+")
+
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_file(path)
+        spec = json.loads(self.tokenizer.to_str())
+        split = spec["pre_tokenizer"] or {}
+        self.by_chunk = split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space") and spec["normalizer"] is None
+        self.added = [t["content"] for t in spec["added_tokens"]]
+        self.model, self.known = self.tokenizer.model, {}
+        # byte-level alphabets write printable bytes as themselves and the others, in order, from 256 on
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in set(shown)]
+        self.alphabet = {b: b for b in shown} | {b: 256 + k for k, b in enumerate(hidden)}
+
+    def _chunk(self, chunk: str) -> bytes:
+        if self.WORD.fullmatch(chunk):
+            ids = [t.id for t in self.model.tokenize(chunk.encode().decode("latin-1").translate(self.alphabet))]
+        else:
+            ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
+        out = np.array(ids, dtype="<u4").tobytes()
+        if len(chunk) <= self.LONGEST:
+            if len(self.known) >= self.KEPT:
+                self.known.clear()
+            self.known[chunk] = out
+        return out
+
+    def encode(self, text: str) -> bytes:
+        if not self.by_chunk or any(t in text for t in self.added):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        get = self.known.get
+        return b"".join([get(c) or self._chunk(c) for c in self.CHUNK.findall(text)])
+
+
+@functools.cache
+def _encoder(path: str) -> Encoder:
+    """One for a Python worker, whose tasks share what it remembers."""
+    return Encoder(path)
+
+
+def _piecer(path: str, size: int, end_id: int):
+    end = np.array([end_id], dtype="<u4").tobytes()
+
+    def run(batches):
+        encoder = _encoder(path)
         for b in batches:
-            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             out: list[list] = [[], [], [], [], []]
-            for k in range(0, len(texts), 64):
-                for doc_id, enc in zip(ids[k : k + 64], (tokenizer.encode(t, add_special_tokens=False) for t in texts[k : k + 64])):
-                    arr = np.array(enc.ids + [end_id], dtype="<u4")
-                    raw = memoryview(arr.tobytes())
-                    for p, (start, length) in enumerate(cut(len(arr), size)):
-                        for col, v in zip(out, (doc_id, p, start, length, zlib.crc32(raw[4 * start : 4 * (start + length)]))):
-                            col.append(v)
+            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                raw = memoryview(encoder.encode(text) + end)
+                for p, (start, length) in enumerate(cut(len(raw) // 4, size)):
+                    for col, v in zip(out, (doc_id, p, start, length, zlib.crc32(raw[4 * start : 4 * (start + length)]))):
+                        col.append(v)
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 

@@ -70,6 +70,14 @@ def test_packing_round_trip(docs, texts):
     assert len(seqs) <= least * 1.03 + 1
 
 
+def test_chunks_encode_like_whole_texts(more):
+    encoder = packing.Encoder(packing.default_tokenizer())
+    hard = ["It's a  test\n\n of \tspaces \u00a0here\x1c and\x85there. ", "naïve ß²x३ don't 'sx' 'S we'll!!  ", "<|endoftext|> x", "x" * 3000 + " " * 500, "汉字 и кириллица, 3.14e-5 a_b-c é", " ", "\n a", "a\u3000b \U0001f600\U0001f600 c,d", ""]
+    for text in hard + [r["text"] for r in more.filter("doc_id % 10 = 0").collect()]:
+        want = encoder.tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == want
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_plan_uses_just_the_histogram(seed):
     rng = np.random.default_rng(seed)
