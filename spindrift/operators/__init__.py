@@ -1 +1 @@
-
+"""Search operators over DataFrames of vectors."""

@@ -1 +1,104 @@
+"""Vector files: headerless float32 (.bin), text (.txt) and NumPy (.npy), and the text sink of results."""
 
+from __future__ import annotations
+
+import io
+import os
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .tables import with_row_ids
+
+
+def _floats(batches):
+    for b in batches:
+        rows = [np.frombuffer(r, dtype="<f4") for r in b.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.list_(pa.float32()))], names=["point_id", "vec"])
+
+
+def read_bin(spark: SparkSession, path: str, dim: int, n: int | None = None) -> DataFrame:
+    """(point_id, vec) of records of dim float32 numbers; with n, the first n rows, an error if there are fewer."""
+    records = spark.createDataFrame(spark.sparkContext.binaryRecords(path, 4 * dim).map(lambda r: (bytearray(r),)), "value binary")
+    rows = with_row_ids(records).mapInArrow(_floats, "point_id long, vec array<float>")
+    if n is None:
+        return rows
+    rows = rows.filter(F.col("point_id") < n)
+    if rows.count() < n:
+        raise ValueError(f"{path} has fewer than {n} rows")
+    return rows
+
+
+def read_txt(spark: SparkSession, path: str) -> DataFrame:
+    """One vector a line, numbers apart by white space; blank lines are skipped."""
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    numbers = F.transform(F.split(F.trim(F.regexp_replace("value", "\\s+", " ")), " "), lambda x: x.cast("float"))
+    return with_row_ids(lines.select(numbers.alias("vec")))
+
+
+def read_npy(spark: SparkSession, path: str) -> DataFrame:
+    """(point_id, vec) of a two-dimensional array; the file is read by one task."""
+    def rows(batches):
+        for b in batches:
+            for content in b.column(0).to_pylist():
+                a = np.load(io.BytesIO(content), allow_pickle=False)
+                for k in range(0, len(a), 4096):
+                    part = list(a[k : k + 4096].astype(float))
+                    yield pa.RecordBatch.from_arrays([pa.array(range(k, k + len(part)), pa.int64()), pa.array(part, pa.list_(pa.float64()))], names=["point_id", "vec"])
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(rows, "point_id long, vec array<double>")
+
+
+def _ordered(df: DataFrame, id_col: str) -> DataFrame:
+    return df.repartitionByRange(id_col).sortWithinPartitions(id_col)
+
+
+def write_bin(df: DataFrame, path: str, id_col: str = "point_id", vec_col: str = "vec") -> None:
+    """Part files in order of id, in a folder that all executors share; a task that runs again replaces its own file."""
+    folder = path.removeprefix("file://")
+    os.makedirs(folder, exist_ok=True)
+
+    def write(batches):
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
+        name = f"{folder}/.part-{part:05d}-{TaskContext.get().taskAttemptId()}"
+        n = 0
+        with open(name, "wb") as f:
+            for b in batches:
+                f.write(b.column(0).flatten().to_numpy(zero_copy_only=False).astype("<f4").tobytes())
+                n += b.num_rows
+        os.replace(name, f"{folder}/part-{part:05d}.bin")
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    _ordered(df, id_col).select(vec_col).mapInArrow(write, "n long").agg(F.sum("n")).collect()
+
+
+def write_txt(df: DataFrame, path: str, id_col: str = "point_id", vec_col: str = "vec") -> None:
+    line = F.array_join(F.transform(vec_col, lambda x: x.cast("string")), " ").alias("value")
+    _ordered(df, id_col).select(line).write.text(path)
+
+
+def write_npy(df: DataFrame, path: str, id_col: str = "point_id", vec_col: str = "vec") -> None:
+    """One file by one task, streamed, as the format asks for; for large tables Parquet is the format."""
+    rows = df.count()
+    dim = len((df.select(vec_col).first() or [[]])[0])
+    name = path.removeprefix("file://")
+
+    def write(batches):
+        with open(name, "wb") as f:
+            np.lib.format.write_array_header_1_0(f, {"descr": "<f4", "fortran_order": False, "shape": (rows, dim)})
+            for b in batches:
+                f.write(b.column(0).flatten().to_numpy(zero_copy_only=False).astype("<f4").tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array([rows], pa.int64())], names=["n"])
+
+    df.orderBy(id_col).coalesce(1).select(vec_col).mapInArrow(write, "n long").collect()
+
+
+def write_results(results: DataFrame, path: str) -> None:
+    """One line a query, in order: its point ids in order of rank, each followed by a space."""
+    ids = F.sort_array(F.collect_list(F.struct("rank", "point_id")))["point_id"]
+    lines = results.groupBy("query_id").agg(F.concat(F.array_join(ids, " "), F.lit(" ")).alias("value"))
+    _ordered(lines, "query_id").select("value").write.text(path)

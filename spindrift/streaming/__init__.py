@@ -1 +1,116 @@
+"""A bucket index over a sliding window of points, as batch updates and as a Structured Streaming sink.
 
+Age is the column `seq`, increasing; the oldest points leave first. A position in the window is seq minus the oldest seq
+while numbers are gapless, so nothing is renumbered. mode="incremental" lets survivors of the old buckets and the new points compete (a survivor that
+was outside its bucket can't return); mode="rebuild" recomputes the buckets of the whole window.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass, replace
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import center, checked, mean_vector
+from ..operators.exact import rerank
+from ..operators.index import best_candidates, bucket_estimates, build_buckets, hash_candidates, ranked_buckets
+from ..operators.rotation import project
+from ..operators.topk import probes
+from ..plans import IndexConfig, QueryConfig
+from ..sources.tables import fresh_path, stored
+
+
+@dataclass(frozen=True)
+class WindowIndex:
+    """points: seq, vec of the window; buckets: dir, sgn, rk, point_id (a seq), val; mean is fixed at the build."""
+
+    points: DataFrame
+    buckets: DataFrame
+    cfg: IndexConfig
+    mean: tuple[float, ...] | None = None
+
+    @classmethod
+    def build(cls, points: DataFrame, cfg: IndexConfig) -> WindowIndex:
+        points = checked(points.select("seq", "vec"), "vec", cfg.dim)
+        mean = tuple(mean_vector(points)) if cfg.centering else None
+        return cls(points, _buckets(points, cfg, mean), cfg, mean)
+
+    def update(self, new: DataFrame | None, n_del: int = 0, mode: str = "incremental") -> WindowIndex:
+        """Append new points, then drop the n_del oldest of all."""
+        if mode not in ("incremental", "rebuild"):
+            raise ValueError("mode must be incremental or rebuild")
+        old = self.points.agg(F.count("*").alias("n"), F.min("seq").alias("lo"), F.max("seq").alias("hi")).first()
+        if n_del < 0 or n_del > old["n"]:
+            raise ValueError("more points are to leave than the window has")
+        added = self.points.limit(0) if new is None else checked(new.select("seq", "vec"), "vec", self.cfg.dim)
+        got = added.agg(F.count("*").alias("n"), F.min("seq").alias("lo")).first()
+        if got["n"] and old["n"] and got["lo"] <= old["hi"]:
+            raise ValueError("new points must have larger seq than the window's")
+        if old["n"] + got["n"] - n_del < self.cfg.top_m:
+            raise ValueError("the window would be smaller than a bucket")
+        points = self.points.unionByName(added)
+        if n_del:
+            if old["hi"] - old["lo"] + 1 == old["n"]:
+                first = old["lo"] + n_del
+            else:
+                first = self.points.select("seq").orderBy("seq").limit(n_del).agg(F.max("seq")).first()[0] + 1
+            points = points.filter(F.col("seq") >= first)
+        if mode == "rebuild":
+            return replace(self, points=points, buckets=_buckets(points, self.cfg, self.mean))
+        survivors = self.buckets.drop("rk")
+        if n_del:
+            survivors = survivors.filter(F.col("point_id") >= first)
+        entries = survivors.unionByName(_buckets(added, self.cfg, self.mean).drop("rk"))
+        return replace(self, points=points, buckets=ranked_buckets(entries, self.cfg.top_m))
+
+    def settled(self) -> WindowIndex:
+        """With points and buckets as tables in the shared folder, so that many updates keep a short lineage."""
+        return replace(self, points=stored(self.points), buckets=stored(self.buckets))
+
+    def search(self, queries: DataFrame, q: QueryConfig, kind: str = "estimate") -> DataFrame:
+        """(query_id, rank, point_id, score) by bucket estimates or by the union of probed buckets (kind="hash")."""
+        q.check(self.cfg)
+        probed = probes(project(checked(queries, "vec", self.cfg.dim), self.cfg, "query_id"), q.n_probed_vectors)
+        prefix = q.prefix(self.cfg)
+        if kind == "hash":
+            found = hash_candidates(self.buckets, probed, prefix)
+        elif kind == "estimate":
+            found = best_candidates(bucket_estimates(self.buckets, probed, prefix, q.estimator), q.n_cand)
+        else:
+            raise ValueError("kind must be estimate or hash")
+        return rerank(found, self.points.withColumnRenamed("seq", "point_id"), queries, q.k)
+
+
+def _buckets(points: DataFrame, cfg: IndexConfig, mean: tuple[float, ...] | None) -> DataFrame:
+    used = points.withColumnRenamed("seq", "point_id")
+    return build_buckets(center(used, list(mean)) if mean else used, cfg)
+
+
+class StreamingIndex:
+    """A sink for foreachBatch: every micro-batch makes a new version of the index; readers of the last keep theirs."""
+
+    def __init__(self, cfg: IndexConfig, window: int | None = None, mode: str = "incremental"):
+        self.cfg, self.window, self.mode = cfg, window, mode
+        self.state: WindowIndex | None = None
+        self.versions: list[int] = []
+        self.progress: str | None = None
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        if batch_id in self.versions or batch.isEmpty():  # a batch that comes again is already in
+            return
+        if self.state is None:
+            state = WindowIndex.build(batch, self.cfg)
+        else:
+            size = self.state.points.count() + batch.count()
+            over = max(0, size - self.window) if self.window else 0
+            state = self.state.update(batch, min(over, self.state.points.count()), self.mode)
+        self.state = state.settled()
+        self.versions.append(batch_id)
+
+    def run(self, stream: DataFrame) -> WindowIndex | None:
+        """Take in what is new and return the last version."""
+        self.progress = self.progress or fresh_path(stream.sparkSession, "stream")
+        query = stream.writeStream.foreachBatch(self).option("checkpointLocation", self.progress).trigger(availableNow=True).start()
+        query.awaitTermination()
+        return self.state
