@@ -23,13 +23,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, whole_text
+from .common import small_batches, stored, whole_text
 
 #: Labelled documents to learn from, for each language.
 SAMPLE = 1500
 #: Trigrams kept for the model, the most frequent of the sample.
 GRAMS = 200_000
 PENALTY = 4.0
+SALTS = 64
+#: The ids of the sample are sent to all tasks if they are counted to be no more than this.
+BROADCAST_ROWS = 100_000
 CACHED = 4_000_000
 WORDS = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
@@ -125,12 +128,17 @@ def proportions(scores: np.ndarray, n: np.ndarray, penalty: float = PENALTY) ->
 
 
 def learn(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> LanguageModel | None:
-    order = Window.partitionBy("lang").orderBy("h", "id")
     light = docs.filter(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     light = light.select(F.col(lang_col).cast("string").alias("lang"), F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(id_col)).alias("h"))
-    picked = light.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= sample).select(F.col("lang").alias("__l"), F.col("id").alias("__i"))
+    # the smallest hashes of each language, first within SALTS parts of it, so that one common language isn't one task's
+    for keys in (["lang", "salt"], ["lang"]):
+        order = Window.partitionBy(*keys).orderBy("h", "id")
+        light = light.withColumn("salt", F.pmod("h", F.lit(SALTS))).withColumn("k", F.row_number().over(order)).filter(F.col("k") <= sample)
+    picked = stored(light.select(F.col("lang").alias("__l"), F.col("id").alias("__i")).distinct())
+    if picked.count() <= BROADCAST_ROWS:
+        picked = F.broadcast(picked)
     texts = docs.select(F.col(lang_col).cast("string").alias("lang"), whole_text(text_col).alias("text"), F.col(id_col).cast("long").alias("id"))
-    texts = texts.join(picked.distinct(), (F.col("lang") == F.col("__l")) & (F.col("id") == F.col("__i")), "left_semi").select("lang", "text")
+    texts = texts.join(picked, (F.col("lang") == F.col("__l")) & (F.col("id") == F.col("__i")), "left_semi").select("lang", "text")
     counts = texts.mapInArrow(_count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rows = [tuple(r) for r in counts.orderBy(F.desc("n"), "lang", "gram").limit(GRAMS).collect()]
     return LanguageModel.from_counts(rows) if rows else None
