@@ -33,7 +33,7 @@ PENALTY = 4.0
 SALTS = 64
 #: The ids of the sample are sent to all tasks if they are counted to be no more than this.
 BROADCAST_ROWS = 100_000
-CACHED = 4_000_000
+CACHED = 1_000_000
 WORDS = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
 
@@ -195,7 +195,7 @@ def language_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return found.select("doc_id", F.coalesce(held_out("doc_id", 3, 1), F.lit(False)).alias("held_out"), "lang_pred", "score", "mixture")
 
 
-def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.5) -> DataFrame:
+def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.25) -> DataFrame:
     """The rows with a language that makes up at least `least` of the document; their columns are unchanged."""
     small_batches(docs.sparkSession)
     model = learn(docs, ~held_out(id_col, 3, 1), id_col, text_col, lang_col)

@@ -52,7 +52,7 @@ class Encoder:
     and ASCII signs. Other tokenizers, and texts with an added token, are encoded whole.
     """
 
-    KEPT = 700_000
+    KEPT = 250_000
     LONGEST = 64
     _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
     _SIGN = "!-/:-@\\[-`{-~"
@@ -64,10 +64,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        spec = json.loads(self.tokenizer.to_str())
-        split = spec["pre_tokenizer"] or {}
-        self.by_chunk = split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space") and spec["normalizer"] is None
-        self.added = [t["content"] for t in spec["added_tokens"]]
+        # asked one by one: the whole description with its vocabulary would take much of a worker's memory
+        split = self.tokenizer.pre_tokenizer
+        split = {} if split is None else json.loads(split.__getstate__())
+        self.by_chunk = split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space") and self.tokenizer.normalizer is None
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model, self.known = self.tokenizer.model, {}
         # byte-level alphabets write printable bytes as themselves and the others, in order, from 256 on
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
