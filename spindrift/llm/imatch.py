@@ -137,10 +137,10 @@ def fingerprint_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     heads = ring.join(firsts, "b").select(F.coalesce("prev", "end").alias("pb"), F.col("first.text").alias("head"))
     own = Window.partitionBy("b").orderBy("doc_id", "text")
     nxt = rows.withColumns({"n_text": F.lead("text").over(own), "n_sig": F.lead("sig").over(own)})
-    inner = nxt.filter("n_sig is not null")
-    last = nxt.filter("n_sig is null").join(heads, F.col("b") == F.col("pb")).withColumn("n_text", F.col("head"))
-    last = last.withColumn("n_sig", signatures(kept_terms(F.col("n_text"), flags))).select(*inner.columns)
-    rows = inner.unionByName(last)
+    # only the last row of a bucket takes its follower from there; rows lie by bucket already
+    rows = nxt.join(heads, (F.col("b") == F.col("pb")) & F.col("n_sig").isNull(), "left")
+    rows = rows.withColumn("n_sig", F.when(F.col("n_sig").isNull(), signatures(kept_terms(F.col("head"), flags))).otherwise(F.col("n_sig")))
+    rows = rows.withColumn("n_text", F.coalesce("n_text", "head"))
     n = F.length("text")
     edited = F.concat(F.expr("substring(text, 1, char_length(text) - cast(char_length(text) div 4 as int))"), F.expr("substring(n_text, 1, cast(char_length(text) div 4 as int))"))
     rows = rows.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "sig", "n_sig")
