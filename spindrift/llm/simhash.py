@@ -115,6 +115,8 @@ def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str
     def fp_of(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: signed(fingerprint(t))).astype("int64")
 
+    # as a deterministic column it would be worked out again, by workers of its own, for the join's filter on nulls
+    fp_of = fp_of.asNondeterministic()
     heads = _classes(stored(fingerprints(docs, id_col, text_col))).filter(F.col("first").eqNullSafe(F.col("component_id")))
     heads = heads.select(F.col("fp").alias("__head"), F.col("first").alias("__first"), F.col("root").alias("__root"))
     own = docs.withColumns({"__fp": fp_of(whole_text(text_col)), "__id": F.col(id_col).cast("long")})
