@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch; a batch of documents of 100 KB each then stays near 50 MB.
 BATCH_ROWS = 512
+#: Matches whose offsets are summed up in one go.
+BLOCK = 256
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,7 +50,7 @@ def find_spans(text: Column, pattern: str, gate: Column | None = None) -> Column
     hits, gaps = F.regexp_extract_all(text, rx, F.lit(0)), F.split(text, pattern, -1)
     pairs = F.filter(F.arrays_zip(hits.alias("hit"), gaps.alias("gap")), lambda p: p["hit"].isNotNull())
     empty = F.expr("cast(array() as array<struct<start:int,end:int,hit:string,gap:string>>)")
-    start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
+    zero = F.lit(0)
 
     def step(acc: Column, p: Column) -> Column:
         begin = acc["at"] + F.length(p["gap"])
@@ -55,11 +58,31 @@ def find_spans(text: Column, pattern: str, gate: Column | None = None) -> Column
         one = F.struct(begin.alias("start"), end.alias("end"), p["hit"].alias("hit"), p["gap"].alias("gap"))
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-    found = F.aggregate(pairs, start, step, lambda acc: acc["out"])
+    def block(some: Column) -> Column:
+        return F.aggregate(some, F.struct(zero.alias("at"), empty.alias("out")), step)
+
+    def moved(spans: Column, by: Column) -> Column:
+        return F.transform(spans, lambda s: F.struct((s["start"] + by).alias("start"), (s["end"] + by).alias("end"), s["hit"].alias("hit"), s["gap"].alias("gap")))
+
+    def joined(blocks: Column) -> Column:
+        # where each block starts; an array that grows is copied at every step, so blocks keep long texts from quadratic time
+        ends = F.aggregate(blocks, F.array(zero), lambda acc, b: F.concat(acc, F.array(F.element_at(acc, -1) + b["at"])))
+        return F.flatten(F.zip_with(blocks, F.slice(ends, 1, F.size(blocks)), lambda b, at: moved(b["out"], at)))
+
+    def cut(ps: Column) -> Column:
+        numbers = F.sequence(zero, F.floor((F.size(ps) - 1) / BLOCK).cast("int"))
+        return F.transform(numbers, lambda k: block(F.slice(ps, k * BLOCK + 1, F.lit(BLOCK))))
+
+    found = let(pairs, lambda ps: F.when(F.size(ps) <= BLOCK, block(ps)["out"]).otherwise(let(cut(ps), joined)))
     there = text.rlike(pattern) if gate is None else gate & text.rlike(pattern)
     return F.when(there, found).otherwise(empty)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value worked out once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def normal_cdf(z: Column) -> Column:
     """Logistic-cubic approximation of the normal distribution function; error below 2e-4."""
     z = F.least(F.greatest(z, F.lit(-8.0)), F.lit(8.0))
