@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import find_spans, normal_cdf, stored, whole_text
+from .common import find_spans, let, normal_cdf, stored, whole_text
 
 ASSIGN = "([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 ACCESS = "AKIA[A-Z0-9]{16,}"
@@ -28,8 +28,6 @@ MIN_TOKEN = 16
 #: A run of the class is tried at its start only, so a long one costs no more than its length.
 TOKEN = "(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}" % MIN_TOKEN
 ALPHA, FDR = 0.001, 0.01
-#: Longer tokens are tested on this many symbols, taken evenly; the tests' power is far beyond need there.
-TESTED = 256
 KINDS = ("assign", "access", "hex", "random")
 
 
@@ -53,8 +51,11 @@ def _z(value: Column, mean: Column, var: Column) -> Column:
 
 
 def battery(tokens: DataFrame) -> DataFrame:
-    """Adds encoding, n, x2 (chi-squared per alphabet), changes (of character class), p_random to a column `token`."""
-    symbols = F.regexp_replace("token", "=+$", "")
+    """Adds encoding, n, x2 (chi-squared per alphabet), changes (of character class), p_random to a column `token`.
+
+    Padding (= at the end) doesn't count; rows with less than two characters before it are left out.
+    """
+    symbols = F.rtrim("token", F.lit("="))
     enc = (
         F.when(F.col("sym").rlike("^[0-9]+$"), "dec")
         .when(F.col("sym").rlike("^([A-Z]?[a-z]+|[A-Z]+)$"), "alpha")
@@ -71,26 +72,26 @@ def battery(tokens: DataFrame) -> DataFrame:
         letters = F.when(F.col("enc") == name, chars).otherwise(letters)
     letters = F.when(F.col("enc") == "base62", full).otherwise(letters)
     folded = F.when(F.col("enc").isin("base62", "base64"), F.translate("sym", "-_", "+/")).otherwise(F.lower("sym"))
-    every = F.greatest(F.lit(1), F.ceil(F.length("folded") / TESTED)).cast("int")
-    t = tokens.withColumn("sym", symbols).withColumn("enc", enc).withColumn("letters", letters).withColumn("folded", folded)
-    t = t.withColumn("xs", F.transform(F.sequence(F.lit(1), F.length("folded"), every), lambda i: F.instr(F.col("letters"), F.substring("folded", i, F.lit(1))) - 1))
+    t = tokens.withColumn("sym", symbols).filter(F.length("sym") > 1).withColumn("enc", enc).withColumn("letters", letters).withColumn("folded", folded)
+    t = t.withColumn("xs", let(F.col("letters"), lambda abc: F.transform(F.split("folded", ""), lambda c: F.instr(abc, c) - 1)))
     t = t.withColumns({"n": F.size("xs").cast("double"), "m": F.length("letters").cast("double")})
-    counts = F.transform(F.array_distinct("xs"), lambda x: F.size(F.filter("xs", lambda y: y == x)).cast("double"))
+    counts = let(F.col("xs"), lambda xs: F.transform(F.array_distinct(xs), lambda x: F.size(F.filter(xs, lambda y: y == x)).cast("double")))
     zero = F.lit(0.0)
     sq = lambda a: F.aggregate(a, zero, lambda acc, x: acc + x * x)
     t = t.withColumn("x2", F.col("m") / F.col("n") * sq(counts) - F.col("n"))
     p_chi = 1.0 - normal_cdf(_z(F.col("x2"), F.col("m") - 1, 2 * (F.col("m") - 1) * (F.col("n") - 1) / F.col("n")))
     # runs above and below the middle of the alphabet
-    t = t.withColumn("bits", F.transform("xs", lambda x: (x * 2 >= F.col("m")).cast("int")))
+    t = t.withColumn("bits", let(F.col("m"), lambda m: F.transform("xs", lambda x: (x * 2 >= m).cast("int"))))
     t = t.withColumn("ones", F.aggregate("bits", F.lit(0), lambda a, b: a + b).cast("double"))
-    turns = lambda a: F.size(F.filter(F.zip_with(F.slice(a, 2, TESTED * 2), F.slice(a, 1, F.size(a) - 1), lambda x, y: x != y), lambda d: d))
+    turns = lambda a: F.size(F.filter(F.zip_with(F.slice(a, 2, F.size(a)), F.slice(a, 1, F.size(a) - 1), lambda x, y: x != y), lambda d: d))
     expect = 1 + 2 * F.col("ones") * (F.col("n") - F.col("ones")) / F.col("n")
     p_runs = 2 * (1 - normal_cdf(F.abs(_z(turns(F.col("bits")) + 1.0, expect, (expect - 1) * (expect - 2) / (F.col("n") - 1)))))
     p_runs = F.when((F.col("ones") == 0) | (F.col("ones") == F.col("n")), F.pow(F.lit(2.0), 1 - F.col("n"))).otherwise(p_runs)
     mean = F.aggregate("xs", zero, lambda a, x: a + x) / F.col("n")
-    t = t.withColumn("dev", F.transform("xs", lambda x: x - mean))
+    t = t.withColumn("dev", let(mean, lambda mid: F.transform("xs", lambda x: x - mid)))
+    # `let` keeps what is the same for all symbols out of the loops over them
     t = t.withColumn("var", sq(F.col("dev")))
-    lag = F.aggregate(F.zip_with(F.slice("dev", 2, TESTED * 2), F.slice("dev", 1, F.size("dev") - 1), lambda x, y: x * y), zero, lambda a, x: a + x)
+    lag = F.aggregate(F.zip_with(F.slice("dev", 2, F.size("dev")), F.slice("dev", 1, F.size("dev") - 1), lambda x, y: x * y), zero, lambda a, x: a + x)
     corr = F.when(F.col("var") > 0, lag / F.col("var")).otherwise(1.0)
     p_serial = 2 * (1 - normal_cdf(F.abs((corr + 1 / (F.col("n") - 1)) * F.sqrt("n"))))
     half = -(F.log(F.greatest(p_chi, F.lit(1e-12))) + F.log(F.greatest(p_runs, F.lit(1e-12))) + F.log(F.greatest(p_serial, F.lit(1e-12))))

@@ -87,6 +87,24 @@ def test_random_tokens_are_found_and_words_are_not(spark, docs):
     assert not any("random" in got[30_000 + k] for k in range(5))
 
 
+def test_rules_of_signs_and_long_tokens(spark, docs):
+    import random
+
+    rng = random.Random(4)
+    long = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(20_000))
+    rows = [(1, "=" * 60), (2, "a" + "=" * 40 + "\n" + "-" * 40 + "\n" + "=" * 30 + "x"), (3, f"key {long}== end"), (4, "xy1" * 5000)]
+    more = docs.select("doc_id", "text").filter("doc_id > 4").unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r["doc_id"]: r["spans"] for r in secret_scan.secrets(more).collect()}
+    assert [got[k] for k in (1, 2, 3, 4)] == ["", "", "random:4:20006", ""]
+
+
+def test_spans_of_many_matches(spark):
+    text = " ".join(f"id {k * 7919} \U0001f600 a{k}@b.org," for k in range(1500)) + " password=abcdefgh" * 700
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    for operator, base in ((secret_scan.secrets, base_secrets), (pii.personal_data, base_pii)):
+        assert operator(df).first()["base_sha256"] == sha(joined(base(text)))
+
+
 def test_contexts_find_unseen_identifiers(spark, docs):
     rows = [(40_000 + k, f"Well, please call me at +1 (415) 555-01{k:02d} today.") for k in range(8)]
     rows += [(40_100, "Well, please call me at 555-867-5309 today."), (40_101, "We sold about 555-867-5309 of them.")]
