@@ -154,7 +154,8 @@ def _predictor(model: LanguageModel | None, penalty: float):
             preds, scores, shares = [], [], []
             for text in b.column(1).to_pylist():
                 counts = Counter(WORDS.findall(text.lower()))
-                if not counts or not langs:
+                # some signs that count as word characters, as ², are no letters
+                if not langs or not any(c.isalpha() for word in counts for c in word):
                     preds.append(UNDETERMINED), scores.append(0.0), shares.append("")
                     continue
                 if len(known) > room:

@@ -41,6 +41,13 @@ def test_mixture_finds_both_languages(spark, more):
     assert len(both) >= 0.9 * len(got) and len(got) > 5
 
 
+def test_text_without_a_letter_is_undetermined(spark):
+    model = lang_id.LanguageModel.from_counts([("en", " a ", 3), ("de", " b ", 3)])
+    rows = spark.createDataFrame([(1, "\u00b2 \u00bd 12 _ !"), (2, "\u00b2 a"), (3, "")], "doc_id long, text string")
+    got = {r["doc_id"]: r["lang_pred"] for r in lang_id.identify(rows, model).collect()}
+    assert got == {1: "und", 2: "en", 3: "und"}
+
+
 def test_packing_round_trip(docs, texts):
     from tokenizers import Tokenizer
 
