@@ -55,9 +55,16 @@ def _ordered(df: DataFrame, id_col: str) -> DataFrame:
     return df.repartitionByRange(id_col).sortWithinPartitions(id_col)
 
 
+def _mounted(path: str) -> str:
+    """The path of a folder that all executors see as files; other file systems are not written to in these formats."""
+    if "://" in path and not path.startswith("file://"):
+        raise ValueError(f"{path}: these formats are written to mounted folders only; Parquet goes anywhere")
+    return path.removeprefix("file://")
+
+
 def write_bin(df: DataFrame, path: str, id_col: str = "point_id", vec_col: str = "vec") -> None:
     """Part files in order of id, in a folder that all executors share; a task that runs again replaces its own file."""
-    folder = path.removeprefix("file://")
+    folder = _mounted(path)
     os.makedirs(folder, exist_ok=True)
 
     def write(batches):
@@ -85,7 +92,7 @@ def write_npy(df: DataFrame, path: str, id_col: str = "point_id", vec_col: str =
     """One file by one task, streamed, as the format asks for; for large tables Parquet is the format."""
     rows = df.count()
     dim = len((df.select(vec_col).first() or [[]])[0])
-    name = path.removeprefix("file://")
+    name = _mounted(path)
 
     def write(batches):
         with open(name, "wb") as f:
