@@ -44,17 +44,21 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprint(text: str, words: int = 3, seed: int = 42) -> int:
-    """Majority bits of the XXH64 of all word shingles; zero without words."""
+def shingle_hashes(text: str, words: int = 3, seed: int = 42) -> np.ndarray:
+    """XXH64 of each word shingle, one of all words if the text is shorter; none without words."""
     parts = text.encode().lower().split()
-    if not parts:
-        return 0
     digest = xxhash.xxh64_intdigest
-    if len(parts) < words:
+    if not parts:
+        grams = []
+    elif len(parts) < words:
         grams = [b" ".join(parts)]
     else:
         grams = map(b" ".join, zip(*(parts[k:] for k in range(words))))
-    hashes = np.fromiter((digest(g, seed) for g in grams), dtype=np.uint64)
+    return np.fromiter((digest(g, seed) for g in grams), dtype=np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that most of the hashes have; zero of none."""
     ones = np.zeros(BITS, dtype=np.int64)
     for k in range(0, len(hashes), CHUNK):
         part = hashes[k : k + CHUNK].astype("<u8").view(np.uint8).reshape(-1, 8)
@@ -62,6 +66,11 @@ def fingerprint(text: str, words: int = 3, seed: int = 42) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str, words: int = 3, seed: int = 42) -> int:
+    """Majority bits of the XXH64 of all word shingles; zero without words."""
+    return majority(shingle_hashes(text, words, seed))
+
+
 def _fingerprints(batches):
     for b in batches:
         prints = [signed(fingerprint(t)) for t in b.column(1).to_pylist()]
