@@ -1,6 +1,7 @@
 """Removal of lines and passages that stand in several places.
 
-Units are lines, and the sentences of lines that have several, each of at least MIN_WORDS words; they are normalised (lower case,
+Units are lines, whatever their length, and in lines of several sentences the sentences of at least MIN_WORDS words; shorter sentences say
+little by themselves, so the fewest sentences of a line that follow one another, from each sentence on and up to each, and have as many words together make a unit. Units are normalised (lower case,
 single spaces) and digested to 128 bits. The occurrence that ranks first (smallest doc_id, then position) stays,
 the others are removed; their offsets are code points of the original text. Digests are counted with partial aggregation before the shuffle,
 and only the digests that occur twice meet their units again, in a join that the engine can split where one unit is very common.
@@ -15,7 +16,7 @@ import re
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import small_batches, whole_text
@@ -26,24 +27,42 @@ _SENTENCE = re.compile(r"[^.!?]*(?:[.!?]+|$)")
 _UNITS = "doc_id long, hi long, lo long, start int, end int, words int, sentence boolean, again boolean"
 
 
+def _windows(sizes: list[int], least: int) -> list[tuple[int, int]]:
+    """(i, j) of the fewest sizes i to j - 1 whose sum is `least` or more, from each start and up to each end."""
+    found, i, total = set(), 0, 0
+    for j, n in enumerate(sizes, 1):
+        total += n
+        while total - sizes[i] >= least:
+            total, i = total - sizes[i], i + 1
+        if total >= least:
+            found.add((i, j))
+    j, total = 0, 0
+    for i, n in enumerate(sizes):
+        while total < least and j < len(sizes):
+            total, j = total + sizes[j], j + 1
+        if total >= least:
+            found.add((i, j))
+        total -= n
+    return sorted(found)
+
+
 def units_of(text: str, min_words: int = MIN_WORDS):
     """(digest, start, end, words, is_sentence, whether the text has it before) of each unit."""
     seen: set[int] = set()
     for m in _LINE.finditer(text):
         line = m.group()
         whole = line.lower().split()
-        if len(whole) < min_words:
+        if not whole:
             continue
         spans = [(m.start(), m.end(), whole, False)]
-        if len(whole) >= 2 * min_words:
-            parts = [(s.start(), s.end()) for s in _SENTENCE.finditer(line) if s.end() > s.start()]
-            if len(parts) > 1:
-                spans += [(m.start() + a, m.start() + b, line[a:b].lower().split(), True) for a, b in parts]
+        parts = [(m.start() + p.start(), m.start() + p.end(), p.group().lower().split(), True) for p in _SENTENCE.finditer(line)]
+        parts = [p for p in parts if p[2]]
+        if len(parts) > 1:
+            spans += [(parts[i][0], parts[j - 1][1], sum((p[2] for p in parts[i:j]), []), True) for i, j in _windows([len(p[2]) for p in parts], min_words)]
         for start, end, words, sentence in spans:
-            if len(words) >= min_words:
-                digest = xxhash.xxh3_128_intdigest(" ".join(words).encode()) ^ sentence
-                yield digest, start, end, len(words), sentence, digest in seen
-                seen.add(digest)
+            digest = xxhash.xxh3_128_intdigest(" ".join(words).encode()) ^ sentence
+            yield digest, start, end, len(words), sentence, digest in seen
+            seen.add(digest)
 
 
 def _signed(x: int) -> int:
@@ -69,7 +88,7 @@ def _extract(min_words: int):
 def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per removed unit: doc_id, start, end, words, unit, kept_doc_id, copies (documents that have it).
 
-    A sentence inside a removed line isn't listed again.
+    A sentence inside a removed line isn't listed again. Units of several sentences overlap their neighbours.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
@@ -77,18 +96,23 @@ def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "d
     first = units.groupBy("hi", "lo").agg(F.min("doc_id").alias("kept_doc_id"), F.count("*").alias("n"), F.sum(F.when(F.col("again"), 0).otherwise(1)).alias("copies"))
     found = units.join(first.filter("n > 1"), ["hi", "lo"])
     gone = found.filter(F.col("again") | ~F.col("doc_id").eqNullSafe(F.col("kept_doc_id")))
-    span = F.struct("start", "end", "words", "sentence", "kept_doc_id", "copies")
-    per_doc = gone.groupBy("doc_id").agg(F.collect_set(span).alias("spans"))  # at most a document's own units
-    lines = F.filter("spans", lambda s: ~s["sentence"])
-    outside = F.filter("spans", lambda s: ~s["sentence"] | ~F.exists(lines, lambda x: (x["start"] <= s["start"]) & (s["end"] <= x["end"])))
-    out = per_doc.select("doc_id", F.explode(outside).alias("s"))
-    unit = F.when(F.col("s.sentence"), "sentence").otherwise("line").alias("unit")
-    return out.select("doc_id", "s.start", "s.end", "s.words", unit, "s.kept_doc_id", "s.copies")
+    # a document's rows by start: lines come before their sentences, and the removed line that reaches furthest is the one they could lie in
+    order = Window.partitionBy("doc_id").orderBy("start", "sentence", F.desc("end")).rowsBetween(Window.unboundedPreceding, 0)
+    reach = F.max(F.when(~F.col("sentence"), F.col("end"))).over(order)
+    outside = gone.withColumn("reach", reach).filter(~F.col("sentence") | F.col("reach").isNull() | (F.col("reach") < F.col("end")))
+    unit = F.when(F.col("sentence"), "sentence").otherwise("line").alias("unit")
+    return outside.select("doc_id", "start", "end", "words", unit, "kept_doc_id", "copies").distinct()
 
 
 def remove_repeated(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text without the removed units, and `removed`: array of (start, end) in the original text. Rows without id keep their text."""
     gone = repeated_units(docs, min_words, id_col, text_col).filter("doc_id is not null")
+    # units of several sentences overlap: what lies together is cut as one
+    order = Window.partitionBy("doc_id").orderBy("start", "end")
+    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    apart = F.when(F.col("reach").isNull() | (F.col("start") > F.col("reach")), 1).otherwise(0)
+    runs = gone.withColumn("reach", reach).withColumn("run", F.sum(apart).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    gone = runs.groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
     spans = gone.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("removed"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(spans, "doc_id", "left")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
