@@ -3,8 +3,8 @@
 A term is a run of letters or digits in lower case; its class is its hash modulo CLASSES, and document frequencies
 are counted for classes, so that the lexicon has a fixed size (a bitmap) whatever the vocabulary. Kept are the distinct terms whose class
 is in the band; where the band leaves fewer than LEAST, all distinct terms are kept. The lexicon is divided at random into 2^s
-subsets; a text of n kept terms uses s = floor(log2(n / 1.5)) and s + 1, and of either the first SUBSETS subsets. A
-subset's signature is a hash of its kept terms in sorted order. Likeness of two texts is the share of equal signatures, at the finest division that both have,
+subsets; a text of n kept terms uses s = floor(log2(n / 1.5)) and s + 1, and of either the first SUBSETS subsets and, where there
+are more, the set of all kept terms. A set's signature is a hash of its kept terms in sorted order. Likeness of two texts is the share of equal signatures, at the finest division that both have,
 among subsets that are not empty in both; it is near the share of terms in common.
 
 Defined cases: null text counts as empty; texts without terms have the fingerprint "-", are alike to each other (1) and to nothing else (0);
@@ -80,7 +80,9 @@ def signatures(kept: Column) -> Column:
         many = F.pow(F.lit(2.0), s).cast("long")
         number = F.least(many, F.lit(SUBSETS)).cast("int")
         own = F.filter(F.transform(sampled, lambda h: F.struct((of(h) % many).alias("k"), h.alias("h"))), lambda x: x["k"] < SUBSETS)
-        return _let(own, lambda xs: F.transform(F.sequence(F.lit(0), number - 1), lambda i: _let(F.filter(xs, lambda x: x["k"] == i), lambda m: F.when(F.size(m) == 0, F.lit(0)).otherwise(F.hash(F.transform(m, lambda x: x["h"]))))))
+        own = _let(own, lambda xs: F.transform(F.sequence(F.lit(0), number - 1), lambda i: _let(F.filter(xs, lambda x: x["k"] == i), lambda m: F.when(F.size(m) == 0, F.lit(0)).otherwise(F.hash(F.transform(m, lambda x: x["h"]))))))
+        # where subsets are left out, their terms count in a signature of all
+        return F.concat(own, F.when(many > SUBSETS, F.array(F.hash(sampled))).otherwise(F.expr("cast(array() as array<int>)")))
 
     def made(h: Column) -> Column:
         s = F.greatest(F.lit(0), F.floor(F.log2(F.greatest(F.size(h), F.lit(1)) / 1.5))).cast("int")
