@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; only where none is set, as in tests, a folder of our own."""
+    """spark.checkpoint.dir; only where none is set and all runs in one process, as in tests, a folder of our own. On a cluster a folder has to be set."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spindrift-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -22,12 +24,32 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/spindrift/{name}-{uuid.uuid4().hex}"
 
 
+#: Paths of the tables of this process that are not dropped yet.
+_paths: list[str] = []
+
+
 def stored(df: DataFrame) -> DataFrame:
+    """Write df as a table in the shared folder and read it back: computed once, safe if executors are lost."""
     path = fresh_path(df.sparkSession, "table")
     df.write.parquet(path)
+    _paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def mark() -> int:
+    """For drop_since: the number of tables now."""
+    return len(_paths)
+
+
+def drop_since(spark: SparkSession, mark: int, keep: int = 0) -> None:
+    """Remove the tables stored since the mark but the last `keep`; nothing that is still to be computed may read them."""
+    gone = _paths[mark : len(_paths) - keep]
+    _paths[mark : len(_paths) - keep] = []
+    for name in gone:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def with_row_ids(df: DataFrame, name: str = "point_id") -> DataFrame:
     """Positions from 0 in the order of the files: a count per partition, then an offset; rows don't move."""
     part = F.spark_partition_id()
