@@ -2,37 +2,35 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch; a batch of documents of 100 KB each then stays near 50 MB.
+from ..sources.tables import drop_since, mark, stored  # noqa: F401
+
+#: Rows in one Arrow batch.
 BATCH_ROWS = 512
 #: Matches whose offsets are summed up in one go.
 BLOCK = 256
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; only where none is set, as in tests, a folder of our own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="spindrift-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of BATCH_ROWS in this session where it has Spark's own number; spark.sql.execution.arrow.maxBytesPerBatch bounds the bytes of long rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: computed once, safe if executors are lost."""
-    path = f"{shared_dir(df.sparkSession)}/spindrift/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def steady(docs: DataFrame) -> DataFrame:
+    """docs with row numbers (monotonically_increasing_id) that are the same in each scan: as it is if read without an exchange, else stored first."""
+    return stored(docs) if "Exchange" in docs._jdf.queryExecution().executedPlan().toString() else docs
 
 
-def small_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+def rows_of(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of steady docs whose numbers are in rows (row), all columns unchanged, whatever their names."""
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), F.monotonically_increasing_id().alias("row"))
+    return whole.join(rows, "row", "left_semi").select(*[F.col("whole")[c].alias(c) for c in docs.columns])
 
 
 def whole_text(column: str = "text") -> Column:

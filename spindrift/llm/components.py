@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import drop_since, mark, stored
 
 
 def _mins(edges: DataFrame) -> DataFrame:
@@ -32,13 +32,16 @@ def _state(edges: DataFrame) -> tuple:
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node with an edge (u, v); root is the smallest node reachable.
 
-    Alternating large and small stars; each round is a table in the shared folder, so lineage stays short.
-    An empty edge table gives an empty result.
+    Alternating large and small stars; each round is a table in the shared folder, so lineage stays short, and the round before is removed.
+    Edges with a null node are left out; repeated edges and loops change nothing; an empty edge table gives an empty result.
     """
+    since = mark()
+    edges = edges.filter("u is not null and v is not null")
     edges = stored(edges.select("u", "v").filter("u != v").distinct())
     before = _state(edges)
     for _ in range(max_rounds if before[0] else 0):
         edges = stored(_small_star(_large_star(edges)))
+        drop_since(edges.sparkSession, since, keep=1)
         now = _state(edges)
         if now == before:
             break

@@ -36,6 +36,8 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op6_imatch": imatch.ORACLE_SQL,
+    "op9_repeated_lines": lines.ORACLE_SQL,
     "op10_content_sort": r"""
         with d as (
             select doc_id, length(coalesce(text, '')) as c, sha256(regexp_replace(coalesce(text, ''), '[ \t-\r]+', '', 'g')) as text_sha256

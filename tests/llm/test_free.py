@@ -85,6 +85,42 @@ def test_chunks_encode_like_whole_texts(more):
         assert np.frombuffer(encoder.encode(text), "<u4").tolist() == want
 
 
+def test_most_sequences_come_from_patterns(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    bars = np.zeros(packing.SEQUENCE + 1, dtype=np.int64)
+    for length, n in packing.pieces(docs).groupBy("length").count().collect():
+        bars[length] = n
+    packed = packing.plan(bars)
+    patterns = dict(packing.fitted(bars, packing.SEQUENCE))
+    assert all(sum(p) == packing.SEQUENCE for p in patterns)
+    others = sum(n for lengths, n in packed if len(lengths) > 1)
+    assert sum(patterns.values()) > 0.8 * others and patterns.items() <= set(packed)
+    assert sum(n for _, n in packed) <= 9872
+
+
+def test_sequences_follow_the_order_of_files(spark, tmp_path):
+    rows = [(k, "a" if k % 4 else "b", f"word{k % 97} " * (20 + k * 37 % 300)) for k in range(4000)]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").coalesce(1).write.option("maxRecordsPerFile", 700).parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    packed = packing.pack(docs, in_order=True).collect()
+    plain = packing.pack(docs).collect()
+    key = lambda r: (r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"])
+    assert sorted(map(key, packed)) == sorted(map(key, plain))
+    assert len({r["sequence_id"] for r in packed}) == len({r["sequence_id"] for r in plain})
+    seqs = defaultdict(list)
+    for r in packed:
+        seqs[r["sequence_id"]].append(r)
+    for parts in seqs.values():
+        assert [p["offset"] for p in sorted(parts, key=lambda p: p["offset"])] == list(np.cumsum([0] + [p["length"] for p in sorted(parts, key=lambda p: p["offset"])])[:-1])
+    order = sorted(seqs)
+    firsts = [min(p["doc_id"] for p in seqs[s]) for s in order]
+    assert firsts == sorted(firsts)
+    # the documents of each quarter of the sequences are near that quarter of the rows
+    for q in range(4):
+        ids = [p["doc_id"] for s in order[q * len(order) // 4 : (q + 1) * len(order) // 4] for p in seqs[s]]
+        assert np.mean([abs(i / 4000 - (q + 0.5) / 4) < 0.3 for i in ids]) > 0.8
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_plan_uses_just_the_histogram(seed):
     rng = np.random.default_rng(seed)
@@ -224,6 +260,32 @@ def test_repeated_lines_against_brute_force(docs, texts):
         assert cleaned[i]["text"] == "".join(left) + t[at:]
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_repeated_lines_against_sql(spark, sf):
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('/root/testdata/{sf}/documents.parquet')")
+    cur = con.execute(queries.ORACLE_SQL["op9_repeated_lines"])
+    names = [c[0] for c in cur.description]
+    want = Counter(cur.fetchall())
+    got = Counter(map(tuple, queries.QUERIES["op9_repeated_lines"](spark, f"/root/testdata/{sf}").select(*names).collect()))
+    assert got == want and want
+
+
+def test_rows_without_id_or_of_one_id_lose_their_copies(spark):
+    line = "A line of some words that stands in three rows."
+    for ids in ([1, None, None], [None, None, None], [4, 4, 4], [1, 4, 4]):
+        rows = [(i, f"{line}\nrow {k}") for k, i in enumerate(ids)]
+        df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+        got = lines.repeated_units(df).collect()
+        assert sorted((r["doc_id"] or 0, r["kept_doc_id"], r["copies"]) for r in got) == sorted((i or 0, ids[0], 3) for i in ids[1:])
+        texts = Counter(r["text"] for r in lines.remove_repeated(df).collect())
+        assert texts == Counter([rows[0][1], "\nrow 1", "\nrow 2"])
+    # a sentence of one row without id isn't hidden by a removed line of another
+    rows = [(None, f"{line}\nx"), (None, f"{line}\ny"), (None, f"Begin here. {line}"), (None, f"Start there. {line}")]
+    got = lines.repeated_units(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert sorted(r["unit"] for r in got) == ["line", "sentence"]
+
+
 def test_repeated_passage_inside_a_line(spark):
     passage = "Here begins a passage of many words that several documents share. It goes on for a while with nothing new to say at all."
     rows = [(1, f"One document starts its own way here. {passage} And then it ends."), (2, f"Another begins very differently from the first one. {passage} Bye.")]

@@ -11,7 +11,7 @@ def test_long_texts_that_differ_in_left_out_subsets(spark):
     rows = [(0, base)] + [(k, base + f" extra{k}") for k in range(1, 9)]
     df = spark.createDataFrame(rows, "id long, text string")
     # no lexicon: all terms are kept
-    sig = imatch.signatures(imatch.term_hashes(F.col("text"))).alias("sig")
+    sig = imatch.signatures(imatch.keys_of(imatch.terms(F.col("text")))).alias("sig")
     got = df.select("id", sig).select("id", imatch.shown(F.col("sig")).alias("fp"), "sig")
     assert len({r["fp"] for r in got.collect()}) == len(rows)
     one = got.filter("id = 0").select(F.col("sig").alias("a"))
