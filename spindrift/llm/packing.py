@@ -1,14 +1,18 @@
 """Packing documents into sequences of at most 1024 tokens by pattern.
 
 Longer documents are cut into full pieces (the first may be shorter). The histogram of piece lengths has at most 1024 bars, so the plan
-is made on the driver at any input size: all patterns of one to three lengths that fill a sequence exactly are
-enumerated, non-negative least squares fits their repeat counts to the histogram, counts are rounded down to what
-is there, and best-fit decreasing packs the residual bars. Pieces then find their place by their rank among pieces
-of their length: ranks come from salted two-level prefix sums, so a length that holds a third of all pieces is dealt
+is made on the driver at any input size: all patterns of two or three lengths that fill a sequence exactly are
+enumerated, and non-negative least squares fits their repeat counts to the histogram, all bars weighing alike. Counts are rounded, at least to one, and taken in falling order of
+the fit as far as the bars go; what is left is fitted again until little comes of it. Best-fit decreasing packs the residual bars, for which pieces under SHORTEST of a sequence, that close gaps,
+are kept out of the patterns. On few documents patterns may use up what the residual needs, so they are also fitted to smaller SHARES of the bars, and the plan of fewest sequences, of these the
+one of most patterns, is taken. Pieces then find their place by their rank among pieces of their length: ranks come from salted two-level prefix sums, so a length that holds a third of all pieces is dealt
 over many tasks.
 
-Defined cases: null text counts as empty and gives one piece of one token (the end id); rows without id and repeated rows are packed
-like any other; an empty table gives an empty result; other columns are not looked at.
+With `in_order` sequences follow the order of the rows (of files: by name, then row): the rows are cut into up to WINDOWS windows with a plan each, patterns are dealt evenly to SLICES parts of a window, pieces take
+them in order, and a sequence's number grows with its first piece.
+
+Defined cases: null text counts as empty and gives one piece of one token (the end id); very long texts give many pieces; rows without id and repeated rows are packed
+like any other; pieces of one length are alike, so ties are taken in order of rows; an empty table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -21,7 +25,8 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import buckets_for, prefix_offsets, small_batches, stored, whole_text
@@ -29,7 +34,13 @@ from .common import buckets_for, prefix_offsets, small_batches, stored, whole_te
 SEQUENCE = 1024
 END_ID = 2
 TOKENIZER = "byte_bpe_50k.json"
+#: The shortest length in a pattern, as a share of a sequence, and the shares of the bars that patterns are fitted to.
+SHORTEST = 3 / 32
+SHARES = (1.0, 0.75, 0.5, 0.25, 0.1, 0.0)
+#: In order: windows at most, rows that one needs, and parts of each.
+WINDOWS, WINDOW_ROWS, SLICES = 16, 50_000, 8
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+_PLACED = _PIECES + ", sequence_id long, offset long"
 
 
 def default_tokenizer() -> str:
@@ -106,22 +117,35 @@ def _piecer(path: str, size: int, end_id: int):
     def run(batches):
         encoder = _encoder(path)
         for b in batches:
-            out: list[list] = [[], [], [], [], []]
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            out: list[list] = [[], [], [], [], [], []]
+            for k, (doc_id, text) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
                 raw = memoryview(encoder.encode(text) + end)
                 for p, (start, length) in enumerate(cut(len(raw) // 4, size)):
-                    for col, v in zip(out, (doc_id, p, start, length, zlib.crc32(raw[4 * start : 4 * (start + length)]))):
+                    for col, v in zip(out, (doc_id, p, start, length, zlib.crc32(raw[4 * start : 4 * (start + length)]), k)):
                         col.append(v)
-            types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
+            *made, source = [pa.array(c, t) for c, t in zip(out, types)]
+            yield pa.RecordBatch.from_arrays([*made, b.column(2).take(source), b.column(3).take(source)], names=["doc_id", "piece", "start", "length", "ids_crc32", "file", "row"])
 
     return run
 
 
-def pieces(docs: DataFrame, tokenizer: str | None = None, size: int = SEQUENCE, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _row_of_file(docs: DataFrame) -> tuple[Column, Column]:
+    """File and row of each row of a table that is read from Parquet files; of others, "" and the number of the row."""
+    try:
+        place = docs.metadataColumn("_metadata")
+        docs.select(place["file_path"], place["row_index"]).schema
+    except AnalysisException:
+        return F.lit(""), F.monotonically_increasing_id()
+    return place["file_path"], place["row_index"]
+
+
+def pieces(docs: DataFrame, tokenizer: str | None = None, size: int = SEQUENCE, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", in_order: bool = False) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, and the place of the row: file, row."""
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
-    return rows.mapInArrow(_piecer(tokenizer or default_tokenizer(), size, end_id), _PIECES)
+    file, row = _row_of_file(docs) if in_order else (F.lit(""), F.monotonically_increasing_id())
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"), file.alias("file"), row.cast("long").alias("row"))
+    return rows.mapInArrow(_piecer(tokenizer or default_tokenizer(), size, end_id), _PIECES + ", file string, row long")
 
 
 def full_patterns(size: int) -> np.ndarray:
@@ -132,9 +156,9 @@ def full_patterns(size: int) -> np.ndarray:
     return np.stack([a[ok], b[ok], c[ok]], axis=1)
 
 
-def fit_counts(patterns: np.ndarray, bars: np.ndarray, rounds: int = 400) -> np.ndarray:
-    """Non-negative least squares by accelerated projected gradients; a misfit weighs as the length, and bars[0] (no document) nothing."""
-    weight = np.arange(len(bars)) / len(bars)
+def fit_counts(patterns: np.ndarray, bars: np.ndarray, rounds: int = 150) -> np.ndarray:
+    """Non-negative least squares by accelerated projected gradients; all bars weigh alike but bars[0] (no document), which weighs nothing."""
+    weight = (np.arange(len(bars)) > 0).astype(float)
 
     def times(x):
         return sum(np.bincount(patterns[:, k], x, len(bars)) for k in range(3)) * weight
@@ -187,69 +211,114 @@ def best_fit_residual(bars: np.ndarray, size: int) -> list[tuple[tuple[int, ...]
     return done + [g for groups in by_room.values() for g in groups]
 
 
-def plan(bars: np.ndarray, size: int = SEQUENCE) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths, repeat count) whose pieces are just those of the histogram; bars[l] pieces have length l."""
-    left = bars.astype(np.int64).copy()
-    out = []
-    if left[size]:
-        out.append(((size,), int(left[size])))
-        left[size] = 0
+def fitted(bars: np.ndarray, size: int, share: float = 1.0) -> list[tuple[tuple[int, ...], int]]:
+    """(lengths, repeat count) of patterns fitted to a share of the bars, and never more than it."""
+    left = np.ceil(bars[:size] * share).astype(np.int64)
     patterns = full_patterns(size)
-    patterns = patterns[((left[patterns] > 0) | (patterns == 0)).all(axis=1)]
-    if len(patterns):
-        # rounding down leaves the short pieces that best fit needs to close gaps
-        wanted = fit_counts(patterns, left[:size])
+    patterns = patterns[((patterns >= SHORTEST * size) | (patterns == 0)).all(axis=1)]
+    out: dict[tuple[int, ...], int] = defaultdict(int)
+    while True:
+        patterns = patterns[((left[patterns] > 0) | (patterns == 0)).all(axis=1)]
+        if not len(patterns):
+            return list(out.items())
+        wanted, before = fit_counts(patterns, left), sum(out.values())
         for k in np.argsort(-wanted, kind="stable"):
-            if wanted[k] < 1:
+            if wanted[k] < 1e-3:
                 break
             lengths = tuple(int(v) for v in patterns[k] if v)
-            need = {v: lengths.count(v) for v in lengths}
-            n = min(int(wanted[k]), *(int(left[v]) // m for v, m in need.items()))
+            n = min(max(1, int(wanted[k])), *(int(left[v]) // lengths.count(v) for v in lengths))
             if n > 0:
-                out.append((lengths, n))
-                for v, m in need.items():
-                    left[v] -= n * m
-    return out + best_fit_residual(left, size)
-
-
-def places(packed: list[tuple[tuple[int, ...], int]], size: int = SEQUENCE) -> dict[int, np.ndarray]:
-    """For each length, rows (first rank, first sequence id, offset) in order of rank; their number is bounded by the plan's."""
-    rows, used, base = defaultdict(list), defaultdict(int), 0
-    for lengths, count in packed:
-        offset = 0
-        for length in lengths:
-            rows[length].append((used[length], base, offset))
-            used[length] += count
-            offset += length
-        base += count
+                out[lengths] += n
+                for v in lengths:
+                    left[v] -= n
+        if sum(out.values()) - before < max(1, before // 50):
+            return list(out.items())
+
+
+def plan(bars: np.ndarray, size: int = SEQUENCE) -> list[tuple[tuple[int, ...], int]]:
+    """(lengths, repeat count) whose pieces are just those of the histogram; bars[l] pieces have length l."""
+    left = bars.astype(np.int64).copy()
+    full, left[size] = int(left[size]), 0
+    best, fewest = [], None
+    for share in SHARES:
+        rest, made = left.copy(), fitted(left, size, share) if share else []
+        for lengths, n in made:
+            for v in lengths:
+                rest[v] -= n
+        made = made + best_fit_residual(rest, size)
+        number = sum(n for _, n in made)
+        if fewest is None or number < fewest:
+            best, fewest = made, number
+    return ([((size,), full)] if full else []) + best
+
+
+def places(packed: list[tuple[tuple[int, ...], int]], slices: int = 1, base: int = 0) -> dict[int, np.ndarray]:
+    """For each length, rows (first rank, first sequence id, offset) in order of rank; each count is dealt evenly to the slices, one after another, and so their number is bounded."""
+    rows, used = defaultdict(list), defaultdict(int)
+    shift = [k * 0.6180339887 % 1 for k in range(len(packed))]
+    for s in range(slices):
+        for (lengths, count), by in zip(packed, shift):
+            n = int(count * (s + 1) / slices + by) - int(count * s / slices + by) if slices > 1 else count
+            if not n:
+                continue
+            offset = 0
+            for length in lengths:
+                rows[length].append((used[length], base, offset))
+                used[length] += n
+                offset += length
+            base += n
     return {length: np.array(r, dtype=np.int64) for length, r in rows.items()}
 
 
-def _placer(table: dict[int, np.ndarray]):
+def _placer(tables: list[dict[int, np.ndarray]]):
     def run(batches):
         for b in batches:
-            lengths, ranks = (b.column(k).to_numpy(zero_copy_only=False) for k in (3, 5))
+            lengths, ranks, windows, at = (b.column(k).to_numpy(zero_copy_only=False) for k in (3, 5, 6, 7))
             seq, off = np.zeros(len(ranks), np.int64), np.zeros(len(ranks), np.int64)
-            for length in np.unique(lengths):
-                at, rows = np.nonzero(lengths == length)[0], table[int(length)]
-                k = np.searchsorted(rows[:, 0], ranks[at], side="right") - 1
-                seq[at], off[at] = rows[k, 1] + ranks[at] - rows[k, 0], rows[k, 2]
-            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(seq), pa.array(off)], names=[*b.schema.names[:5], "sequence_id", "offset"])
+            for window, length in {*zip(windows.tolist(), lengths.tolist())}:
+                here, rows = np.nonzero((lengths == length) & (windows == window))[0], tables[window][length]
+                k = np.searchsorted(rows[:, 0], ranks[here], side="right") - 1
+                seq[here], off[here] = rows[k, 1] + ranks[here] - rows[k, 0], rows[k, 2]
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(seq), pa.array(off), pa.array(at)], names=[*b.schema.names[:5], "sequence_id", "offset", "at"])
 
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, size: int = SEQUENCE, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _positions(rows: DataFrame) -> DataFrame:
+    """Adds `at`, the position of a row's document among all by file name and row; a file's rows start behind those of the files before it."""
+    files = rows.groupBy("file").agg((F.max("row") + 1).alias("rows"))
+    before = F.sum("rows").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1))  # a row per file
+    return rows.join(files.select("file", F.coalesce(before, F.lit(0)).alias("behind")), "file").select(*rows.columns, (F.col("behind") + F.col("row")).alias("at"))
+
+
+def pack(docs: DataFrame, tokenizer: str | None = None, size: int = SEQUENCE, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", in_order: bool = False) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    rows = stored(pieces(docs, tokenizer, size, end_id, id_col, text_col))
-    bars = np.zeros(size + 1, dtype=np.int64)
-    for length, n in rows.groupBy("length").count().collect():  # at most `size` rows
-        bars[length] = n
-    table = places(plan(bars, size), size)
-    salt = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets_for(int(bars.sum())))).alias("b")
+    rows = stored(pieces(docs, tokenizer, size, end_id, id_col, text_col, in_order))
+    if in_order:
+        rows = _positions(rows)
+        got = rows.agg(F.sum((F.col("piece") == 0).cast("long")).alias("n"), F.max("at").alias("last")).first()
+        number, span = max(1, min(WINDOWS, (got["n"] or 0) // WINDOW_ROWS)), (got["last"] or 0) + 1
+        rows = rows.withColumn("w", F.expr(f"cast(at * {number} div {span} as int)"))
+    else:
+        number, rows = 1, rows.withColumns({"w": F.lit(0), "at": F.col("row")})
+    bars = np.zeros((number, size + 1), dtype=np.int64)
+    for window, length, n in rows.groupBy("w", "length").count().collect():  # at most `size` rows a window
+        bars[window, length] = n
+    tables, base = [], 0
+    for k in range(number):
+        packed = plan(bars[k], size)
+        tables.append(places(packed, SLICES if in_order else 1, base))
+        base += sum(n for _, n in packed)
+    salts = buckets_for(int(bars.sum()))
+    salt = F.expr(f"at * {salts} div {span}") if in_order else F.pmod(F.xxhash64("row", "piece"), F.lit(salts))
     salted = rows.withColumn("b", salt)
-    before = prefix_offsets(salted.groupBy("length", "b").agg(F.count("*").alias("n")), ["length"], "b", "n", "before")
-    own = Window.partitionBy("length", "b").orderBy("doc_id", "piece")
-    ranked = salted.withColumn("r", F.row_number().over(own)).join(before, ["length", "b"])
-    ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("r") - 1).cast("long").alias("rank"))
-    return ranked.mapInArrow(_placer(table), _PIECES + ", sequence_id long, offset long")
+    before = prefix_offsets(salted.groupBy("w", "length", "b").agg(F.count("*").alias("n")), ["w", "length"], "b", "n", "before")
+    own = Window.partitionBy("w", "length", "b").orderBy("at", "piece")
+    ranked = salted.withColumn("r", F.row_number().over(own)).join(before, ["w", "length", "b"])
+    ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("r") - 1).cast("long").alias("rank"), "w", "at")
+    placed = ranked.mapInArrow(_placer(tables), _PLACED + ", at long")
+    if in_order:
+        # numbered by the first piece; a sequence has at most `size`
+        first = F.min(F.col("at") * (1 << 20) + F.col("piece")).over(Window.partitionBy("sequence_id"))
+        placed = placed.withColumn("sequence_id", first)
+    return placed.drop("at")
