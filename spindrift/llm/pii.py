@@ -1,14 +1,14 @@
 """Personal data: known forms, and identifiers that bootstrapped contexts discover.
 
 The known forms (email, ip, card, phone) are seeds. Every token with a digit or @, with the groups of digits
-that follow it, is an instance, and the last two words before it
-are its lexical pattern. The bipartite graph of patterns and instances is scored in ROUNDS rounds: a pattern's confidence is the mean
-score of its instances, smoothed by PRIOR occurrences of none; an instance that isn't a seed scores the best confidence of its patterns, damped. Patterns
-of at least SUPPORT distinct seeds and confidence of at least CONFIDENT then mark their other instances with MIN_DIGITS digits
-or an @ as kind `found`. Counts are taken over all documents; both sides of the graph are aggregated by key before they meet.
+that follow it, is an instance, and the last two words of its line before it are its lexical pattern. The bipartite graph of patterns and instances is scored in rounds: a pattern's confidence is the mean
+score of its occurrences, where a seed scores 1, an instance accepted in an earlier round its score and any other 0, smoothed by PRIOR occurrences of none; a pattern is sure with at least SUPPORT distinct seeds or accepted instances
+and a confidence of at least CONFIDENT. Instances of MIN_DIGITS digits or an @ that stand in a sure pattern are accepted with the best confidence of their sure patterns, damped, and so can
+support further patterns. Rounds go on until the sum of scores grows by less than SETTLED, at most MAX_ROUNDS; as accepted ones lose DAMP a step, chains are short. All instances in sure patterns are marked as kind `found`. Counts are taken over all
+documents; both sides of the graph are aggregated by key before they meet, patterns and instances each in salted parts first.
 
 Only DataFrame functions are used. Defined cases: null text counts as empty; a text without spans gives zero
-counts, the digest of the empty string and spans ""; rows without id and repeated rows each give a row; an empty table gives an empty
+counts, the digest of the empty string and spans ""; texts and lines are read whole however long; ties need no order, as all instances of a pattern fare alike; rows without id and repeated rows each give a row and count each; an empty table gives an empty
 result; other columns are not looked at.
 """
 
@@ -25,11 +25,15 @@ EMAIL = "(?:(?<![A-Za-z0-9._%+-])|\\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\\.[A-
 IP = "(?:(?<![0-9])|\\G)[0-9]++\\.[0-9]++\\.[0-9]++\\.[0-9]++"
 CARD = "[0-9](?:[\\x20-]?[0-9]){12,}+"
 PHONE = "\\+[0-9][\\x20().0-9-]+[0-9]"
+#: Parts that the instances of a pattern are summed in first.
+SALTS = 64
 KINDS = ("email", "ip", "card", "phone", "found")
 _CLASS = "A-Za-z0-9@._%+()-"
 INSTANCE = f"(?:(?<![{_CLASS}])|\\G)[A-Za-z._%+()-]*+[0-9@][{_CLASS}]*+(?:\\x20[(+]?[0-9][{_CLASS}]*+)*+"
-CONTEXT = "(\\p{L}+)[^\\p{L}\\n]{1,3}(\\p{L}+)[^\\p{L}\\p{N}\\n]{1,4}$"
-ROUNDS, SUPPORT, CONFIDENT, PRIOR, DAMP, MIN_DIGITS = 3, 3, 0.5, 1.0, 0.9, 5
+#: Tried at the start of a word only, and a word is taken whole, so that a long run costs no more than its length.
+CONTEXT = "(?<!\\p{L})(\\p{L}++)[^\\p{L}\\n]{1,3}(\\p{L}++)[^\\p{L}\\p{N}\\n]{1,4}$"
+MAX_ROUNDS, SUPPORT, CONFIDENT, PRIOR, DAMP, MIN_DIGITS = 8, 3, 0.5, 1.0, 0.9, 5
+SETTLED = 0.01
 
 
 def _digits(s: Column) -> Column:
@@ -64,18 +68,29 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def confident_patterns(graph: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """Patterns (pattern, confidence) of a graph (pattern, instance, seed, n) with a row per pair."""
-    support = graph.filter("seed").groupBy("pattern").agg(F.count("*").alias("support")).filter(F.col("support") >= SUPPORT).select("pattern")
-    graph = stored(graph.join(support, "pattern", "left_semi"))  # patterns below the support can't become confident
-    scored = graph.withColumn("score", F.col("seed").cast("double"))
-    for k in range(rounds):
-        conf = scored.groupBy("pattern").agg((F.sum(F.col("score") * F.col("n")) / (F.sum("n") + PRIOR)).alias("confidence"))
-        if k + 1 < rounds:
-            conf = stored(conf)
-            best = graph.join(conf, "pattern").groupBy("instance").agg((F.max("confidence") * DAMP).alias("through"))
-            scored = graph.join(best, "instance").withColumn("score", F.when(F.col("seed"), 1.0).otherwise(F.col("through")))
-    return conf.filter(F.col("confidence") >= CONFIDENT)
+def private(instance: Column) -> Column:
+    return instance.contains("@") | (F.length(_digits(instance)) >= MIN_DIGITS)
+
+
+def confident_patterns(graph: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+    """Sure patterns (pattern, confidence, support) of a graph (pattern, instance, seed, n) with a row per pair."""
+    graph = stored(graph.select("pattern", "instance", "seed", "n", F.pmod(F.xxhash64("instance"), F.lit(SALTS)).alias("salt")))
+    # (instance, score) of what is not a seed; in all rounds a score is the best that the instance had in any round
+    accepted = stored(graph.filter("false").select("instance", F.lit(0.0).alias("score")))
+    known = 0.0
+    for _ in range(max_rounds):
+        scored = graph.join(accepted, "instance", "left").select("pattern", "salt", "n", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("score", F.lit(0.0))).alias("score"))
+        parts = scored.groupBy("pattern", "salt").agg(F.sum(F.col("score") * F.col("n")).alias("mass"), F.sum("n").alias("n"), F.sum((F.col("score") > 0).cast("long")).alias("support"))
+        summed = parts.groupBy("pattern").agg(F.sum("mass").alias("mass"), F.sum("n").alias("n"), F.sum("support").alias("support"))
+        sure = summed.select("pattern", (F.col("mass") / (F.col("n") + PRIOR)).alias("confidence"), "support")
+        sure = stored(sure.filter((F.col("support") >= SUPPORT) & (F.col("confidence") >= CONFIDENT)))
+        through = graph.filter(~F.col("seed") & private(F.col("instance"))).join(sure, "pattern").select("instance", (F.col("confidence") * DAMP).alias("score"))
+        accepted = stored(accepted.unionByName(through).groupBy("instance").agg(F.max("score").alias("score")))
+        total = accepted.agg(F.sum("score")).first()[0] or 0.0
+        if total <= known * (1 + SETTLED):
+            break
+        known = total
+    return sure
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -83,7 +98,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     text = whole_text(text_col)
 
     def instance(s):
-        before = F.right(s["gap"], F.lit(64))
+        before = F.substring_index(s["gap"], "\n", -1)
         pattern = F.lower(F.concat_ws(" ", F.regexp_extract(before, CONTEXT, 1), F.regexp_extract(before, CONTEXT, 2)))
         return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["hit"].alias("instance"), pattern.alias("pattern"))
 
@@ -94,8 +109,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     flat = flat.select("row", "start", "end", "instance", "pattern", hits.alias("seed"))
     graph = flat.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"), F.count("*").alias("n"))
     sure = confident_patterns(graph).select("pattern")
-    private = F.col("instance").contains("@") | (F.length(_digits(F.col("instance"))) >= MIN_DIGITS)
-    more = flat.filter(~F.col("seed") & private).join(sure, "pattern", "left_semi")
+    more = flat.filter(~F.col("seed") & private(F.col("instance"))).join(sure, "pattern", "left_semi")
     one = F.struct(F.lit(4).alias("k"), "start", "end", F.lit("found").alias("kind"))
     more = more.groupBy("row").agg(F.collect_list(one).alias("more"))  # a document's own tokens
     none = F.expr("cast(array() as array<struct<k:int,start:int,end:int,kind:string>>)")
