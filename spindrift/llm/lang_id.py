@@ -6,7 +6,7 @@ languages: expectation-maximisation over its words (weighted by how often they o
 joins the set only if it raises the log-likelihood by more than the penalty of half the log of the word count a parameter times PENALTY.
 The prediction is the language of the largest proportion.
 
-Defined cases: text that is null or has no letter gives `und` with score 0; rows with null lang, and rows without id when there are others, only take
+Defined cases: text that is null or has no letter gives `und` with score 0; very long texts are counted whole; rows with null lang and rows without id only take
 part in prediction; with nothing to learn from, every document is `und`; ties go to the first language in alphabetical order;
 repeated rows get equal predictions; other columns are not looked at.
 """
@@ -27,8 +27,8 @@ from .common import small_batches, stored, whole_text
 
 #: Labelled documents to learn from, for each language.
 SAMPLE = 1500
-#: Trigrams kept for the model, the most frequent of the sample.
-GRAMS = 200_000
+#: Trigrams kept for each language, its most frequent in the sample, so that a small language loses none to a large one.
+GRAMS = 50_000
 PENALTY = 4.0
 SALTS = 64
 #: The ids of the sample are sent to all tasks if they are counted to be no more than this.
@@ -106,11 +106,11 @@ def proportions(scores: np.ndarray, n: np.ndarray, penalty: float = PENALTY) ->
     cost = penalty * 0.5 * np.log(max(2.0, n.sum()))
     while len(chosen) < size:
         trials = []
-        mixed = np.maximum(like[:, chosen] @ pi, 1e-300)
+        # no mixture is likelier on a word than its likeliest language, so a language that can't gain the cost even so is left out
+        most = scores[:, chosen].max(axis=1)
         for k in range(size):
             if k not in chosen:
-                # a language whose words the set already explains can't pay for itself
-                gain_bound = float(n @ np.log(np.maximum(1.0, like[:, k] / mixed)))
+                gain_bound = float(n @ (np.maximum(most, scores[:, k]) - top[:, 0])) - best
                 if gain_bound > cost:
                     trials.append((gain_bound, k))
         found = None
@@ -140,7 +140,9 @@ def learn(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str
     texts = docs.select(F.col(lang_col).cast("string").alias("lang"), whole_text(text_col).alias("text"), F.col(id_col).cast("long").alias("id"))
     texts = texts.join(picked, (F.col("lang") == F.col("__l")) & (F.col("id") == F.col("__i")), "left_semi").select("lang", "text")
     counts = texts.mapInArrow(_count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    rows = [tuple(r) for r in counts.orderBy(F.desc("n"), "lang", "gram").limit(GRAMS).collect()]
+    # at most GRAMS rows a language, from a bounded sample
+    best = counts.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).filter(F.col("k") <= GRAMS)
+    rows = [tuple(r) for r in best.select("lang", "gram", "n").collect()]
     return LanguageModel.from_counts(rows) if rows else None
 
 
