@@ -3,8 +3,8 @@
 Units are lines, whatever their length, and in lines of several sentences the fewest sentences that follow one another, from each sentence on and up to each, and have MIN_WORDS words
 together: shorter sentences say little by themselves. Units are normalised (lower case, single spaces) and digested to 128 bits. The occurrence that ranks first stays,
 the others are removed; their offsets are code points of the original text. Rank is by doc_id, then by row, then by position; each row is a document of its own, also where ids are repeated or missing.
-Units are extracted once, to a table in the shared folder. Digests are counted with partial aggregation before the shuffle, and only those that occur twice meet their units again, in a join that the engine can split
-where one unit is very common.
+Units are extracted once, to a table in the shared folder. Digests are counted with partial aggregation before the shuffle, and only those that occur twice meet their units again: those of more than one in HOT units, of which there
+are fewer than HOT, without a shuffle of the units.
 
 Defined cases: null text counts as empty and has no units; very long texts and lines are taken whole; rows without id rank last, among each other by row, and a unit that only they have stays in the first of them; a
 row that is repeated under its id loses what the first one has; ties of id go to the row that comes first in the table; an empty table gives an empty result; other columns are not looked at.
@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from .common import small_batches, steady, stored, whole_text
 
 MIN_WORDS = 8
+#: At most so many digests are very common ones.
+HOT = 10_000
 _LINE = re.compile(r"[^\n]+")
 _SENTENCE = re.compile(r"[^.!?]*(?:[.!?]+|$)")
 _UNITS = "doc_id long, row long, hi long, lo long, start int, end int, words int, sentence boolean, again boolean"
@@ -97,8 +99,12 @@ def _removed(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> Dat
     units = stored(rows.mapInArrow(_extract(min_words), _UNITS))
     rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("row").alias("row"))
     first = units.groupBy("hi", "lo").agg(F.min(rank).alias("first"), F.count("*").alias("n"), F.sum(F.when(F.col("again"), 0).otherwise(1)).alias("copies"))
-    first = first.filter("n > 1").select("hi", "lo", "copies", F.col("first.id").alias("kept_doc_id"), F.col("first.row").alias("kept_row"))
-    gone = units.join(first, ["hi", "lo"]).filter(F.col("again") | (F.col("row") != F.col("kept_row")))
+    first = stored(first.filter("n > 1").select("hi", "lo", "n", "copies", F.col("first.id").alias("kept_doc_id"), F.col("first.row").alias("kept_row")))
+    # digests of more than one in HOT units: fewer than HOT of them, so they go to all tasks, and no other fills one
+    common = F.col("n") * HOT > units.count()
+    hot, others = F.broadcast(first.filter(common)), first.filter(~common)
+    met = units.join(hot, ["hi", "lo"]).unionByName(units.join(hot, ["hi", "lo"], "left_anti").join(others, ["hi", "lo"]))
+    gone = met.filter(F.col("again") | (F.col("row") != F.col("kept_row")))
     # a row's units by start: lines come before their sentences, and the removed line that reaches furthest is the one they could lie in
     order = Window.partitionBy("row").orderBy("start", "sentence", F.desc("end")).rowsBetween(Window.unboundedPreceding, 0)
     reach = F.max(F.when(~F.col("sentence"), F.col("end"))).over(order)
