@@ -5,7 +5,7 @@ equal texts neighbours, and the sort aggregate compares whole neighbouring texts
 folds its own equal texts into one row, so a text that fills a third of the table travels once per task
 and 16 MB of distinct text, not once per row.
 
-Defined cases: a null text counts as empty; rows without id rank after all others in their group; an empty
+Defined cases: a null text counts as empty; very long texts are compared whole; of texts of most code points the smallest doc_id stays; rows without id rank after all others in their group; an empty
 table gives an empty result; rows repeated under one id are one document, of which one row has kept = true;
 other columns are not looked at.
 """
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, whole_text
+from .common import rows_of, small_batches, steady, whole_text
 
 SPACE = b" \t\n\x0b\x0c\r"
 #: The same characters as a pattern.
@@ -76,32 +76,29 @@ def content_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
+def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 and the number of the row."""
     groups = content_groups(docs, id_col, text_col)
     text = whole_text(text_col)
     light = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.sha2(F.regexp_replace(text, SPACE_RX, "").cast("binary"), 256).alias("text_sha256"),
         F.length(text).cast("long").alias("c"),
+        F.monotonically_increasing_id().alias("row"),
     )
-    again = Window.partitionBy("doc_id", "text_sha256").orderBy(F.desc("c"))
+    again = Window.partitionBy("doc_id", "text_sha256").orderBy(F.desc("c"), "row")
     light = light.withColumn("again", F.row_number().over(again))
     out = light.join(groups, "text_sha256", "left")
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("again") == 1)
-    return out.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
+    return out.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256", "row")
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
+    return _marked(docs, id_col, text_col).drop("row")
 
 
 def keep_first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
-    kept = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    text = whole_text(text_col)
-    keyed = docs.withColumns({
-        "__sha": F.sha2(F.regexp_replace(text, SPACE_RX, "").cast("binary"), 256),
-        "__id": F.col(id_col).cast("long"),
-        "__c": F.length(text),
-    })
-    match = keyed["__id"].eqNullSafe(kept["__id"]) & (keyed["__sha"] == kept["__sha"])
-    same = Window.partitionBy("__id", "__sha").orderBy(F.desc("__c"))
-    left = keyed.join(kept, match, "left_semi").withColumn("__n", F.row_number().over(same)).filter("__n = 1")
-    return left.select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of docs that stay, with all their columns; texts meet the decision by row number, in one exchange."""
+    docs = steady(docs)
+    return rows_of(docs, _marked(docs, id_col, text_col).filter("kept").select("row"))
