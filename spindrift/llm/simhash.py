@@ -11,8 +11,8 @@ many members as free bits + 1 at most. Each point's members are linked to the sm
 as much a member as small ones.
 
 Defined cases: null text counts as empty; texts without words have fingerprint zero and are linked like any other;
-rows without id take part, with a null component_id only if nothing in the component has an id; repeated rows share
-their component; an empty table gives an empty result; other columns are not looked at.
+very long texts are read whole; rows without id take part, with a null component_id only if nothing in the component has an id; repeated rows share
+their component; ties need no order, as the smallest doc_id names a component; an empty table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -20,13 +20,12 @@ from __future__ import annotations
 import random
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored, whole_text
+from .common import rows_of, small_batches, steady, stored, whole_text
 from .components import components
 
 RADIUS = 2
@@ -108,17 +107,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The row of the smallest doc_id of each component, with all its columns; one row if it is repeated."""
-    small_batches(docs.sparkSession)
-
-    @F.pandas_udf("long")
-    def fp_of(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: signed(fingerprint(t))).astype("int64")
-
-    # as a deterministic column it would be worked out again, by workers of its own, for the join's filter on nulls
-    fp_of = fp_of.asNondeterministic()
-    heads = _classes(stored(fingerprints(docs, id_col, text_col))).filter(F.col("first").eqNullSafe(F.col("component_id")))
-    heads = heads.select(F.col("fp").alias("__head"), F.col("first").alias("__first"), F.col("root").alias("__root"))
-    own = docs.withColumns({"__fp": fp_of(whole_text(text_col)), "__id": F.col(id_col).cast("long")})
-    stay = own.join(heads, (own["__fp"] == heads["__head"]) & own["__id"].eqNullSafe(heads["__first"]))
-    return stay.dropDuplicates(["__root"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The row of the smallest doc_id of each component, with all its columns; of rows repeated under it the first. Texts are fingerprinted once."""
+    docs = steady(docs)
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), whole_text(text_col).alias("text"))
+    prints = fingerprints(numbered, "row", "text").select(F.col("doc_id").alias("row"), "fp")
+    ids = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"))
+    prints = stored(prints.join(ids, "row"))
+    rooted = prints.join(_classes(prints).select("fp", "root"), "fp")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("row").alias("row")))
+    return rows_of(docs, rooted.groupBy("root").agg(first.alias("first")).select("first.row"))
