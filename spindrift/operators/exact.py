@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -12,14 +10,37 @@ from pyspark.sql import functions as F
 from ..functions import inner_product, l2_normalize, lift_points, lift_queries
 from .topk import ranked
 
-#: Queries travel to every task as long as their numbers fit in this many bytes; beyond, a nested loop over partitions takes over.
+#: Queries travel to every task in blocks whose numbers fit in this many bytes.
 QUERY_BYTES = 64 << 20
+#: Scores that a task holds at a time.
+SCORES = 1 << 21
+
+
+def query_blocks(queries: DataFrame, numbers: int, id_col: str = "query_id") -> list[DataFrame]:
+    """The queries in parts of about QUERY_BYTES at most, by a hash of their id; `numbers`: eight-byte numbers of them all."""
+    parts = max(1, -(-numbers * 8 // QUERY_BYTES)) if QUERY_BYTES else 2
+    return [queries.filter(F.pmod(F.xxhash64(id_col), F.lit(parts)) == k) for k in range(parts)] if parts > 1 else [queries]
+
+
+def best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, score, id) of the k greatest of each row of scores; of equal ones the smaller ids."""
+    if scores.shape[1] <= k:
+        at = np.nonzero(np.ones(scores.shape, dtype=bool))
+    else:
+        floor = np.partition(scores, scores.shape[1] - k, axis=1)[:, -k, None]
+        keep = scores >= floor
+        for r in np.nonzero(keep.sum(axis=1) > k)[0]:
+            tied = np.nonzero(scores[r] == floor[r])[0]
+            keep[r, tied[np.argsort(ids[r, tied], kind="stable")][k - int((scores[r] > floor[r]).sum()) :]] = False
+        at = np.nonzero(keep)
+    return at[0], scores[at], ids[at]
 
 
 def exact_search(points: DataFrame, queries: DataFrame, k: int = 10, metric: str = "dot") -> DataFrame:
     """(query_id, rank, point_id, score). points: point_id, vec; queries: query_id, vec; metric: dot, cosine or l2 (score: minus the squared distance).
 
-    Each task scores its points against the queries and keeps its own k best, so at most k rows a query and task travel.
+    Each task scores its points against a block of queries and keeps its own k best, so at most k rows a query and task travel; more queries than fit in QUERY_BYTES
+    are sent block by block, each of which reads the points again.
     """
     if metric == "cosine":
         points, queries = (d.withColumn("vec", l2_normalize(F.col("vec"))) for d in (points, queries))
@@ -30,10 +51,11 @@ def exact_search(points: DataFrame, queries: DataFrame, k: int = 10, metric: str
     elif metric != "dot":
         raise ValueError("metric must be dot, cosine or l2")
     size = queries.agg(F.sum(F.size("vec")).alias("n")).first()["n"] or 0
-    if size * 8 <= QUERY_BYTES:
-        return ranked(_scored_in_tasks(points, queries, k), k)
-    pairs = points.select("point_id", F.col("vec").alias("x")).crossJoin(queries.select("query_id", F.col("vec").alias("q")))
-    return ranked(pairs.select("query_id", "point_id", inner_product(F.col("q"), F.col("x")).alias("score")), k)
+    found = None
+    for part in query_blocks(queries, size):
+        scored = _scored_in_tasks(points, part, k)
+        found = scored if found is None else found.unionByName(scored)
+    return ranked(found, k)
 
 
 def _scored_in_tasks(points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -41,25 +63,27 @@ def _scored_in_tasks(points: DataFrame, queries: DataFrame, k: int) -> DataFrame
     sent = points.sparkSession.sparkContext.broadcast((np.array([r["query_id"] for r in rows]), np.array([r["vec"] for r in rows], dtype=float)))
 
     def run(batches):
-        ids, q = sent.value
-        best: list[list] = [[] for _ in ids]
+        names, q = sent.value
+        best = np.full((len(names), k), -np.inf), np.full((len(names), k), np.iinfo(np.int64).max)
         for b in batches:
-            if not len(ids) or not b.num_rows:
+            if not len(names) or not b.num_rows:
                 continue
             p = b.column(0).to_numpy(zero_copy_only=False)
             x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(p), -1)
             if x.shape[1] != q.shape[1]:
                 raise ValueError("points and queries differ in length")
-            scores = np.zeros((len(ids), len(p)))
-            for j in range(q.shape[1]):  # in order of position, so that every formulation adds up alike
-                scores += q[:, j, None] * x[None, :, j]
-            for row, s in enumerate(scores):
-                floor = np.partition(s, len(s) - k)[len(s) - k] if len(s) > k else -np.inf
-                near = np.nonzero(s >= floor)[0]
-                best[row] = heapq.nsmallest(k, best[row] + [(-s[c], int(p[c])) for c in near])
-        out = [(int(i), p, -float(s)) for i, top in zip(ids, best) for s, p in top]
-        cols = list(zip(*out)) or [[], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "point_id", "score"])
+            step = max(1, SCORES // (len(p) + k))
+            for at in range(0, len(names), step):
+                some = slice(at, at + step)
+                scores = np.zeros((len(q[some]), len(p)))
+                for j in range(q.shape[1]):  # in order of position, so that every formulation adds up alike
+                    scores += q[some, j, None] * x[None, :, j]
+                both = np.hstack([best[0][some], scores]), np.hstack([best[1][some], np.broadcast_to(p, scores.shape)])
+                _, s, i = best_of(*both, k)
+                best[0][some], best[1][some] = s.reshape(-1, k), i.reshape(-1, k)
+        there = best[1] < np.iinfo(np.int64).max
+        rows = np.nonzero(there)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(names[rows] if len(names) else [], pa.int64()), pa.array(best[1][there], pa.int64()), pa.array(best[0][there], pa.float64())], names=["query_id", "point_id", "score"])
 
     typed = points.select(F.col("point_id").cast("long").alias("point_id"), F.col("vec").cast("array<double>").alias("vec"))
     return typed.mapInArrow(run, "query_id long, point_id long, score double")

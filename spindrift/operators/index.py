@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import center, checked, mean_vector
 from ..plans import IndexConfig, QueryConfig
-from .exact import rerank
+from .exact import SCORES, best_of, query_blocks, rerank
 from .rotation import long_projection, project, project_batch, vectors_of
 from .topk import probes, top_per_group
 
@@ -78,11 +78,46 @@ def dense_estimates(index: DataFrame, probed: DataFrame) -> DataFrame:
     """(query_id, point_id, est): the signed sum of a point's projections on the probed directions."""
     steps = F.sort_array(F.collect_list(F.struct("rk", "dir", "sgn"))).alias("steps")
     per_query = probed.groupBy("query_id").agg(steps)
-    both = index.crossJoin(per_query)  # an estimate for every pair is what the dense form is
+    both = index.crossJoin(per_query)  # a row for every pair is what is asked for here; searches use dense_best
     est = F.aggregate("steps", F.lit(0.0), lambda s, p: s + p["sgn"] * F.get(F.col("proj"), p["dir"]))
     return both.select("query_id", "point_id", est.alias("est"))
 
 
+def dense_best(index: DataFrame, probed: DataFrame, n_cand: int) -> DataFrame:
+    """(query_id, point_id, est, rank) of the n_cand best estimates of each query: tasks estimate batches of points for blocks of queries and pass on only the best of each batch."""
+    steps = F.sort_array(F.collect_list(F.struct("rk", "dir", "sgn"))).alias("steps")
+    per_query = probed.groupBy("query_id").agg(steps)
+    size = probed.count() * 2
+    found = None
+    for part in query_blocks(per_query, size):
+        some = _estimated_in_tasks(index, part, n_cand)
+        found = some if found is None else found.unionByName(some)
+    return best_candidates(found, n_cand)
+
+
+def _estimated_in_tasks(index: DataFrame, per_query: DataFrame, n_cand: int) -> DataFrame:
+    rows = per_query.select("query_id", F.col("steps.dir").alias("dir"), F.col("steps.sgn").alias("sgn")).collect()
+    sent = index.sparkSession.sparkContext.broadcast((np.array([r["query_id"] for r in rows]), np.array([r["dir"] for r in rows], dtype=int), np.array([r["sgn"] for r in rows], dtype=float)))
+
+    def run(batches):
+        names, dirs, signs = sent.value
+        for b in batches:
+            if not len(names) or not b.num_rows:
+                continue
+            ids = b.column(0).to_numpy(zero_copy_only=False)
+            proj = np.ascontiguousarray(b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1).T)
+            step = max(1, SCORES // len(ids))
+            for at in range(0, len(names), step):
+                some = slice(at, at + step)
+                est = np.zeros((len(names[some]), len(ids)))
+                for j in range(dirs.shape[1]):  # in order of the probes
+                    est += signs[some, j, None] * proj[dirs[some, j]]
+                row, best, point = best_of(est, np.broadcast_to(ids, est.shape), n_cand)
+                yield pa.RecordBatch.from_arrays([pa.array(names[some][row], pa.int64()), pa.array(point, pa.int64()), pa.array(best, pa.float64())], names=["query_id", "point_id", "est"])
+
+    return index.select(F.col("point_id").cast("long").alias("point_id"), "proj").mapInArrow(run, "query_id long, point_id long, est double")
+
+
 def probed_entries(buckets: DataFrame, probed: DataFrame, prefix: int) -> DataFrame:
     return probed.join(buckets.filter(F.col("rk") <= prefix).drop("rk"), ["dir", "sgn"])
 
@@ -128,7 +163,7 @@ class MipsIndex:
     def candidates(self, queries: DataFrame, q: QueryConfig) -> DataFrame:
         probed, prefix = self.probe(queries, q), q.prefix(self.cfg)
         if self.kind == "dense":
-            return best_candidates(dense_estimates(self.table, probed), q.n_cand)
+            return dense_best(self.table, probed, q.n_cand)
         if self.kind == "bucket":
             return best_candidates(bucket_estimates(self.table, probed, prefix, q.estimator), q.n_cand)
         return hash_candidates(self.table, probed, prefix)

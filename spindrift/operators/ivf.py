@@ -1,22 +1,76 @@
-"""Inverted lists around k-means centres, a comparator of the projection indexes."""
+"""Inverted lists around centres, with whole vectors or product codes: comparators of the projection indexes."""
 
 from __future__ import annotations
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import inner_product
+from ..functions import doubles, inner_product, norm2
 from .exact import rerank
 from .topk import top_per_group
 
+Centres = list[list[float]]
 
-def ivf_search(points: DataFrame, queries: DataFrame, k: int = 10, n_lists: int = 16, n_probes: int = 4, seed: int = 42) -> DataFrame:
-    """(query_id, rank, point_id, score): the lists whose centres have the largest inner product with the query are scored exactly."""
-    model = KMeans(k=n_lists, seed=seed, maxIter=10, featuresCol="f").fit(points.select(array_to_vector(F.col("vec").cast("array<double>")).alias("f")))
-    listed = model.transform(points.select("point_id", array_to_vector(F.col("vec").cast("array<double>")).alias("f"))).select("point_id", F.col("prediction").alias("list"))
-    centres = queries.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "list int, c array<double>")
-    near = queries.crossJoin(F.broadcast(centres)).select("query_id", "list", inner_product(F.col("vec"), F.col("c")).alias("s"))  # n_lists rows
-    probed = top_per_group(near, ["query_id"], [F.desc("s"), F.col("list")], n_probes).select("query_id", "list")
-    return rerank(probed.join(listed, "list"), points, queries, k)
+
+def learn_centres(points: DataFrame, k: int, seed: int = 42, part: tuple[int, int] | None = None) -> Centres:
+    """k-means centres of the vectors, or of the entries [start, start + length) of them."""
+    v = doubles(F.col("vec")) if part is None else F.slice(doubles(F.col("vec")), part[0] + 1, part[1])
+    model = KMeans(k=k, seed=seed, maxIter=10, featuresCol="f").fit(points.select(array_to_vector(v).alias("f")))
+    return [[float(x) for x in c] for c in model.clusterCenters()]
+
+
+def _nearest(v: Column, centres: Centres) -> Column:
+    """Number of the centre at the least Euclidean distance; of equal ones the first."""
+    far = F.transform(_table(centres), lambda c, i: F.struct((norm2(c) - 2 * inner_product(v, c)).alias("d"), i.alias("i")))
+    return F.array_min(far)["i"]
+
+
+def _probed(queries: DataFrame, centres: Centres, n_probes: int) -> DataFrame:
+    """(query_id, list) of the lists whose centres have the largest inner products with the query; picked inside each row."""
+    near = F.transform(_table(centres), lambda c, i: F.struct((-inner_product(F.col("vec"), c)).alias("s"), i.alias("i")))
+    return queries.select("query_id", F.explode(F.slice(F.array_sort(near), 1, n_probes)).alias("e")).select("query_id", F.col("e.i").alias("list"))
+
+
+def _table(centres: Centres) -> Column:
+    """An array of arrays; of the index's own, fixed size."""
+    return F.array(*[F.lit(c) for c in centres])
+
+
+def ivf_search(points: DataFrame, queries: DataFrame, k: int = 10, n_lists: int = 16, n_probes: int = 4, seed: int = 42, centres: Centres | None = None) -> DataFrame:
+    """(query_id, rank, point_id, score): the lists whose centres have the largest inner product with the query are scored exactly. Centres are learned by k-means unless given."""
+    centres = centres or learn_centres(points, n_lists, seed)
+    listed = points.select("point_id", _nearest(F.col("vec"), centres).alias("list"))
+    return rerank(_probed(queries, centres, n_probes).join(listed, "list"), points, queries, k)
+
+
+def learn_codebooks(points: DataFrame, parts: int, codes: int, seed: int = 42) -> list[Centres]:
+    """For each of `parts` equal runs of entries, its centres."""
+    dim = points.select(F.size("vec").alias("n")).first()["n"]
+    if dim % parts:
+        raise ValueError("the number of parts must divide the length of the vectors")
+    return [learn_centres(points, codes, seed, (j * (dim // parts), dim // parts)) for j in range(parts)]
+
+
+def ivf_pq_search(
+    points: DataFrame, queries: DataFrame, k: int = 10, n_lists: int = 16, n_probes: int = 4, parts: int = 8, codes: int = 16, n_cand: int = 100, seed: int = 42,
+    centres: Centres | None = None, codebooks: list[Centres] | None = None,
+) -> DataFrame:
+    """(query_id, rank, point_id, score): points of the probed lists are estimated by the sum, over the runs of entries, of the query's products with the point's codes; the n_cand best are scored exactly."""
+    centres = centres or learn_centres(points, n_lists, seed)
+    codebooks = codebooks or learn_codebooks(points, parts, codes, seed)
+    width = len(codebooks[0][0])
+    run = lambda j: F.slice(doubles(F.col("vec")), j * width + 1, width)
+    coded = points.select("point_id", _nearest(F.col("vec"), centres).alias("list"), F.array(*[_nearest(run(j), book) for j, book in enumerate(codebooks)]).alias("codes"))
+    # a query's products with every centre of every run: parts x codes numbers
+    products = F.array(*[_products(run(j), book) for j, book in enumerate(codebooks)])
+    tables = queries.select("query_id", products.alias("products"))
+    found = _probed(queries, centres, n_probes).join(coded, "list").join(tables, "query_id")
+    est = F.aggregate(F.zip_with("products", "codes", lambda t, c: F.get(t, c)), F.lit(0.0), lambda s, x: s + x)
+    best = top_per_group(found.select("query_id", "point_id", est.alias("est")), ["query_id"], [F.desc("est"), F.col("point_id")], n_cand)
+    return rerank(best, points, queries, k)
+
+
+def _products(v: Column, centres: Centres) -> Column:
+    return F.transform(_table(centres), lambda c: inner_product(v, c))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import itertools
 import os
 
 import numpy as np
@@ -10,45 +11,89 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import with_row_ids
+from .tables import names_in, with_row_ids
 
 
-def _floats(batches):
-    for b in batches:
-        rows = [np.frombuffer(r, dtype="<f4") for r in b.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.list_(pa.float32()))], names=["point_id", "vec"])
+#: Records of a .bin file that travel to Python as one row.
+RECORDS = 1024
+
+
+def from_memory(spark: SparkSession, data, id_col: str = "point_id", vec_col: str = "vec") -> DataFrame:
+    """(point_id, vec) of what is held in memory: a two-dimensional NumPy array (ids are positions), a pandas frame or an Arrow table (with both columns). Copied by way of Arrow."""
+    if isinstance(data, np.ndarray):
+        if data.ndim != 2:
+            raise ValueError("an array of vectors has two dimensions")
+        kind = pa.float32() if data.dtype == np.float32 else pa.float64()
+        offsets = pa.array(np.arange(len(data) + 1, dtype=np.int64) * data.shape[1])
+        vectors = pa.LargeListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(data).ravel(), kind)).cast(pa.list_(kind))
+        data = pa.table({id_col: pa.array(np.arange(len(data), dtype=np.int64)), vec_col: vectors})
+    elif not isinstance(data, pa.Table):
+        data = pa.Table.from_pandas(data, preserve_index=False)
+    return spark.createDataFrame(data.select([id_col, vec_col])).withColumnRenamed(id_col, "point_id").withColumnRenamed(vec_col, "vec")
 
 
 def read_bin(spark: SparkSession, path: str, dim: int, n: int | None = None) -> DataFrame:
-    """(point_id, vec) of records of dim float32 numbers; with n, the first n rows, an error if there are fewer."""
-    records = spark.createDataFrame(spark.sparkContext.binaryRecords(path, 4 * dim).map(lambda r: (bytearray(r),)), "value binary")
-    rows = with_row_ids(records).mapInArrow(_floats, "point_id long, vec array<float>")
-    if n is None:
-        return rows
-    rows = rows.filter(F.col("point_id") < n)
-    if rows.count() < n:
+    """(point_id, vec) of records of dim float32 numbers, of files in order of name; with n, the first n rows, an error if there are fewer."""
+    files = [f for f in names_in(spark, path + "/*") or names_in(spark, path) if not f.rsplit("/", 1)[-1].startswith((".", "_"))]
+    if not files:
+        raise ValueError(f"{path}: no such file")
+    records = spark.sparkContext.union([spark.sparkContext.binaryRecords(f, 4 * dim) for f in files])
+
+    def blocks(part, rows):
+        k = 0
+        while some := list(itertools.islice(rows, RECORDS)):
+            yield part, k, len(some), bytearray(b"".join(some))
+            k += len(some)
+
+    table = spark.createDataFrame(records.mapPartitionsWithIndex(blocks), "part int, first long, n int, value binary")
+    sizes = dict(table.groupBy("part").agg(F.sum("n")).collect())  # a row per partition
+    starts, at = {}, 0
+    for p in sorted(sizes):
+        starts[p] = at
+        at += sizes[p]
+    if n is not None and at < n:
         raise ValueError(f"{path} has fewer than {n} rows")
-    return rows
+
+    def floats(batches):
+        for b in batches:
+            for part, first, count, value in zip(*(c.to_pylist() for c in b.columns)):
+                ids = np.arange(count, dtype=np.int64) + starts[part] + first
+                offsets = pa.array(np.arange(count + 1, dtype=np.int32) * dim)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(value, dtype="<f4")))], names=["point_id", "vec"])
+
+    rows = table.mapInArrow(floats, "point_id long, vec array<float>")
+    return rows if n is None else rows.filter(F.col("point_id") < n)
 
 
 def read_txt(spark: SparkSession, path: str) -> DataFrame:
-    """One vector a line, numbers apart by white space; blank lines are skipped."""
-    lines = spark.read.text(path).filter(F.trim("value") != "")
+    """One vector a line, numbers apart by white space, of files in order of name; blank lines are skipped."""
+    lines = spark.read.text(path)
+    place = lines.metadataColumn("_metadata")
+    lines = lines.select("value", place["file_path"].alias("_file"), place["file_block_start"].alias("_block")).filter(F.trim("value") != "")
     numbers = F.transform(F.split(F.trim(F.regexp_replace("value", "\\s+", " ")), " "), lambda x: x.cast("float"))
-    return with_row_ids(lines.select(numbers.alias("vec")))
+    return with_row_ids(lines.select(numbers.alias("vec"), "_file", "_block"), file_order=True)
 
 
 def read_npy(spark: SparkSession, path: str) -> DataFrame:
-    """(point_id, vec) of a two-dimensional array; the file is read by one task."""
+    """(point_id, vec) of a two-dimensional array, whole numbers as longs; the file is read by one task, as the format has one file. For large tables .bin and Parquet are the formats."""
+    head = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 4096)).first()[0]
+    source = io.BytesIO(bytes(head))
+    version = np.lib.format.read_magic(source)
+    shape, _, dtype = (np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0)(source)
+    if len(shape) != 2:
+        raise ValueError(f"{path}: an array of vectors has two dimensions")
+    whole = dtype.kind in "iub"
+    kind, name = (pa.int64(), "long") if whole else (pa.float64(), "double")
+
     def rows(batches):
         for b in batches:
             for content in b.column(0).to_pylist():
                 a = np.load(io.BytesIO(content), allow_pickle=False)
                 for k in range(0, len(a), 4096):
-                    part = list(a[k : k + 4096].astype(float))
-                    yield pa.RecordBatch.from_arrays([pa.array(range(k, k + len(part)), pa.int64()), pa.array(part, pa.list_(pa.float64()))], names=["point_id", "vec"])
+                    part = list(a[k : k + 4096].astype(int if whole else float))
+                    yield pa.RecordBatch.from_arrays([pa.array(range(k, k + len(part)), pa.int64()), pa.array(part, pa.list_(kind))], names=["point_id", "vec"])
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(rows, "point_id long, vec array<double>")
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(rows, f"point_id long, vec array<{name}>")
 
 
 def _ordered(df: DataFrame, id_col: str) -> DataFrame:

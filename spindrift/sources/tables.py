@@ -46,17 +46,46 @@ def drop_since(spark: SparkSession, mark: int, keep: int = 0) -> None:
     gone = _paths[mark : len(_paths) - keep]
     _paths[mark : len(_paths) - keep] = []
     for name in gone:
-        path = spark._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def with_row_ids(df: DataFrame, name: str = "point_id") -> DataFrame:
-    """Positions from 0 in the order of the files: a count per partition, then an offset; rows don't move."""
-    part = F.spark_partition_id()
-    sizes = dict(df.groupBy(part.alias("p")).count().collect())
-    starts, at = [], 0
-    for p in range(max(sizes, default=-1) + 1):
-        starts.append(at)
-        at += sizes.get(p, 0)
-    within = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
-    return df.select((F.get(F.lit(starts or [0]), part) + within).cast("long").alias(name), "*")
+        drop_path(spark, name)
+
+
+def with_row_ids(df: DataFrame, name: str = "point_id", file_order: bool = False) -> DataFrame:
+    """Positions from 0, without moving rows: a count per run of rows, then an offset. In order of partitions, or, with file_order, of the files by name and of the parts of each:
+    df then has columns `_file` and `_block`, a part's file and where it begins, which are dropped; Spark reads large files first, so partitions are not in the order of files.
+    """
+    part, at = F.spark_partition_id(), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    if not file_order:
+        df = df.withColumns({"_file": F.lit(""), "_block": part})
+    rows = df.select(*df.columns, at.alias("_at"))
+    # a row per part of a file
+    runs = sorted(rows.groupBy("_file", "_block").agg(F.count("*").alias("n"), F.min("_at").alias("first")).collect())
+    starts, total = [], 0
+    for r in runs:
+        starts.append((r["_file"], r["_block"], total - r["first"]))
+        total += r["n"]
+    placed = rows.join(df.sparkSession.createDataFrame(starts, "_file string, _block long, _start long"), ["_file", "_block"])
+    return placed.select((F.col("_start") + F.col("_at")).cast("long").alias(name), *[c for c in df.columns if c not in ("_file", "_block")])
+
+
+def id_at(df: DataFrame, col: str, rank: int) -> int:
+    """The value of a column of distinct numbers that just `rank` rows are below: a sampled range first, then only the values in it are sorted."""
+    n = df.count()
+    if not 0 <= rank < n:
+        raise ValueError("no row of this rank")
+    share = [max(0.0, rank / n - 0.001), min(1.0, rank / n + 0.001)]
+    low, high = df.agg(F.percentile_approx(col, share, 10_000).alias("q")).first()["q"]
+    got = df.agg(F.sum((F.col(col) < low).cast("long")).alias("below"), F.sum((F.col(col) <= high).cast("long")).alias("upto")).first()
+    inside, skip = (F.col(col).between(low, high), rank - got["below"]) if got["below"] <= rank < got["upto"] else (F.lit(True), rank)
+    return df.filter(inside).select(col).orderBy(col).offset(skip).first()[0]
+
+
+def drop_path(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def names_in(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that match, sorted; in any file system that Spark reads."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return sorted(f.getPath().toString() for f in found or [])

@@ -7,9 +7,10 @@ was outside its bucket can't return); mode="rebuild" recomputes the buckets of t
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+import json
+from dataclasses import asdict, dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import center, checked, mean_vector
@@ -18,7 +19,7 @@ from ..operators.index import best_candidates, bucket_estimates, build_buckets,
 from ..operators.rotation import project
 from ..operators.topk import probes
 from ..plans import IndexConfig, QueryConfig
-from ..sources.tables import fresh_path, stored
+from ..sources.tables import drop_path, fresh_path, id_at, names_in, stored
 
 
 @dataclass(frozen=True)
@@ -54,7 +55,7 @@ class WindowIndex:
             if old["hi"] - old["lo"] + 1 == old["n"]:
                 first = old["lo"] + n_del
             else:
-                first = self.points.select("seq").orderBy("seq").limit(n_del).agg(F.max("seq")).first()[0] + 1
+                first = id_at(self.points, "seq", n_del) if n_del < old["n"] else old["hi"] + 1
             points = points.filter(F.col("seq") >= first)
         if mode == "rebuild":
             return replace(self, points=points, buckets=_buckets(points, self.cfg, self.mean))
@@ -64,6 +65,19 @@ class WindowIndex:
         entries = survivors.unionByName(_buckets(added, self.cfg, self.mean).drop("rk"))
         return replace(self, points=points, buckets=ranked_buckets(entries, self.cfg.top_m))
 
+    def delete(self, ids: DataFrame, mode: str = "incremental") -> WindowIndex:
+        """Without the points whose seq is in ids (seq), of any age; buckets keep what else they hold, or are made again with mode="rebuild"."""
+        points = self.points.join(ids.select("seq"), "seq", "left_anti")
+        if mode == "rebuild":
+            return replace(self, points=points, buckets=_buckets(points, self.cfg, self.mean))
+        gone = ids.select(F.col("seq").alias("point_id"))
+        return replace(self, points=points, buckets=ranked_buckets(self.buckets.drop("rk").join(gone, "point_id", "left_anti"), self.cfg.top_m))
+
+    def replaced(self, points: DataFrame) -> WindowIndex:
+        """A full turnover: the window holds only these points; the mean stays."""
+        points = checked(points.select("seq", "vec"), "vec", self.cfg.dim)
+        return replace(self, points=points, buckets=_buckets(points, self.cfg, self.mean))
+
     def settled(self) -> WindowIndex:
         """With points and buckets as tables in the shared folder, so that many updates keep a short lineage."""
         return replace(self, points=stored(self.points), buckets=stored(self.buckets))
@@ -88,29 +102,81 @@ def _buckets(points: DataFrame, cfg: IndexConfig, mean: tuple[float, ...] | None
 
 
 class StreamingIndex:
-    """A sink for foreachBatch: every micro-batch makes a new version of the index; readers of the last keep theirs."""
+    """A sink for foreachBatch: every micro-batch makes a new version of the index; readers of the last keep theirs.
+
+    With `window` the newest that many points are held, of the batch too where it is larger. A version is a folder under `path` (in the shared folder unless given): the batch's points,
+    the buckets, and, written last, what belongs to it. A new sink on the same path, as after the loss of the driver, goes on from the last whole version, and a batch that comes again is left out.
+    """
 
-    def __init__(self, cfg: IndexConfig, window: int | None = None, mode: str = "incremental"):
-        self.cfg, self.window, self.mode = cfg, window, mode
+    def __init__(self, cfg: IndexConfig, window: int | None = None, mode: str = "incremental", path: str | None = None):
+        if window is not None and window < cfg.top_m:
+            raise ValueError("the window would be smaller than a bucket")
+        self.cfg, self.window, self.mode, self.path = cfg, window, mode, path
         self.state: WindowIndex | None = None
-        self.versions: list[int] = []
-        self.progress: str | None = None
+        self.last, self.parts, self.low = -1, [], None
+        self.opened = False
+
+    def open(self, spark: SparkSession) -> WindowIndex | None:
+        """The last whole version on the path."""
+        if not self.opened:
+            self.path, self.opened = self.path or fresh_path(spark, "stream"), True
+            whole = [p for p in names_in(spark, f"{self.path}/version=*/whole/_SUCCESS")]
+            if whole:
+                self.last = int(whole[-1].split("/version=")[1].split("/")[0])
+                got = json.loads(spark.read.text(f"{self._folder()}/whole").first()[0])
+                if got["cfg"] != asdict(self.cfg):
+                    raise ValueError("the path has an index of other parameters")
+                self.parts, self.low = got["parts"], got["low"]
+                self._load(spark, got["mean"])
+        return self.state
+
+    def _folder(self, version: int | None = None) -> str:
+        return f"{self.path}/version={self.last if version is None else version:012d}"
+
+    def _load(self, spark: SparkSession, mean) -> None:
+        points = spark.read.schema("seq long, vec array<double>").parquet(*[f"{self._folder(v)}/points" for v in self.parts])
+        buckets = spark.read.schema("dir int, sgn int, rk int, point_id long, val double").parquet(f"{self._folder()}/buckets")
+        self.state = WindowIndex(points.filter(F.col("seq") >= self.low), buckets, self.cfg, tuple(mean) if mean else None)
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        if batch_id in self.versions or batch.isEmpty():  # a batch that comes again is already in
+        spark = batch.sparkSession
+        self.open(spark)
+        if batch_id <= self.last:  # a batch that comes again is already in
+            return
+        batch = batch.select(F.col("seq").cast("long").alias("seq"), F.col("vec").cast("array<double>").alias("vec"))
+        n = batch.count()
+        if not n:
             return
+        if self.window and n > self.window:
+            batch, n = batch.filter(F.col("seq") >= id_at(batch, "seq", n - self.window)), self.window
+        batch.write.mode("overwrite").parquet(f"{self._folder(batch_id)}/points")
+        batch = spark.read.schema("seq long, vec array<double>").parquet(f"{self._folder(batch_id)}/points")
+        held = self.state.points.count() if self.state else 0
+        over = max(0, held + n - self.window) if self.window else 0
         if self.state is None:
             state = WindowIndex.build(batch, self.cfg)
+        elif over >= held:
+            state = self.state.replaced(batch)
         else:
-            size = self.state.points.count() + batch.count()
-            over = max(0, size - self.window) if self.window else 0
-            state = self.state.update(batch, min(over, self.state.points.count()), self.mode)
-        self.state = state.settled()
-        self.versions.append(batch_id)
+            state = self.state.update(batch, over, self.mode)
+        state.buckets.select(F.col("dir").cast("int").alias("dir"), F.col("sgn").cast("int").alias("sgn"), F.col("rk").cast("int").alias("rk"), "point_id", "val").write.mode("overwrite").parquet(f"{self._folder(batch_id)}/buckets")
+        low = state.points.agg(F.min("seq")).first()[0]
+        tops = {v: spark.read.parquet(f"{self._folder(v)}/points").agg(F.max("seq")).first()[0] for v in self.parts}
+        before = set(self.parts) | ({self.last} if self.last >= 0 else set())
+        self.parts, self.low = [v for v in self.parts if tops[v] >= low] + [batch_id], low
+        whole = {"cfg": asdict(self.cfg), "mean": state.mean, "parts": self.parts, "low": low}
+        spark.createDataFrame([(json.dumps(whole),)], "value string").write.mode("overwrite").text(f"{self._folder(batch_id)}/whole")
+        self.last = batch_id
+        self._load(spark, state.mean)
+        # the version before stays for its readers; older ones stay only while their points are in the window
+        for v in names_in(spark, f"{self.path}/version=*"):
+            number = int(v.split("/version=")[1].split("/")[0])
+            if number not in before and number not in self.parts and number < batch_id:
+                drop_path(spark, v)
 
     def run(self, stream: DataFrame) -> WindowIndex | None:
         """Take in what is new and return the last version."""
-        self.progress = self.progress or fresh_path(stream.sparkSession, "stream")
-        query = stream.writeStream.foreachBatch(self).option("checkpointLocation", self.progress).trigger(availableNow=True).start()
+        self.open(stream.sparkSession)
+        query = stream.writeStream.foreachBatch(self).option("checkpointLocation", f"{self.path}/progress").trigger(availableNow=True).start()
         query.awaitTermination()
         return self.state

@@ -100,6 +100,103 @@ def test_window_slides_and_refuses(points):
             w.update(*args)
 
 
+def test_ids_follow_the_order_of_files(spark, tmp_path):
+    x = np.random.default_rng(1).normal(size=(2102, 8)).astype("<f4")
+    cuts = {"a": x[:2], "b": x[2:2002], "c": x[2002:]}
+    for name, part in cuts.items():
+        for folder in ("t", "b"):
+            (tmp_path / folder).mkdir(exist_ok=True)
+        (tmp_path / "t" / f"{name}.txt").write_text("\n".join(" ".join(repr(float(v)) for v in row) + ("\n  " if k % 7 == 0 else "") for k, row in enumerate(part)) + "\n")
+        part.tofile(tmp_path / "b" / f"{name}.bin")
+    for got in (sources.read_txt(spark, f"{tmp_path}/t"), sources.read_bin(spark, f"{tmp_path}/b", 8)):
+        rows = sorted(map(tuple, got.collect()))
+        assert [r[0] for r in rows] == list(range(2102))
+        assert np.array_equal(np.array([r[1] for r in rows], dtype="<f4"), x)
+    np.save(tmp_path / "i.npy", np.arange(12).reshape(3, 4))
+    got = sources.read_npy(spark, f"{tmp_path}/i.npy")
+    assert got.schema["vec"].dataType.elementType.simpleString() == "bigint" and rows_of(got) == [(k, list(range(4 * k, 4 * k + 4))) for k in range(3)]
+
+
+def rows_of(df):
+    return sorted((r[0], list(r[1])) for r in df.collect())
+
+
+def test_vectors_from_memory(spark):
+    import pandas as pd
+    import pyarrow as pa
+
+    want = [(k, [float(v) for v in x]) for k, x in enumerate(X)]
+    frame = pd.DataFrame({"point_id": range(len(X)), "vec": [list(map(float, x)) for x in X], "other": 1})
+    for data in (X, X.astype(float), frame, pa.Table.from_pandas(frame)):
+        assert rows_of(sources.from_memory(spark, data)) == want
+    with pytest.raises(ValueError):
+        sources.from_memory(spark, X[0])
+
+
+def test_exact_search_of_ties_and_many_queries(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x, q = rng.integers(-2, 3, (400, 4)), rng.integers(-2, 3, (60, 4))
+    points = spark.createDataFrame([(k * 3, [float(v) for v in row]) for k, row in enumerate(x)], "point_id long, vec array<double>").repartition(3)
+    queries = spark.createDataFrame([(k, [float(v) for v in row]) for k, row in enumerate(q)], "query_id long, vec array<double>")
+    scores = q @ x.T
+    want = {(i, r + 1, int(p) * 3, float(scores[i, p])) for i in range(60) for r, p in enumerate(sorted(range(400), key=lambda p: (-scores[i, p], p))[:7])}
+    assert set(rows(exact_search(points, queries, 7))) == want
+    monkeypatch.setattr("spindrift.operators.exact.QUERY_BYTES", 500)
+    monkeypatch.setattr("spindrift.operators.exact.SCORES", 1000)
+    assert set(rows(exact_search(points, queries, 7))) == want
+    plan = exact_search(points, queries, 7)._jdf.queryExecution().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_stream_window_holds_the_newest(spark, points, tmp_path):
+    from spindrift.streaming import StreamingIndex
+
+    p = points.withColumnRenamed("point_id", "seq").withColumn("seq", F.col("seq") * 5 + 2)  # ids with gaps
+    sink = StreamingIndex(CFG, window=30, path=f"file://{tmp_path}/index")
+    batches, at = [50, 10, 45, 15], 0
+    for number, size in enumerate(batches):
+        lo, at = at, at + size
+        sink(p.filter((F.col("seq") >= lo * 5 + 2) & (F.col("seq") < at * 5 + 2)), number)
+        seqs = sorted(r["seq"] for r in sink.state.points.collect())
+        assert seqs == [k * 5 + 2 for k in range(max(0, at - 30), at)][-30:]
+        assert all(r["point_id"] in seqs for r in sink.state.buckets.collect())
+    # a full turnover loses nothing, so the buckets are those of the window built anew
+    again = StreamingIndex(CFG, window=30, path=f"file://{tmp_path}/index")  # as a new driver would
+    assert rows(again.open(spark).buckets) == rows(sink.state.buckets) and again.last == 3
+    again(p.filter("seq < 50"), 3)  # a batch that comes again
+    assert rows(again.state.points) == rows(sink.state.points)
+    with pytest.raises(ValueError):
+        StreamingIndex(CFG, window=5)
+
+
+def test_stream_resumes(spark, points, tmp_path):
+    from spindrift.streaming import StreamingIndex
+
+    p = points.withColumnRenamed("point_id", "seq")
+    p.filter("seq < 60").write.parquet(f"{tmp_path}/in")
+    stream = lambda: spark.readStream.schema(p.schema).parquet(f"{tmp_path}/in")
+    StreamingIndex(CFG, path=f"{tmp_path}/index").run(stream())
+    p.filter("seq >= 60").write.mode("append").parquet(f"{tmp_path}/in")
+    state = StreamingIndex(CFG, path=f"{tmp_path}/index").run(stream())
+    assert rows(state.points.select("seq")) == [(k,) for k in range(120)]
+    whole = WindowIndex.build(p, CFG)
+    assert [r[:4] for r in rows(state.buckets)] == [r[:4] for r in rows(whole.buckets)]
+    with pytest.raises(ValueError):
+        StreamingIndex(IndexConfig(dim=8, n_proj=16, n_repeats=1, top_m=20), path=f"{tmp_path}/index").open(spark)
+
+
+def test_points_of_any_age_leave(spark, points):
+    p = points.withColumnRenamed("point_id", "seq")
+    w = WindowIndex.build(p, CFG)
+    gone = p.filter("seq % 3 = 1").select("seq")
+    a, b = (w.delete(gone, mode) for mode in ("incremental", "rebuild"))
+    for got in (a, b):
+        assert sorted(r["seq"] for r in got.points.collect()) == [k for k in range(120) if k % 3 != 1]
+        assert all(r["point_id"] % 3 != 1 for r in got.buckets.collect())
+    kept = {(r["dir"], r["sgn"], r["point_id"]) for r in a.buckets.collect()}
+    assert kept == {(r["dir"], r["sgn"], r["point_id"]) for r in w.buckets.collect() if r["point_id"] % 3 != 1}
+
+
 def test_functions_in_sql(spark):
     sql.register(spark)
     got = spark.sql("select vec_dot(array(1D, 2D), array(3D, 4D)), vec_norm(array(3D, 4D)), vec_pad(array(1D), 2), vec_sign(-0.5D), vec_sign(0D)").first()
