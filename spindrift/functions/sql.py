@@ -1,8 +1,11 @@
-"""The vector functions under SQL names."""
+"""The vector functions and a table function for search under SQL names."""
 
 from __future__ import annotations
 
+import heapq
+
 from pyspark.sql import SparkSession
+from pyspark.sql.functions import udtf
 
 _BODIES = {
     "vec_dot(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>) RETURNS DOUBLE": "aggregate(zip_with(a, b, (x, y) -> x * y), 0D, (s, x) -> s + x)",
@@ -12,6 +15,33 @@ _BODIES = {
 }
 
 
+class MipsSearch:
+    """mips_search(points => TABLE(...) PARTITION BY ..., query => ..., k => ...): the k points (point_id, vec: the first two columns) with the largest inner products, of each partition; ties go to the smaller id.
+
+    Each partition keeps k rows; for all points order and limit what comes out of the partitions.
+    """
+
+    def __init__(self):
+        self.best: list[tuple[float, int]] = []
+        self.k = 0
+
+    def eval(self, points, query: list[float], k: int):
+        self.k = k
+        score = 0.0
+        for a, b in zip(query, points[1], strict=True):
+            score += a * b
+        entry = (score, -points[0])
+        if len(self.best) < k:
+            heapq.heappush(self.best, entry)
+        elif entry > self.best[0]:
+            heapq.heapreplace(self.best, entry)
+
+    def terminate(self):
+        for score, point in sorted(self.best, reverse=True):
+            yield -point, score
+
+
 def register(spark: SparkSession) -> None:
+    spark.udtf.register("mips_search", udtf(MipsSearch, returnType="point_id: bigint, score: double"))
     for head, body in _BODIES.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")

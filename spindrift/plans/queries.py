@@ -12,15 +12,19 @@ from .. import sources
 from ..functions import center, column_mean, hadamard, inner_product, l2_normalize, mean_vector, pad
 from ..operators import index as ix
 from ..operators.exact import exact_search
-from ..operators.ivf import ivf_search
+from ..operators.ivf import ivf_pq_search, ivf_search
 from ..operators.rotation import flip, long_projection, project, rotate, round_bits, sign_table
 from ..operators.topk import probes
-from ..sources.tables import fresh_path
+from ..sources.tables import fresh_path, id_at
 from ..streaming import StreamingIndex, WindowIndex
 from . import IndexConfig, QueryConfig
 
 CFG = IndexConfig(dim=64, n_proj=64, n_repeats=2, top_m=50)
 Q = QueryConfig(k=10, n_probed_vectors=10, n_cand=50)
+#: Searches take a share of the points, so that their recall holds at every size: points in a bucket and scored exactly (at least LEAST), and in the hash form read of a bucket.
+SHARE, HASH_SHARE, LEAST = 5, 10, 50
+PROBED = {"dense": 16, "bucket": 24, "hash": 10}
+GIVEN = 61
 PADDED = 100
 SWEEP = [(5, 20), (10, 20), (10, 50), (20, 50)]
 
@@ -63,10 +67,19 @@ def _built(kind: str):
     return build
 
 
-def _search(kind: str):
+def sized(p: DataFrame, centering: bool = False) -> tuple[IndexConfig, dict[str, QueryConfig]]:
+    """Parameters of the searches for so many points."""
+    n = p.count()
+    m, h = max(LEAST, n // SHARE), max(LEAST, n // HASH_SHARE)
+    cfg = IndexConfig(CFG.dim, CFG.n_proj, CFG.n_repeats, m, centering=centering)
+    return cfg, {kind: QueryConfig(Q.k, s, h if kind == "hash" else None, m) for kind, s in PROBED.items()}
+
+
+def _search(kind: str, centering: bool = False):
     def run(spark, d):
-        index, q = _built(kind)(spark, d)
-        return _rounded(index.search(q, Q), "score")
+        p = points(spark, d)
+        cfg, q = sized(p, centering)
+        return _rounded(ix.MipsIndex.build(p, cfg, kind).search(queries_of(p), q[kind]), "score")
 
     return run
 
@@ -81,36 +94,74 @@ def _buckets(spark, d):
 
 def _recall(kind: str):
     def run(spark, d):
-        index, q = _built(kind)(spark, d)
-        return _rounded(ix.recall(index.search(q, Q), exact_search(index.points, q, Q.k), Q.k), "recall")
+        p = points(spark, d)
+        cfg, q = sized(p)
+        found = ix.MipsIndex.build(p, cfg, kind).search(queries_of(p), q[kind])
+        return _rounded(ix.recall(found, exact_search(p, queries_of(p), Q.k), Q.k), "recall")
 
     return run
 
 
 def _windows(spark, d):
-    """The first half of the rows, the tenth after it, and how many leave."""
+    """The older nine tenths of the rows, the newest tenth, and how many leave."""
     p = points(spark, d).withColumnRenamed("point_id", "seq")
     n = p.count()
-    half, tenth = n // 2, n // 10
-    return p.filter(F.col("seq") < half), p.filter((F.col("seq") >= half) & (F.col("seq") < half + tenth)), tenth
+    cut = id_at(p, "seq", n - n // 10)
+    return p.filter(F.col("seq") < cut), p.filter(F.col("seq") >= cut), n // 10
 
 
-def _updated(mode: str):
+def _updated(mode: str, centering: bool = False):
     def run(spark, d):
         old, new, n_del = _windows(spark, d)
-        return WindowIndex.build(old, CFG).update(new, n_del, mode)
+        return WindowIndex.build(old, sized(points(spark, d), centering)[0]).update(new, n_del, mode)
 
     return run
 
 
-def _stream_search(kind: str):
-    return lambda s, d: _rounded(_updated("incremental")(s, d).search(queries_of(points(s, d)), Q, kind), "score")
+def _stream_search(kind: str, centering: bool = False):
+    def run(spark, d):
+        p = points(spark, d)
+        return _rounded(_updated("incremental", centering)(spark, d).search(queries_of(p), sized(p)[1]["hash" if kind == "hash" else "bucket"], kind), "score")
+
+    return run
+
+
+def stream_one_window(spark, d):
+    """Both searches on one state of the window."""
+    p = points(spark, d)
+    state, q = _updated("incremental")(spark, d), sized(p)[1]
+    found = [state.search(queries_of(p), q["hash" if kind == "hash" else "bucket"], kind).withColumn("kind", F.lit(kind)) for kind in ("estimate", "hash")]
+    return _rounded(found[0].unionByName(found[1]), "score")
+
+
+def stream_delete(spark, d):
+    """The buckets of all points after those whose id leaves 3 by 7 have left."""
+    p = points(spark, d).withColumnRenamed("point_id", "seq")
+    return _rounded(WindowIndex.build(p, CFG).delete(p.filter("seq % 7 = 3").select("seq")).buckets, "val")
 
 
 def recall_stream(spark, d):
-    state, q = _updated("incremental")(spark, d), queries_of(points(spark, d))
+    p = points(spark, d)
+    state, q = _updated("incremental")(spark, d), queries_of(p)
     truth = exact_search(state.points.withColumnRenamed("seq", "point_id"), q, Q.k)
-    return _rounded(ix.recall(state.search(q, Q), truth, Q.k), "recall")
+    return _rounded(ix.recall(state.search(q, sized(p)[1]["bucket"]), truth, Q.k), "recall")
+
+
+def _given(spark, d):
+    """Centres that are points themselves, those whose id leaves 0 by GIVEN and is below 16 of them; and the runs of eight entries of the same."""
+    rows = points(spark, d).filter(f"point_id % {GIVEN} = 0").orderBy("point_id").limit(16).collect()
+    centres = [[float(x) for x in r["vec"]] for r in rows]
+    return centres, [[c[j : j + 8] for c in centres] for j in range(0, CFG.dim, 8)]
+
+
+def ivf_given(spark, d):
+    p = points(spark, d)
+    return _rounded(ivf_search(p, queries_of(p), Q.k, n_probes=4, centres=_given(spark, d)[0]), "score")
+
+
+def ivf_pq_given(spark, d):
+    p, (centres, books) = points(spark, d), _given(spark, d)
+    return _rounded(ivf_pq_search(p, queries_of(p), Q.k, n_probes=8, n_cand=sized(p)[0].top_m, centres=centres, codebooks=books), "score")
 
 
 def candidate_sweep(spark, d):
@@ -126,13 +177,25 @@ def candidate_sweep(spark, d):
 def stream_microbatch_state(spark, d):
     """All rows arrive in two micro-batches, the older half first."""
     p, path = points(spark, d).withColumnRenamed("point_id", "seq"), fresh_path(spark, "arrivals")
-    half, sink = p.count() // 2, StreamingIndex(CFG)
+    half, sink = id_at(p, "seq", p.count() // 2), StreamingIndex(CFG)
     for part in (F.col("seq") < half, F.col("seq") >= half):
         p.filter(part).write.mode("append").parquet(path)
         state = sink.run(spark.readStream.schema(p.schema).parquet(path))
     return _rounded(state.buckets, "val")
 
 
+def stream_window_state(spark, d):
+    """Micro-batches of a quarter, a half (more than the window holds) and a quarter of the rows into a window of three tenths of them."""
+    p, path = points(spark, d).withColumnRenamed("point_id", "seq"), fresh_path(spark, "arrivals")
+    n = p.count()
+    cuts = [id_at(p, "seq", n * k // 4) for k in (1, 3)]
+    sink = StreamingIndex(CFG, window=n * 3 // 10)
+    for part in (F.col("seq") < cuts[0], F.col("seq").between(cuts[0], cuts[1] - 1), F.col("seq") >= cuts[1]):
+        p.filter(part).write.mode("append").parquet(path)
+        state = sink.run(spark.readStream.schema(p.schema).parquet(path))
+    return _rounded(state.buckets, "val")
+
+
 def _reread(kind: str):
     def run(spark, d):
         p, path = points(spark, d), fresh_path(spark, kind)
@@ -193,6 +256,14 @@ QUERIES = {
     "read_txt": _reread("txt"),
     "read_npy": _reread("npy"),
     "stream_microbatch_state": stream_microbatch_state,
+    "hash_search_centered": _search("hash", True),
+    "stream_search_centered": _stream_search("estimate", True),
+    "stream_one_window": stream_one_window,
+    "stream_delete": stream_delete,
+    "stream_window_state": stream_window_state,
+    "ivf_given": ivf_given,
+    "ivf_pq_given": ivf_pq_given,
+    "ivf_pq_search": lambda s, d: _rounded(ivf_pq_search(p := points(s, d), queries_of(p), Q.k, n_cand=sized(p)[0].top_m), "score"),
     "ivf_search": lambda s, d: _rounded(ivf_search(p := points(s, d), queries_of(p), Q.k), "score"),
 }
 
@@ -230,26 +301,45 @@ def _probe(s: int = Q.n_probed_vectors, name: str = "pb") -> str:
 _SIDES = "sides as (select dir, s.sgn, point_id, s.sgn * val as val from pr, (values (1), (-1)) s(sgn))"
 
 
-def _bucket(name: str, source: str) -> str:
-    return f"{name} as (select dir, sgn, row_number() over (partition by dir, sgn order by val desc, point_id) as rk, point_id, val from {source} qualify rk <= {CFG.top_m})"
+def _bucket(name: str, source: str, top: str = str(CFG.top_m)) -> str:
+    ranked = f"select dir, sgn, row_number() over (partition by dir, sgn order by val desc, point_id) as rk, point_id, val from {source}"
+    return f"{name} as (select * from ({ranked}) where rk <= {top})"
+
+
+_SIZES = f"z as (select greatest({LEAST}, count(*) // {SHARE}) as m, greatest({LEAST}, count(*) // {HASH_SHARE}) as h from p)"
+_M, _H = "(select m from z)", "(select h from z)"
 
 
 _BASE = f"with recursive {_POINTS}, {_LONG}, {_BITS}, {_ROUNDS}, {_PROJ}, {_probe()}, {_SIDES}, {_bucket('bk', 'sides')}"
+_PROBES = ", ".join(_probe(s, f"pb_{kind}") for kind, s in PROBED.items())
+#: The searches: buckets of a share of the points, and the probes of each kind.
+_SIZED = f"with recursive {_POINTS}, {_LONG}, {_BITS}, {_ROUNDS}, {_PROJ}, {_SIZES}, {_PROBES}, {_SIDES}, {_bucket('bk', 'sides', _M)}"
+_AGES = "w as (select count(*) // 10 as tenth, count(*) as n from p), a as (select point_id, row_number() over (order by point_id) - 1 as age from p)"
+_OLD, _NEW = "age < n - tenth", "age >= n - tenth"
 _STREAM = (
-    "w as (select count(*) // 2 as half, count(*) // 10 as tenth from p), "
-    + _bucket("b0", "(select sides.* from sides, w where point_id < half)")
+    f"{_AGES}, "
+    + _bucket("b0", f"(select sides.* from sides join a using (point_id), w where {_OLD})", _M)
     + ", "
-    + _bucket("b1", "(select dir, sgn, point_id, val from b0, w where point_id >= tenth union all select sides.* from sides, w where point_id >= half and point_id < half + tenth)")
+    + _bucket("b1", f"(select dir, sgn, point_id, val from b0 join a using (point_id), w where age >= tenth union all select sides.* from sides join a using (point_id), w where {_NEW})", _M)
 )
-_LIVE = "(select p.* from p, w where point_id >= tenth and point_id < half + tenth)"
+_LIVE = "(select p.* from p join a using (point_id), w where age >= tenth)"
+
+
+def _centred(of: str) -> str:
+    """As _SIZED with the mean of the points that `of` selects taken off; queries, not centred, go along under ids below 0."""
+    mean = f"mean as (select pos, avg(x) as c from (select point_id, unnest(vec) as x, unnest(range(len(vec))) as pos from {of}) group by pos)"
+    long = "l as (select point_id, x - c as x, pos from (select point_id, unnest(vec) as x, unnest(range(len(vec))) as pos from p) join mean using (pos) union all select -1 - query_id, unnest(vec), unnest(range(len(vec))) from q)"
+    probes = ", ".join(_probe(s, f"pb_{kind}").replace("select point_id as query_id", "select -1 - point_id as query_id").replace("point_id % 50 = 0", "point_id < 0") for kind, s in PROBED.items())
+    sides = _SIDES.replace("from pr,", "from (select * from pr where point_id >= 0) pr,")
+    return f"with recursive {_POINTS}, {_AGES}, {mean}, {long}, {_BITS}, {_ROUNDS}, {_PROJ}, {_SIZES}, {probes}, {sides}, {_bucket('bk', 'sides', _M)}"
 
 
 def _est(buckets: str = "bk", agg: str = "sum", probe: str = "pb") -> str:
     return f"select query_id, point_id, {agg}(val) as est from {probe} join {buckets} using (dir, sgn) group by query_id, point_id"
 
 
-def _cand(est: str, n: int = Q.n_cand) -> str:
-    return f"select *, row_number() over (partition by query_id order by est desc, point_id) as rank from ({est}) qualify rank <= {n}"
+def _cand(est: str, n: int | str = Q.n_cand) -> str:
+    return f"select * from (select *, row_number() over (partition by query_id order by est desc, point_id) as rank from ({est})) where rank <= {n}"
 
 
 def _top(pairs: str) -> str:
@@ -266,7 +356,31 @@ def _out(body: str, *rounded: str) -> str:
 _DENSE = "select query_id, point_id, sum(sgn * val) as est from pb join pr using (dir) group by query_id, point_id"
 _HASH = "select distinct query_id, point_id from pb join bk using (dir, sgn)"
 _ALL = "select query_id, point_id from q, p"
-_STREAM_HASH = "select distinct query_id, point_id from pb join b1 using (dir, sgn)"
+
+
+def _found(kind: str, buckets: str = "bk") -> str:
+    """Candidates of a search by its own parameters."""
+    if kind == "hash":
+        return f"select distinct query_id, point_id from pb_hash join {buckets} using (dir, sgn) where {buckets}.rk <= {_H}"
+    est = _est(buckets, probe="pb_bucket") if kind == "bucket" else _DENSE.replace("from pb ", "from pb_dense ")
+    return _cand(est, _M)
+
+
+def _given_sql(body: str) -> str:
+    c = f"c as (select row_number() over (order by point_id) - 1 as list, vec from p where point_id % {GIVEN} = 0 order by point_id limit 16)"
+    near = "select {0}, arg_min(list, list_inner_product(c.vec{1}, c.vec{1}) - 2 * list_inner_product(p.vec{1}, c.vec{1})) as {2} from p, c group by all"
+    lists = f"lists as ({near.format('point_id', '', 'list')})"
+    probed = "probed as (select query_id, list from (select query_id, list, row_number() over (partition by query_id order by list_inner_product(q.vec, c.vec) desc, list) as r from q, c) where r <= {})"
+    return f"with {_POINTS}, {c}, {lists}, {probed}, {body}"
+
+
+_PQ_PARTS = ", ".join(str(j) for j in range(0, CFG.dim, 8))
+_PQ = (
+    f"parts as (select unnest([{_PQ_PARTS}]) as j), sub as (select list, j, vec[j + 1 : j + 8] as v from c, parts), "
+    "codes as (select point_id, j, arg_min(list, (list_inner_product(v, v) - 2 * list_inner_product(vec[j + 1 : j + 8], v), list)) as code from p, sub group by point_id, j), "
+    "products as (select query_id, j, list as code, list_inner_product(vec[j + 1 : j + 8], v) as x from q, sub), "
+    "e as (select query_id, point_id, sum(x) as est from probed join lists using (list) join codes using (point_id) join products using (query_id, j, code) group by query_id, point_id) "
+)
 
 
 def _recall_sql(found: str, truth: str) -> str:
@@ -302,29 +416,41 @@ ORACLE_SQL = {
     "query_probes": f"{_BASE} {_out('select * from pb', 'mag')}",
     "dense_estimate": f"{_BASE} {_out(_DENSE, 'est')}",
     "dense_candidates": f"{_BASE} {_out(_cand(_DENSE), 'est')}",
-    "dense_search": f"{_BASE} {_out(_top(_cand(_DENSE)), 'score')}",
+    "dense_search": f"{_SIZED} {_out(_top(_found('dense')), 'score')}",
     "bucket_close": f"{_BASE} {_out('select * from bk where sgn = 1', 'val')}",
     "bucket_far": f"{_BASE} {_out('select * from bk where sgn = -1', 'val')}",
     "bucket_prefix": f"{_BASE} {_out('select * from bk where rk <= 10', 'val')}",
     "bucket_estimate": f"{_BASE} {_out(_est(), 'est')}",
     "bucket_estimate_mean": f"{_BASE} {_out(_est(agg='avg'), 'est')}",
     "bucket_candidates": f"{_BASE} {_out(_cand(_est()), 'est')}",
-    "bucket_search": f"{_BASE} {_out(_top(_cand(_est())), 'score')}",
+    "bucket_search": f"{_SIZED} {_out(_top(_found('bucket')), 'score')}",
     "hash_candidates": f"{_BASE} {_HASH}",
     "hash_candidate_count": f"{_BASE} select {_r('avg(n)')} as avg_candidates, count(*) as n_queries from (select query_id, count(*) as n from ({_HASH}) group by query_id)",
-    "hash_search": f"{_BASE} {_out(_top(_HASH), 'score')}",
-    "stream_update_incremental": f"{_BASE}, {_STREAM} {_out('select * from b1', 'val')}",
-    "stream_update_rebuild": f"{_BASE}, {_STREAM}, " + _bucket("b2", "(select sides.* from sides, w where point_id >= tenth and point_id < half + tenth)") + f" {_out('select * from b2', 'val')}",
-    "stream_estimate_search": f"{_BASE}, {_STREAM} {_out(_top(_cand(_est('b1'))), 'score')}",
-    "stream_hash_search": f"{_BASE}, {_STREAM} {_out(_top(_STREAM_HASH), 'score')}",
-    "recall_dense": f"{_BASE} {_recall_sql(_top(_cand(_DENSE)), _top(_ALL))}",
-    "recall_bucket": f"{_BASE} {_recall_sql(_top(_cand(_est())), _top(_ALL))}",
-    "recall_hash": f"{_BASE} {_recall_sql(_top(_HASH), _top(_ALL))}",
-    "recall_stream": f"{_BASE}, {_STREAM} {_recall_sql(_top(_cand(_est('b1'))), _top(f'select query_id, point_id from q, {_LIVE}'))}",
+    "hash_search": f"{_SIZED} {_out(_top(_found('hash')), 'score')}",
+    "stream_update_incremental": f"{_SIZED}, {_STREAM} {_out('select * from b1', 'val')}",
+    "stream_update_rebuild": f"{_SIZED}, {_STREAM}, " + _bucket("b2", "(select sides.* from sides join a using (point_id), w where age >= tenth)", _M) + f" {_out('select * from b2', 'val')}",
+    "stream_estimate_search": f"{_SIZED}, {_STREAM} {_out(_top(_found('bucket', 'b1')), 'score')}",
+    "stream_hash_search": f"{_SIZED}, {_STREAM} {_out(_top(_found('hash', 'b1')), 'score')}",
+    "recall_dense": f"{_SIZED} {_recall_sql(_top(_found('dense')), _top(_ALL))}",
+    "recall_bucket": f"{_SIZED} {_recall_sql(_top(_found('bucket')), _top(_ALL))}",
+    "recall_hash": f"{_SIZED} {_recall_sql(_top(_found('hash')), _top(_ALL))}",
+    "recall_stream": f"{_SIZED}, {_STREAM} {_recall_sql(_top(_found('bucket', 'b1')), _top(f'select query_id, point_id from q, {_LIVE}'))}",
     "index_size_report": f"select count(*) as n_points, count(*) * {CFG.dim * 4} as vector_bytes, count(*) * {(CFG.dim + CFG.directions) * 4} as dense_bytes, count(*) * {CFG.dim * 4} + {16 * CFG.top_m * CFG.directions} as bucket_bytes, count(*) * {CFG.dim * 4} + {8 * CFG.top_m * CFG.directions} as hash_bytes from embeddings",
     "candidate_sweep": f"{_BASE}, {_SWEEP_PROBES} " + " union all ".join(f"select {s} as n_probed_vectors, {c} as n_cand, recall from ({_recall_sql(_top(_cand(_est(probe=f'pb{s}'), c)), _top(_ALL))})" for s, c in SWEEP),
     "read_bin": _READ,
     "read_txt": _READ,
     "read_npy": _READ,
     "stream_microbatch_state": f"{_BASE} {_out('select * from bk', 'val')}",
+    "hash_search_centered": f"{_centred('p')} {_out(_top(_found('hash')), 'score')}",
+    "stream_search_centered": f"{_centred('(select p.* from p join a using (point_id), w where age < n - tenth)')}, {_STREAM.removeprefix(_AGES + ', ')} {_out(_top(_found('bucket', 'b1')), 'score')}",
+    "stream_one_window": f"{_SIZED}, {_STREAM} {_out(' union all '.join(f"select *, '{name}' as kind from ({_top(_found(kind, 'b1'))})" for name, kind in (('estimate', 'bucket'), ('hash', 'hash'))), 'score')}",
+    "stream_delete": f"{_BASE}, " + _bucket("b3", "(select dir, sgn, point_id, val from bk where point_id % 7 <> 3)") + f" {_out('select * from b3', 'val')}",
+    "stream_window_state": f"{_BASE}, {_AGES}, "
+    # all of the first batch leave, so the second batch's newest are a window built anew; of these half and more stay
+    + _bucket("b4", "(select sides.* from sides join a using (point_id), w where age < n * 3 // 4 and age >= n * 3 // 4 - n * 3 // 10)")
+    + ", "
+    + _bucket("b5", "(select dir, sgn, point_id, val from b4 join a using (point_id), w where age >= n - n * 3 // 10 union all select sides.* from sides join a using (point_id), w where age >= n * 3 // 4)")
+    + f" {_out('select * from b5', 'val')}",
+    "ivf_given": _given_sql("f as (select query_id, point_id from probed join lists using (list))").format(4) + f" {_out(_top('select * from f'), 'score')}",
+    "ivf_pq_given": _given_sql(_SIZES + ", " + _PQ).format(8) + f" {_out(_top(_cand('select * from e', _M)), 'score')}",
 }

@@ -22,7 +22,7 @@ from ..plans import IndexConfig, QueryConfig
 from ..sources.tables import drop_path, fresh_path, id_at, names_in, stored
 
 
-@dataclass(frozen=True)
+@dataclass
 class WindowIndex:
     """points: seq, vec of the window; buckets: dir, sgn, rk, point_id (a seq), val; mean is fixed at the build."""
 

@@ -203,6 +203,42 @@ def test_functions_in_sql(spark):
     assert tuple(got) == (11.0, 5.0, [1.0, 0.0], -1, 1)
 
 
+def test_table_function_searches(spark, points):
+    sql.register(spark)
+    points.createOrReplaceTempView("some_points")
+    query = ", ".join(f"{float(v)}D" for v in X[3])
+    got = spark.sql(f"select point_id, score from mips_search(points => table(select point_id, vec, point_id % 4 as part from some_points) partition by part, query => array({query}), k => 5) order by score desc, point_id limit 5")
+    assert [tuple(r) for r in got.collect()] == [(p, s) for q, _, p, s in sorted(brute(5)) if q == 3]
+
+
+def test_stages_are_measured(spark, points, queries):
+    from spindrift.operators.metrics import compared, measured_search
+
+    q = QueryConfig(5, 8, None, 40)
+    results, stages, sizes = measured_search(points, queries, CFG, q)
+    got = {r["stage"]: r for r in stages.collect()}
+    assert list(got) == ["build", "probe", "candidates", "rerank", "total"] and all(r["seconds"] > 0 for r in got.values())
+    assert got["probe"]["rows"] == 80 and got["build"]["rows"] == 2 * 32 * 20 and got["rerank"]["rows"] == results.count() == 50
+    assert sizes.first()["n_points"] == 120 and sizes.first()["avg_candidates"] <= 40
+    kinds = {r["kind"]: r for r in compared(points, queries, CFG, q).collect()}
+    assert kinds["exact"]["recall"] == 1 and set(kinds) == {"exact", "dense", "bucket", "hash", "ivf", "ivf_pq"}
+    assert all(0.3 < r["recall"] <= 1 and r["search_seconds"] > 0 for r in kinds.values())
+
+
+@pytest.mark.parametrize("kind", ["dense", "bucket", "hash", "stream", "stream-hash"])
+def test_command_line_of_each_kind(spark, points, tmp_path, kind):
+    sources.write_bin(points, f"file://{tmp_path}/p")
+    sources.write_bin(points.filter("point_id < 10"), f"file://{tmp_path}/q")
+    more = ["--update", f"{tmp_path}/q", "--n-del", "30", "--metrics", f"{tmp_path}/m"] if kind.startswith("stream") else []
+    cli.main(["--points", f"{tmp_path}/p", "--queries", f"{tmp_path}/q", "--dim", "8", "--n-proj", "32", "--top-m", "60", "--kind", kind, "--k", "3", "--n-probed-vectors", "32", "--n-cand", "120", "--out", f"{tmp_path}/o", *more])
+    lines = [[int(i) for i in r["value"].split()] for r in spark.read.text(f"{tmp_path}/o").collect()]
+    live = {k: X[k] for k in range(30, 120)} | {120 + k: X[k] for k in range(10)} if more else dict(enumerate(X))
+    want = [sorted(live, key=lambda p: (-float(X[q].astype(float) @ live[p].astype(float)), p))[:3] for q in range(10)]
+    assert len(lines) == 10 and sum(len(set(a) & set(b)) for a, b in zip(lines, want)) >= 27
+    if more:
+        assert {r["stage"] for r in spark.read.json(f"{tmp_path}/m").collect()} == {"build", "update", "search", "total"}
+
+
 def test_command_line(spark, points, queries, tmp_path):
     points.write.parquet(f"{tmp_path}/p")
     points.filter("point_id < 10").write.parquet(f"{tmp_path}/q")

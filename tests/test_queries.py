@@ -39,6 +39,22 @@ def test_query_matches_sql(spark, con, name):
     assert not bad, bad[:5]
 
 
-def test_search_without_sql(spark):
-    rows = vq.QUERIES["ivf_search"](spark, SF).collect()
+@pytest.mark.parametrize("name", ["ivf_search", "ivf_pq_search"])
+def test_search_without_sql(spark, name):
+    rows = vq.QUERIES[name](spark, SF).collect()
     assert all(r["point_id"] == r["query_id"] for r in rows if r["rank"] == 1)
+    exact = {(r["query_id"], r["point_id"]): r["score"] for r in vq.QUERIES["exact_mips_topk"](spark, SF).collect()}
+    assert sum((r["query_id"], r["point_id"]) in exact for r in rows) >= 0.4 * len(exact)
+    assert all(math.isclose(r["score"], exact.get((r["query_id"], r["point_id"]), r["score"]), abs_tol=2e-6) for r in rows)
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+@pytest.mark.parametrize("name", ["recall_dense", "recall_bucket", "recall_hash", "recall_stream"])
+def test_recall_at_every_size(spark, name, sf):
+    assert vq.QUERIES[name](spark, f"/root/testdata/{sf}").first()["recall"] >= 0.9
+
+
+def test_no_search_pairs_all(spark):
+    for name in ("dense_search", "bucket_search", "hash_search", "exact_mips_topk", "exact_l2_topk"):
+        plan = vq.QUERIES[name](spark, SF)._jdf.queryExecution().toString()
+        assert "Cartesian" not in plan and "NestedLoop" not in plan, name
