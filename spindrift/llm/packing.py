@@ -20,6 +20,7 @@ from __future__ import annotations
 import functools
 import json
 import re
+import struct
 import zlib
 from collections import defaultdict
 
@@ -63,7 +64,7 @@ class Encoder:
     and ASCII signs. Other tokenizers, and texts with an added token, are encoded whole.
     """
 
-    KEPT = 250_000
+    KEPT = 125_000
     LONGEST = 64
     _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
     _SIGN = "!-/:-@\\[-`{-~"
@@ -80,23 +81,34 @@ class Encoder:
         split = {} if split is None else json.loads(split.__getstate__())
         self.by_chunk = split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space") and self.tokenizer.normalizer is None
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.model, self.known = self.tokenizer.model, {}
+        # what came lately, and what came before: a chunk that comes again outlives the change of both
+        self.model, self.known, self.older = self.tokenizer.model, {}, {}
         # byte-level alphabets write printable bytes as themselves and the others, in order, from 256 on
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in set(shown)]
         self.alphabet = {b: b for b in shown} | {b: 256 + k for k, b in enumerate(hidden)}
+        self.blank = chr(self.alphabet[32])
+
+    def _keep(self, chunk: str, out: bytes) -> bytes:
+        if len(self.known) >= self.KEPT:
+            self.older, self.known = self.known, {}
+        self.known[chunk] = out
+        return out
 
     def _chunk(self, chunk: str) -> bytes:
+        out = self.older.get(chunk)
+        if out is not None:
+            return self._keep(chunk, out)
         if self.WORD.fullmatch(chunk):
-            ids = [t.id for t in self.model.tokenize(chunk.encode().decode("latin-1").translate(self.alphabet))]
+            if chunk.isascii():  # only the blank is not written as itself
+                shown = self.blank + chunk[1:] if chunk[0] == " " else chunk
+            else:
+                shown = chunk.encode().decode("latin-1").translate(self.alphabet)
+            ids = [t.id for t in self.model.tokenize(shown)]
         else:
             ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
-        out = np.array(ids, dtype="<u4").tobytes()
-        if len(chunk) <= self.LONGEST:
-            if len(self.known) >= self.KEPT:
-                self.known.clear()
-            self.known[chunk] = out
-        return out
+        out = np.array(ids, dtype="<u4").tobytes() if len(ids) > 64 else struct.pack(f"<{len(ids)}I", *ids)
+        return self._keep(chunk, out) if len(chunk) <= self.LONGEST else out
 
     def encode(self, text: str) -> bytes:
         if not self.by_chunk or any(t in text for t in self.added):
