@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import drop_since, mark, stored  # noqa: F401
@@ -81,6 +81,27 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def beside(rows: DataFrame, items: str, known: str, fields: str) -> DataFrame:
+    """(row, start, end, `fields`, beside) of each of a row's items: whether it overlaps none of its known spans. items: array<struct<start,end,fields>>, known: array<struct<start,end,..>>.
+
+    Both are laid out in order of start, and each item looks at the known span that reaches furthest before it and at the next one; so a text of many of both takes no product of them.
+    """
+    none = F.expr(f"cast(null as struct<{fields}>)")
+    names = [f.split(":")[0] for f in fields.split(",")]
+    own = F.transform(items, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.struct(*[x[n].alias(n) for n in names]).alias("item")))
+    other = F.transform(known, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), none.alias("item")))
+    flat = rows.select("row", F.inline(F.concat(own, other)))
+    # two orders with running values: a frame that reaches to the end would be worked out anew for each row
+    forth = Window.partitionBy("row").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    back = Window.partitionBy("row").orderBy(F.desc("start"), F.desc("end")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    is_known = F.col("item").isNull()
+    reach = F.max(F.when(is_known, F.col("end"))).over(forth)
+    following = F.min(F.when(is_known, F.col("start"))).over(back)
+    flat = flat.withColumns({"reach": reach, "following": following}).filter(F.col("item").isNotNull())
+    apart = (F.coalesce("reach", F.lit(0)) <= F.col("start")) & (F.col("following").isNull() | (F.col("following") >= F.col("end")))
+    return flat.select("row", "start", "end", *[F.col("item")[n].alias(n) for n in names], apart.alias("beside"))
+
+
 def normal_cdf(z: Column) -> Column:
     """Logistic-cubic approximation of the normal distribution function; error below 2e-4."""
     z = F.least(F.greatest(z, F.lit(-8.0)), F.lit(8.0))
@@ -93,7 +114,5 @@ def buckets_for(rows: int, per_bucket: int = 20_000, least: int = 16) -> int:
 
 def prefix_offsets(counts: DataFrame, keys: list[str], bucket: str, value: str, out: str) -> DataFrame:
     """Exclusive running sums of `value` over `bucket` for each key; counts has one row per (key, bucket)."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     return counts.select(*keys, bucket, F.coalesce(F.sum(value).over(w), F.lit(0)).cast("long").alias(out))

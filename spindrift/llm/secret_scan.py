@@ -10,7 +10,7 @@ are measured over all letter-only candidates of the table. Benjamini-Hochberg th
 histograms of that p-value over the whole table. Flagged are candidates which pass both and do not overlap a known form.
 
 Only DataFrame functions are used. Defined cases: null text counts as empty; a text without spans gives zero
-counts, the digest of the empty string and spans ""; rows without id and repeated rows each give a row; an empty table gives an empty
+counts, the digest of the empty string and spans ""; very long texts and tokens are tested whole; candidates of equal p-value share a cell of the histogram and fare alike; rows without id and repeated rows each give a row; an empty table gives an empty
 result; other columns are not looked at.
 """
 
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import find_spans, let, normal_cdf, stored, whole_text
+from .common import beside, find_spans, let, normal_cdf, stored, whole_text
 
 ASSIGN = "([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 ACCESS = "AKIA[A-Z0-9]{16,}"
@@ -138,9 +138,7 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     token = F.transform(find_spans(text, TOKEN), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["hit"].alias("token")))
     light = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), known_spans(text).alias("base"), token.alias("tokens"))
     light = stored(light)
-    apart = lambda t: ~F.exists("base", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"]))
-    tested = light.select("row", F.inline("tokens"), "base").withColumn("apart", apart({"start": F.col("start"), "end": F.col("end")})).drop("base")
-    tested = stored(battery(tested))
+    tested = stored(battery(beside(light, "tokens", "base", "token:string").withColumnRenamed("beside", "apart")))
     scored = tested.withColumn("p", ordinary_p(*ordinary_rates(tested)))
     band = F.floor(F.log2(F.col("length"))).cast("int")
     scored = scored.withColumn("band", band).withColumn("cell", F.least(F.lit(480), F.floor(-40 * F.log10(F.greatest("p", F.lit(1e-12))))).cast("int"))
