@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import find_spans, stored, whole_text
+from .common import beside, find_spans, stored, whole_text
 
 # Fixed forms. A possessive loop takes what a greedy one would, as nothing follows it; where a run can only match from
 # its start or from the end of the match before, that is said, so long runs cost no more than their length.
@@ -104,9 +104,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     seen = F.filter(F.transform(find_spans(text, INSTANCE), instance), lambda x: x["pattern"] != " ")
     light = stored(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), known_spans(text).alias("base"), seen.alias("seen")))
-    flat = light.select("row", "base", F.inline("seen"))
-    hits = F.exists("base", lambda s: (s["start"] < F.col("end")) & (F.col("start") < s["end"]))
-    flat = flat.select("row", "start", "end", "instance", "pattern", hits.alias("seed"))
+    flat = beside(light, "seen", "base", "instance:string,pattern:string").withColumn("seed", ~F.col("beside")).drop("beside")
     graph = flat.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"), F.count("*").alias("n"))
     sure = confident_patterns(graph).select("pattern")
     more = flat.filter(~F.col("seed") & private(F.col("instance"))).join(sure, "pattern", "left_semi")
