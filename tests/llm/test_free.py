@@ -222,17 +222,6 @@ def test_content_sort_against_sql(spark):
     assert sorted(got) == sorted(want)
 
 
-def test_content_sort_folds_in_pieces(monkeypatch, docs):
-    want = sorted(map(tuple, content_sort.exact_dedup(docs).collect()))
-    fold = content_sort._fold
-    import pyarrow as pa
-
-    table = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array(["a b", "ab", "c"])], names=["id", "text"])
-    monkeypatch.setattr(content_sort, "FLUSH_BYTES", 1)
-    assert sum(b.num_rows for b in fold(iter([table]))) == 3
-    assert want
-
-
 def test_repeated_lines_against_brute_force(docs, texts):
     first, where = {}, defaultdict(set)
     for i in sorted(texts):
