@@ -90,14 +90,13 @@ def beside(rows: DataFrame, items: str, known: str, fields: str) -> DataFrame:
     names = [f.split(":")[0] for f in fields.split(",")]
     own = F.transform(items, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.struct(*[x[n].alias(n) for n in names]).alias("item")))
     other = F.transform(known, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), none.alias("item")))
-    flat = rows.select("row", F.inline(F.concat(own, other)))
-    # two orders with running values: a frame that reaches to the end would be worked out anew for each row
-    forth = Window.partitionBy("row").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    back = Window.partitionBy("row").orderBy(F.desc("start"), F.desc("end")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    is_known = F.col("item").isNull()
-    reach = F.max(F.when(is_known, F.col("end"))).over(forth)
-    following = F.min(F.when(is_known, F.col("start"))).over(back)
-    flat = flat.withColumns({"reach": reach, "following": following}).filter(F.col("item").isNotNull())
+    flat = rows.select("row", F.inline(F.concat(own, other))).withColumn("own", F.col("item").isNotNull())
+    # of equal starts the known span comes first in both; two orders with running values: a frame that reaches to the end would be worked out anew for each row
+    forth = Window.partitionBy("row").orderBy("start", "own").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    back = Window.partitionBy("row").orderBy(F.desc("start"), "own").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    reach = F.max(F.when(~F.col("own"), F.col("end"))).over(forth)
+    following = F.min(F.when(~F.col("own"), F.col("start"))).over(back)
+    flat = flat.withColumns({"reach": reach, "following": following}).filter("own")
     apart = (F.coalesce("reach", F.lit(0)) <= F.col("start")) & (F.col("following").isNull() | (F.col("following") >= F.col("end")))
     return flat.select("row", "start", "end", *[F.col("item")[n].alias(n) for n in names], apart.alias("beside"))
 

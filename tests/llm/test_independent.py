@@ -125,7 +125,7 @@ def test_spans_beside_known_ones(spark):
     for _ in range(3):
         cuts = sorted(rng.sample(range(400), 80))
         items = list(zip(cuts[::2], cuts[1::2]))
-        known = sorted((a, a + rng.randint(1, 30)) for a in rng.sample(range(400), 25))
+        known = sorted([(a, a + rng.randint(1, 30)) for a in rng.sample(range(400), 20)] + items[::9] + [(a, a + 1) for a, _ in items[4::9]])
         rows = spark.createDataFrame([(1, [(a, b, f"{a}") for a, b in items], [(a, b) for a, b in known]), (2, [(0, 3, "0")], [])], "row long, items array<struct<start:int,end:int,name:string>>, known array<struct<start:int,end:int>>")
         got = {(r["row"], r["start"], r["end"], r["name"]): r["beside"] for r in common.beside(rows, "items", "known", "name:string").collect()}
         want = {(1, a, b, f"{a}"): not any(s < b and a < e for s, e in known) for a, b in items} | {(2, 0, 3, "0"): True}
