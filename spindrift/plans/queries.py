@@ -15,7 +15,7 @@ from ..operators.exact import exact_search
 from ..operators.ivf import ivf_pq_search, ivf_search
 from ..operators.rotation import flip, long_projection, project, rotate, round_bits, sign_table
 from ..operators.topk import probes
-from ..sources.tables import fresh_path, id_at
+from ..sources.tables import fresh_path, id_at, stored
 from ..streaming import StreamingIndex, WindowIndex
 from . import IndexConfig, QueryConfig
 
@@ -166,7 +166,8 @@ def ivf_pq_given(spark, d):
 
 def candidate_sweep(spark, d):
     index, q = _built("bucket")(spark, d)
-    truth, out = exact_search(index.points, q, Q.k), None
+    index.table = stored(index.table)  # built once for all rows of the sweep
+    truth, out = stored(exact_search(index.points, q, Q.k)), None
     for s, c in SWEEP:
         found = index.search(q, QueryConfig(Q.k, s, None, c))
         row = ix.recall(found, truth, Q.k).select(F.lit(s).alias("n_probed_vectors"), F.lit(c).alias("n_cand"), r6("recall").alias("recall"))
