@@ -48,7 +48,7 @@ def _windows(sizes: list[int], least: int) -> list[tuple[int, int]]:
     return sorted(found)
 
 
-def units_of(text: str, min_words: int = MIN_WORDS):
+def units_of(text: str, min_words: int = MIN_WORDS, line_words: int = 1):
     """(digest, start, end, words, is_sentence, whether the text has it before) of each unit."""
     seen: set[int] = set()
     for m in _LINE.finditer(text):
@@ -56,7 +56,7 @@ def units_of(text: str, min_words: int = MIN_WORDS):
         whole = line.lower().split()
         if not whole:
             continue
-        spans = [(m.start(), m.end(), whole, False)]
+        spans = [(m.start(), m.end(), whole, False)] if len(whole) >= line_words else []
         parts = [(m.start() + p.start(), m.start() + p.end(), p.group().lower().split(), True) for p in _SENTENCE.finditer(line)]
         parts = [p for p in parts if p[2]]
         if len(parts) > 1:
@@ -71,7 +71,7 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _extract(min_words: int):
+def _extract(min_words: int, line_words: int):
     def run(batches):
         schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("words", pa.int32()), ("sentence", pa.bool_()), ("again", pa.bool_())])
         low = (1 << 64) - 1
@@ -79,7 +79,7 @@ def _extract(min_words: int):
             rows = [
                 (i, row, _signed(d >> 64), _signed(d & low), *rest)
                 for i, row, t in zip(*(c.to_pylist() for c in b.columns))
-                for d, *rest in units_of(t, min_words)
+                for d, *rest in units_of(t, min_words, line_words)
             ]
             cols = list(zip(*rows)) or [[]] * len(schema)
             yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(cols, schema)], schema=schema)
@@ -92,11 +92,11 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).cast("string").alias("text"))
 
 
-def _removed(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFrame:
+def _removed(docs: DataFrame, min_words: int, line_words: int, id_col: str, text_col: str) -> DataFrame:
     """The removed units with the row that they stand in."""
     small_batches(docs.sparkSession)
     rows = _rows(docs, id_col, text_col).select("doc_id", "row", whole_text("text").alias("text"))
-    units = stored(rows.mapInArrow(_extract(min_words), _UNITS))
+    units = stored(rows.mapInArrow(_extract(min_words, line_words), _UNITS))
     rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("row").alias("row"))
     first = units.groupBy("hi", "lo").agg(F.min(rank).alias("first"), F.count("*").alias("n"), F.sum(F.when(F.col("again"), 0).otherwise(1)).alias("copies"))
     first = stored(first.filter("n > 1").select("hi", "lo", "n", "copies", F.col("first.id").alias("kept_doc_id"), F.col("first.row").alias("kept_row")))
@@ -111,19 +111,19 @@ def _removed(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> Dat
     return gone.withColumn("reach", reach).filter(~F.col("sentence") | F.col("reach").isNull() | (F.col("reach") < F.col("end")))
 
 
-def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS, line_words: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per removed unit: doc_id, start, end, words, unit, kept_doc_id, copies (rows that have it).
 
-    A sentence inside a removed line isn't listed again. Units of several sentences overlap their neighbours.
+    A sentence inside a removed line isn't listed again. Units of several sentences overlap their neighbours. Lines of fewer words than line_words are no units; by default all are.
     """
     unit = F.when(F.col("sentence"), "sentence").otherwise("line").alias("unit")
-    return _removed(docs, min_words, id_col, text_col).select("doc_id", "start", "end", "words", unit, "kept_doc_id", "copies")
+    return _removed(docs, min_words, line_words, id_col, text_col).select("doc_id", "start", "end", "words", unit, "kept_doc_id", "copies")
 
 
-def remove_repeated(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeated(docs: DataFrame, min_words: int = MIN_WORDS, line_words: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text without the removed units, and `removed`: array of (start, end) in the original text."""
     docs = steady(docs)
-    gone = _removed(docs, min_words, id_col, text_col)
+    gone = _removed(docs, min_words, line_words, id_col, text_col)
     # units of several sentences overlap: what lies together is cut as one
     order = Window.partitionBy("row").orderBy("start", "end")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))

@@ -16,3 +16,9 @@ def test_passage_of_short_sentences_and_short_lines_go(spark):
     assert got[2] == "Something else stands here. Yes.\n\nThen came 99."
     removed = {r["doc_id"]: r["removed"] for r in lines.remove_repeated(df).collect()}
     assert len(removed[2]) == 2
+
+
+def test_short_lines_stay_where_asked(spark):
+    df = spark.createDataFrame([(1, "Yes.\nThis line is long enough to go."), (2, "Yes.\nThis line is long enough to go.")], "doc_id long, text string")
+    assert {r["start"] for r in lines.repeated_units(df).collect()} == {0, 5}
+    assert [(r["doc_id"], r["start"]) for r in lines.repeated_units(df, line_words=4).collect()] == [(2, 5)]
