@@ -5,17 +5,18 @@ Points are all rows; queries are the rows whose id is divisible by 50.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import sources
-from ..functions import center, column_mean, hadamard, inner_product, l2_normalize, mean_vector, pad
+from ..functions import center, column_mean, hadamard, inner_product, l2_normalize, mean_vector, pad, sign_of
 from ..operators import index as ix
 from ..operators.exact import exact_search
 from ..operators.ivf import ivf_pq_search, ivf_search
 from ..operators.rotation import flip, long_projection, project, rotate, round_bits, sign_table
-from ..operators.topk import probes
-from ..sources.tables import fresh_path, id_at, stored
+from ..operators.topk import probes, to_matrix
+from ..sources.tables import fresh_path, id_at, stored, with_row_ids
 from ..streaming import StreamingIndex, WindowIndex
 from . import IndexConfig, QueryConfig
 
@@ -25,6 +26,7 @@ Q = QueryConfig(k=10, n_probed_vectors=10, n_cand=50)
 SHARE, HASH_SHARE, LEAST = 5, 10, 50
 PROBED = {"dense": 16, "bucket": 24, "hash": 10}
 GIVEN = 61
+WIDE = 15
 PADDED = 100
 SWEEP = [(5, 20), (10, 20), (10, 50), (20, 50)]
 
@@ -215,6 +217,44 @@ def _reread(kind: str):
     return run
 
 
+def read_memory(spark, d):
+    """The points as a NumPy array in the driver's memory and back; the ids are positions, so of the sorted rows."""
+    rows = points(spark, d).orderBy("point_id").collect()
+    got = sources.from_memory(spark, np.array([r["vec"] for r in rows], dtype="<f4"))
+    return _entries(got, F.col("vec").cast("array<double>"))
+
+
+def result_lines(spark, d):
+    """The lines of the text sink, read again in order."""
+    path = fresh_path(spark, "results")
+    sources.write_results(exact_search(p := points(spark, d), queries_of(p), Q.k), path)
+    lines = spark.read.text(path)
+    place = lines.metadataColumn("_metadata")
+    return with_row_ids(lines.select("value", place["file_path"].alias("_file"), place["file_block_start"].alias("_block")), "line", file_order=True)
+
+
+def padded_matrix(spark, d):
+    """Results as arrays filled with zeros beyond those found, one row per place."""
+    m = to_matrix(exact_search(p := points(spark, d), queries_of(p), Q.k), WIDE, pad=True)
+    places = m.select("query_id", F.posexplode(F.arrays_zip("ids", "scores")).alias("place", "e"))
+    return places.select("query_id", "place", F.col("e.ids").alias("point_id"), r6(F.col("e.scores")).alias("score"))
+
+
+def stream_positions(spark, d):
+    """Places of the points in the window: the age in it, oldest first."""
+    state = _updated("incremental")(spark, d)
+    low = state.points.agg(F.min("seq").alias("low"))  # one row
+    return state.points.join(F.broadcast(low), F.col("seq") >= F.col("low")).select("seq", (F.col("seq") - F.col("low")).alias("position"))
+
+
+def stream_tumbling(spark, d):
+    """A full turnover: the newer half takes the place of the older."""
+    p = points(spark, d).withColumnRenamed("point_id", "seq")
+    n = p.count()
+    cut = id_at(p, "seq", n // 2)
+    return _rounded(WindowIndex.build(p.filter(F.col("seq") < cut), CFG).update(p.filter(F.col("seq") >= cut), n // 2).buckets, "val")
+
+
 QUERIES = {
     "exact_mips_topk": _exact("dot"),
     "exact_cosine_topk": _exact("cosine"),
@@ -257,6 +297,12 @@ QUERIES = {
     "read_txt": _reread("txt"),
     "read_npy": _reread("npy"),
     "stream_microbatch_state": stream_microbatch_state,
+    "read_memory": read_memory,
+    "result_lines": result_lines,
+    "padded_matrix": padded_matrix,
+    "vector_signs": lambda s, d: points(s, d).select("point_id", F.posexplode(F.transform("vec", sign_of)).alias("pos", "sign")),
+    "stream_positions": stream_positions,
+    "stream_tumbling": stream_tumbling,
     "hash_search_centered": _search("hash", True),
     "stream_search_centered": _stream_search("estimate", True),
     "stream_one_window": stream_one_window,
@@ -442,6 +488,12 @@ ORACLE_SQL = {
     "read_txt": _READ,
     "read_npy": _READ,
     "stream_microbatch_state": f"{_BASE} {_out('select * from bk', 'val')}",
+    "read_memory": _READ,
+    "result_lines": f"with {_POINTS} select row_number() over (order by query_id) - 1 as line, string_agg(point_id, ' ' order by rank) || ' ' as value from ({_top(_ALL)}) group by query_id",
+    "padded_matrix": f"with {_POINTS}, t as ({_top(_ALL)}), s as (select query_id, unnest(range({WIDE})) as place from q) select s.query_id, place, coalesce(point_id, 0) as point_id, {_r('coalesce(score, 0)')} as score from s left join t on t.query_id = s.query_id and rank = place + 1",
+    "vector_signs": f"with {_POINTS}, {_LONG} select point_id, pos, case when x < 0 then -1 else 1 end as sign from l",
+    "stream_positions": f"with {_POINTS}, {_AGES} select point_id as seq, age - tenth as position from a, w where age >= tenth",
+    "stream_tumbling": f"{_BASE}, {_AGES}, " + _bucket("b6", "(select sides.* from sides join a using (point_id), w where age >= n // 2)") + f" {_out('select * from b6', 'val')}",
     "hash_search_centered": f"{_centred('p')} {_out(_top(_found('hash')), 'score')}",
     "stream_search_centered": f"{_centred('(select p.* from p join a using (point_id), w where age < n - tenth)')}, {_STREAM.removeprefix(_AGES + ', ')} {_out(_top(_found('bucket', 'b1')), 'score')}",
     "stream_one_window": f"{_SIZED}, {_STREAM} {_out(' union all '.join(f"select *, '{name}' as kind from ({_top(_found(kind, 'b1'))})" for name, kind in (('estimate', 'bucket'), ('hash', 'hash'))), 'score')}",
