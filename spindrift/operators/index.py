@@ -6,7 +6,6 @@ points with the largest sgn * projection; groups have equal sizes, so exchanges
 
 from __future__ import annotations
 
-import heapq
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -27,30 +26,38 @@ def _local_buckets(cfg: IndexConfig):
     """Each task's own top_m per direction and sign: what crosses the shuffle doesn't grow with its points."""
 
     def run(batches):
-        ids = np.zeros(0, dtype=np.int64)
-        rows = np.zeros((0, cfg.directions))
-        best: dict[tuple[int, int], list] = {}
-
-        def fold(ids, rows):
-            for d in range(cfg.directions):
-                for sgn in (1, -1):
-                    v = rows[:, d] * sgn
-                    floor = np.partition(v, len(v) - cfg.top_m)[len(v) - cfg.top_m] if len(v) > cfg.top_m else -np.inf
-                    at = np.nonzero(v >= floor)[0]
-                    best[d, sgn] = heapq.nsmallest(cfg.top_m, best.get((d, sgn), []) + list(zip((-v[at]).tolist(), ids[at].tolist())))
+        sides = 2 * cfg.directions
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        best = np.zeros((sides, 0)), np.zeros((sides, 0), dtype=np.int64)
+
+        def fold():
+            nonlocal best, held
+            ids, rows = np.concatenate([i for i, _ in held]), np.vstack([r for _, r in held]).T
+            held = []
+            width = min(cfg.top_m, best[0].shape[1] + len(ids))
+            values, points = np.empty((sides, width)), np.empty((sides, width), dtype=np.int64)
+            step = max(1, SCORES // (len(ids) + cfg.top_m))
+            for at in range(0, sides, step):
+                some = np.arange(at, min(sides, at + step))
+                new = rows[some % cfg.directions] * np.where(some < cfg.directions, 1.0, -1.0)[:, None]
+                both = np.hstack([best[0][some], new]), np.hstack([best[1][some], np.broadcast_to(ids, new.shape)])
+                _, v, p = best_of(*both, cfg.top_m)
+                values[some], points[some] = v.reshape(-1, width), p.reshape(-1, width)
+            best = values, points
 
         for b in batches:
-            ids = np.concatenate([ids, b.column(0).to_numpy(zero_copy_only=False)])
-            rows = np.vstack([rows, project_batch(vectors_of(b.column(1), cfg.dim), cfg)]) if b.num_rows else rows
-            if len(ids) * cfg.directions > 4_000_000:
-                fold(ids, rows)
-                ids, rows = ids[:0], rows[:0]
-        if len(ids):
-            fold(ids, rows)
-        out = [(d, s, p, -v) for (d, s), top in best.items() for v, p in top]
-        cols = list(zip(*out)) or [[]] * 4
-        types = (pa.int32(), pa.int32(), pa.int64(), pa.float64())
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types)], names=["dir", "sgn", "point_id", "val"])
+            if b.num_rows:
+                held.append((b.column(0).to_numpy(zero_copy_only=False), project_batch(vectors_of(b.column(1), cfg.dim), cfg)))
+                if sum(len(i) for i, _ in held) * cfg.directions > 4_000_000:
+                    fold()
+        if held:
+            fold()
+        width = best[0].shape[1]
+        for at in range(0, sides, max(1, SCORES // max(1, width))):
+            some = np.arange(at, min(sides, at + max(1, SCORES // max(1, width))))
+            side = np.repeat(some, width)
+            cols = (side % cfg.directions, pa.int32()), (np.where(side < cfg.directions, 1, -1), pa.int32()), (best[1][some].ravel(), pa.int64()), (best[0][some].ravel(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in cols], names=["dir", "sgn", "point_id", "val"])
 
     return run
 

@@ -17,7 +17,7 @@ from ..plans import IndexConfig
 
 ROUNDS = 3
 #: Above so many outputs a vector, whole batches are faster than expressions.
-SQL_LIMIT = 128
+SQL_LIMIT = 16
 _M = 2**31 - 1
 
 
