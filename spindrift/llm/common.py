@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,14 +23,34 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+def _of_files(docs: DataFrame) -> bool:
+    """Whether each row of docs is one row of a Parquet file: filters and projections of a scan, nothing else."""
+    plan = docs._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() in ("Project", "Filter") and plan.deterministic():
+        plan = plan.children().head()
+    if plan.nodeName() != "LogicalRelation":
+        return False
+    try:
+        docs.select(row_name(docs)).schema
+    except AnalysisException:
+        return False
+    return True
+
+
 def steady(docs: DataFrame) -> DataFrame:
-    """docs with row numbers (monotonically_increasing_id) that are the same in each scan: as it is if read without an exchange, else stored first."""
-    return stored(docs) if "Exchange" in docs._jdf.queryExecution().executedPlan().toString() else docs
+    """docs whose rows have names (row_name) that are the same in each scan: as it is if read from Parquet files, else stored first."""
+    return docs if _of_files(docs) else stored(docs)
+
+
+def row_name(docs: DataFrame) -> Column:
+    """struct<file, row> of each row of steady docs: a hash of its file's path and its place in the file. Numbers by partition would not do: files are split by the cores that are there when a scan is run."""
+    place = docs.metadataColumn("_metadata")
+    return F.struct(F.xxhash64(place["file_path"]).alias("file"), place["row_index"].alias("row"))
 
 
 def rows_of(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The rows of steady docs whose numbers are in rows (row), all columns unchanged, whatever their names."""
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), F.monotonically_increasing_id().alias("row"))
+    """The rows of steady docs whose names are in rows (row), all columns unchanged, whatever their names."""
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), row_name(docs).alias("row"))
     return whole.join(rows, "row", "left_semi").select(*[F.col("whole")[c].alias(c) for c in docs.columns])
 
 

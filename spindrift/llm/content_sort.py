@@ -15,10 +15,10 @@ from __future__ import annotations
 import hashlib
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import rows_of, small_batches, steady, whole_text
+from .common import row_name, rows_of, small_batches, steady, whole_text
 
 SPACE = b" \t\n\x0b\x0c\r"
 #: The same characters as a pattern.
@@ -76,15 +76,15 @@ def content_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
 
 
-def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 and the number of the row."""
+def _marked(docs: DataFrame, id_col: str, text_col: str, row: Column) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 and the name of the row."""
     groups = content_groups(docs, id_col, text_col)
     text = whole_text(text_col)
     light = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.sha2(F.regexp_replace(text, SPACE_RX, "").cast("binary"), 256).alias("text_sha256"),
         F.length(text).cast("long").alias("c"),
-        F.monotonically_increasing_id().alias("row"),
+        row.alias("row"),
     )
     again = Window.partitionBy("doc_id", "text_sha256").orderBy(F.desc("c"), "row")
     light = light.withColumn("again", F.row_number().over(again))
@@ -95,10 +95,10 @@ def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
-    return _marked(docs, id_col, text_col).drop("row")
+    return _marked(docs, id_col, text_col, F.monotonically_increasing_id()).drop("row")
 
 
 def keep_first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns; texts meet the decision by row number, in one exchange."""
+    """The rows of docs that stay, with all their columns; texts meet the decision by the name of their row, in one exchange."""
     docs = steady(docs)
-    return rows_of(docs, _marked(docs, id_col, text_col).filter("kept").select("row"))
+    return rows_of(docs, _marked(docs, id_col, text_col, row_name(docs)).filter("kept").select("row"))

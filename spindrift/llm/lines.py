@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, steady, stored, whole_text
+from .common import small_batches, stored, whole_text
 
 MIN_WORDS = 8
 #: At most so many digests are very common ones.
@@ -88,14 +88,14 @@ def _extract(min_words: int, line_words: int):
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, row (the number of the row, the same in each scan of a table) and text."""
+    """doc_id, row (the number of the row in this scan) and text."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).cast("string").alias("text"))
 
 
-def _removed(docs: DataFrame, min_words: int, line_words: int, id_col: str, text_col: str) -> DataFrame:
+def _removed(rows: DataFrame, min_words: int, line_words: int) -> DataFrame:
     """The removed units with the row that they stand in."""
-    small_batches(docs.sparkSession)
-    rows = _rows(docs, id_col, text_col).select("doc_id", "row", whole_text("text").alias("text"))
+    small_batches(rows.sparkSession)
+    rows = rows.select("doc_id", "row", whole_text("text").alias("text"))
     units = stored(rows.mapInArrow(_extract(min_words, line_words), _UNITS))
     rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("row").alias("row"))
     first = units.groupBy("hi", "lo").agg(F.min(rank).alias("first"), F.count("*").alias("n"), F.sum(F.when(F.col("again"), 0).otherwise(1)).alias("copies"))
@@ -117,13 +117,14 @@ def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS, line_words: int
     A sentence inside a removed line isn't listed again. Units of several sentences overlap their neighbours. Lines of fewer words than line_words are no units; by default all are.
     """
     unit = F.when(F.col("sentence"), "sentence").otherwise("line").alias("unit")
-    return _removed(docs, min_words, line_words, id_col, text_col).select("doc_id", "start", "end", "words", unit, "kept_doc_id", "copies")
+    return _removed(_rows(docs, id_col, text_col), min_words, line_words).select("doc_id", "start", "end", "words", unit, "kept_doc_id", "copies")
 
 
 def remove_repeated(docs: DataFrame, min_words: int = MIN_WORDS, line_words: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text without the removed units, and `removed`: array of (start, end) in the original text."""
-    docs = steady(docs)
-    gone = _removed(docs, min_words, line_words, id_col, text_col)
+    # scanned twice, so with its numbers in a table
+    docs = stored(_rows(docs, id_col, text_col))
+    gone = _removed(docs, min_words, line_words)
     # units of several sentences overlap: what lies together is cut as one
     order = Window.partitionBy("row").orderBy("start", "end")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
@@ -131,7 +132,7 @@ def remove_repeated(docs: DataFrame, min_words: int = MIN_WORDS, line_words: int
     runs = gone.withColumn("reach", reach).withColumn("run", F.sum(apart).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     gone = runs.groupBy("row", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
     spans = gone.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("removed"))  # a row's own
-    rows = _rows(docs, id_col, text_col).join(spans, "row", "left")
+    rows = docs.join(spans, "row", "left")
     # what stands before each removed span and after the last
     stays = F.zip_with(F.concat(F.array(F.lit(0)), F.col("removed.end")), F.concat(F.col("removed.start"), F.array(F.length("text"))), lambda a, b: F.substring(F.col("text"), a + 1, b - a))
     none = F.expr("cast(array() as array<struct<start:int,end:int>>)")

@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import buckets_for, prefix_offsets, steady, stored, whole_text
+from .common import buckets_for, prefix_offsets, row_name, steady, stored, whole_text
 
 BLOCK_CHARS = 4096
 #: Slots of a window; their number times GRID fits a 64-bit number.
@@ -160,13 +160,13 @@ def _source_key(source_col: str) -> Column:
     return F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("null"))
 
 
-def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block_chars: int = BLOCK_CHARS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_numbers: bool = False) -> DataFrame:
-    """A row per document: doc_id, source, block, release, deadline, slot, start_char, in_mix; with row_numbers, the row's monotonically_increasing_id in docs as `row` too."""
+def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block_chars: int = BLOCK_CHARS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_names: bool = False) -> DataFrame:
+    """A row per document: doc_id, source, block, release, deadline, slot, start_char, in_mix; with row_names, which steady docs have, the name of its row as `row` too."""
     spark = docs.sparkSession
     text = whole_text(text_col)
     size = F.greatest(F.length(text), F.lit(1)).cast("long")
     cols = [F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), _source_key(source_col).alias("s"), size.alias("chars")]
-    light = stored(docs.select(*cols, F.xxhash64(text).alias("th"), F.monotonically_increasing_id().alias("row")))
+    light = stored(docs.select(*cols, F.xxhash64(text).alias("th"), (row_name(docs) if row_names else F.monotonically_increasing_id()).alias("row")))
     totals = sorted(light.groupBy("s").agg(F.sum("chars").alias("chars"), F.count("*").alias("n")).collect())  # a row per source
     names = [r["s"] for r in totals]
     if weights is None:
@@ -188,13 +188,13 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block_c
     run = run.withColumn("start_char", F.col("before") + F.col("own")).withColumn("block", F.expr(f"start_char div {block_chars}"))
     run = run.join(spark.createDataFrame(list(enumerate(names)), "i int, s string"), "s")
     placed = run.join(plan, ["i", "block"])
-    return placed.select("doc_id", "source", "block", "release", "deadline", "slot", "start_char", (F.col("slot") < F.lit(limit)).alias("in_mix"), *(["row"] if row_numbers else []))
+    return placed.select("doc_id", "source", "block", "release", "deadline", "slot", "start_char", (F.col("slot") < F.lit(limit)).alias("in_mix"), *(["row"] if row_names else []))
 
 
 def mixed_order(docs: DataFrame, **options) -> DataFrame:
-    """All rows of docs in the order of the schedule, their columns unchanged. Rows meet their places by their number in docs, so only the places are worked out on light rows."""
+    """All rows of docs in the order of the schedule, their columns unchanged. Rows meet their places by their name, so only the places are worked out on light rows."""
     docs = steady(docs)
-    placed = mix(docs, row_numbers=True, **options).select(F.col("row").alias("_place_row"), "slot", "start_char", "doc_id")
+    placed = mix(docs, row_names=True, **options).select(F.col("row").alias("_place_row"), "slot", "start_char", "doc_id")
     places = placed.select("_place_row", F.struct("slot", "start_char", "doc_id", "_place_row").alias("_place"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.monotonically_increasing_id().alias("_place_row"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), row_name(docs).alias("_place_row"))
     return rows.join(places, "_place_row").orderBy("_place").select(*[F.col("_row")[c].alias(c) for c in docs.columns])

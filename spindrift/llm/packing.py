@@ -297,9 +297,9 @@ def _placer(tables: list[dict[int, np.ndarray]]):
 
 
 def _positions(rows: DataFrame) -> DataFrame:
-    """Adds `at`, the position of a row's document among all by file name and row; a file's rows start behind those of the files before it."""
+    """Adds `at`, the position of a row's document among all by file name (a shorter one first, as numbers of files grow longer) and row; a file's rows start behind those of the files before it."""
     files = rows.groupBy("file").agg((F.max("row") + 1).alias("rows"))
-    before = F.sum("rows").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1))  # a row per file
+    before = F.sum("rows").over(Window.orderBy(F.length("file"), "file").rowsBetween(Window.unboundedPreceding, -1))  # a row per file
     return rows.join(files.select("file", F.coalesce(before, F.lit(0)).alias("behind")), "file").select(*rows.columns, (F.col("behind") + F.col("row")).alias("at"))
 
 

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rows_of, small_batches, steady, stored, whole_text
+from .common import row_name, rows_of, small_batches, steady, stored, whole_text
 from .components import components
 
 RADIUS = 2
@@ -63,8 +63,8 @@ def fingerprint(text: str, words: int = 3, seed: int = 42) -> int:
 
 def _fingerprints(batches):
     for b in batches:
-        prints = [signed(fingerprint(t)) for t in b.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints, pa.int64())], names=["doc_id", "fp"])
+        prints = [signed(fingerprint(t)) for t in b.column(b.num_columns - 1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(prints, pa.int64())], names=[*b.schema.names[:-1], "fp"])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -109,10 +109,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The row of the smallest doc_id of each component, with all its columns; of rows repeated under it the first. Texts are fingerprinted once."""
     docs = steady(docs)
-    numbered = docs.select(F.monotonically_increasing_id().alias("row"), whole_text(text_col).alias("text"))
-    prints = fingerprints(numbered, "row", "text").select(F.col("doc_id").alias("row"), "fp")
-    ids = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"))
-    prints = stored(prints.join(ids, "row"))
+    small_batches(docs.sparkSession)
+    rows = docs.select(row_name(docs).alias("row"), F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
+    prints = stored(rows.mapInArrow(_fingerprints, "row struct<file:bigint,row:bigint>, doc_id long, fp long"))
     rooted = prints.join(_classes(prints).select("fp", "root"), "fp")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("row").alias("row")))
     return rows_of(docs, rooted.groupBy("root").agg(first.alias("first")).select("first.row"))
