@@ -1,10 +1,10 @@
-"""The registered queries over `documents` and `labels`, and the SQL that checks them where SQL can express them."""
+"""The registered queries over `documents`, `labels`, `benchmark` and `embeddings`, and the SQL that checks them where SQL can express them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import content_sort, imatch, lang_id, lines, mixing, packing, pii, secret_scan, simhash, toxicity
+from . import content_sort, imatch, lang_id, lines, mining, mixing, packing, pii, repair, resampling, secret_scan, simhash, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +22,14 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxic_documents(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resampling_weights(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mining.mined(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES = {
     "op1_language_mixture": _on_documents(lang_id.language_of),
     "op2_pattern_packing": _on_documents(packing.pack),
@@ -33,11 +41,16 @@ QUERIES = {
     "op8_pfair_mixing": _on_documents(mixing.mix),
     "op9_repeated_lines": _on_documents(lines.repeated_units),
     "op10_content_sort": _on_documents(content_sort.exact_dedup),
+    "op11_resampling": op11_resampling,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_grammar_ids": _on_documents(repair.grammar_ids),
 }
 
 ORACLE_SQL = {
     "op6_imatch": imatch.ORACLE_SQL,
     "op9_repeated_lines": lines.ORACLE_SQL,
+    "op11_resampling": resampling.ORACLE_SQL,
+    "op12_hard_negatives": mining.ORACLE_SQL,
     "op10_content_sort": r"""
         with d as (
             select doc_id, length(coalesce(text, '')) as c, sha256(regexp_replace(coalesce(text, ''), '[ \t-\r]+', '', 'g')) as text_sha256
