@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .. import sources
 from ..functions import center, column_mean, hadamard, inner_product, l2_normalize, mean_vector, pad, sign_of
 from ..operators import index as ix
+from ..operators.bounded import bounded_search
 from ..operators.exact import exact_search
 from ..operators.ivf import ivf_pq_search, ivf_search
 from ..operators.rotation import flip, long_projection, project, rotate, round_bits, sign_table
@@ -56,6 +57,17 @@ def _exact(metric: str):
     return lambda s, d: _rounded(exact_search(p := points(s, d), queries_of(p), Q.k, metric), "score")
 
 
+def bounded_exact(spark, d):
+    p = points(spark, d)
+    return _rounded(bounded_search(p, queries_of(p), Q.k), "score")
+
+
+def bounded_exact_scaled(spark, d):
+    """Points of lengths 1 to 7."""
+    p = points(spark, d).withColumn("vec", F.transform("vec", lambda x: x.cast("double") * (F.col("point_id") % 7 + 1)))
+    return _rounded(bounded_search(p, queries_of(p), Q.k), "score")
+
+
 def inner_product_pairs(spark, d):
     p = points(spark, d)
     return p.crossJoin(queries_of(p).withColumnRenamed("vec", "q")).select("query_id", "point_id", r6(inner_product(F.col("q"), F.col("vec"))).alias("score"))
@@ -259,6 +271,8 @@ QUERIES = {
     "exact_mips_topk": _exact("dot"),
     "exact_cosine_topk": _exact("cosine"),
     "exact_l2_topk": _exact("l2"),
+    "bounded_exact": bounded_exact,
+    "bounded_exact_scaled": bounded_exact_scaled,
     "inner_product_pairs": inner_product_pairs,
     "l2_normalize": lambda s, d: _entries(points(s, d), l2_normalize(F.col("vec"))),
     "pad_vector": lambda s, d: _entries(points(s, d), pad(F.col("vec"), PADDED)),
@@ -435,8 +449,8 @@ def _recall_sql(found: str, truth: str) -> str:
     return f"select * from (with f as ({found}), t as ({truth}) select {share} as recall from f join t using (query_id, point_id))"
 
 
-def _scored(metric: str) -> str:
-    return f"with {_POINTS} " + _out(f"select query_id, row_number() over (partition by query_id order by score desc, point_id) as rank, point_id, score from (select query_id, point_id, {metric} as score from q, p) qualify rank <= {Q.k}", "score")
+def _scored(metric: str, points: str = "") -> str:
+    return f"with {points or _POINTS} " + _out(f"select query_id, row_number() over (partition by query_id order by score desc, point_id) as rank, point_id, score from (select query_id, point_id, {metric} as score from q, p) qualify rank <= {Q.k}", "score")
 
 
 def _rows(x: str = _r("x")) -> str:
@@ -448,6 +462,8 @@ _READ = _rows()
 
 ORACLE_SQL = {
     "exact_mips_topk": _scored("list_inner_product(q.vec, p.vec)"),
+    "bounded_exact": _scored("list_inner_product(q.vec, p.vec)"),
+    "bounded_exact_scaled": _scored("list_inner_product(q.vec, p.vec)", _POINTS.replace("embedding::double[]", "list_transform(embedding, lambda x: x::double * (vec_id % 7 + 1))")),
     "exact_cosine_topk": _scored("list_inner_product(q.vec, p.vec) / sqrt(list_inner_product(q.vec, q.vec)) / sqrt(list_inner_product(p.vec, p.vec))"),
     "exact_l2_topk": _scored("2 * list_inner_product(q.vec, p.vec) - list_inner_product(q.vec, q.vec) - list_inner_product(p.vec, p.vec)"),
     "inner_product_pairs": f"with {_POINTS} select query_id, point_id, {_r('list_inner_product(q.vec, p.vec)')} as score from q, p",
