@@ -90,7 +90,55 @@ def _scored_in_tasks(points: DataFrame, queries: DataFrame, k: int) -> DataFrame
 
 
 def rerank(candidates: DataFrame, points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The k best of (query_id, point_id) by exact inner product; vectors are fetched for candidates only."""
-    fetched = candidates.select("query_id", "point_id").join(points.select("point_id", F.col("vec").alias("x")), "point_id")
-    both = fetched.join(queries.select("query_id", F.col("vec").alias("q")), "query_id")
-    return ranked(both.select("query_id", "point_id", inner_product(F.col("q"), F.col("x")).alias("score")), k)
+    """The k best of (query_id, point_id) by exact inner product.
+
+    Only ids are shuffled for the pairs: those of a point meet its vector once, queries are sent to all tasks in blocks as in exact_search, and a task passes on its k best of each query.
+    """
+    size = queries.agg(F.sum(F.size("vec") + 2 * k).alias("n")).first()["n"] or 0
+    found = None
+    for part in query_blocks(queries, size):
+        some = candidates.select("query_id", "point_id")
+        if part is not queries:
+            some = some.join(part.select("query_id"), "query_id", "left_semi")
+        # as many as the block has queries, at most
+        asked = some.groupBy("point_id").agg(F.collect_list("query_id").alias("asked"))
+        scored = _pairs_in_tasks(asked.join(points.select("point_id", F.col("vec").cast("array<double>").alias("vec")), "point_id").select("point_id", "vec", "asked"), part, k)
+        found = scored if found is None else found.unionByName(scored)
+    return ranked(found, k)
+
+
+def _pairs_in_tasks(asked: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, point_id, score): of the points of a task with the queries that ask for them, the k best of each query."""
+    rows = queries.select("query_id", F.col("vec").cast("array<double>").alias("vec")).orderBy("query_id").collect()
+    sent = asked.sparkSession.sparkContext.broadcast((np.array([r["query_id"] for r in rows], dtype=np.int64), np.array([r["vec"] for r in rows], dtype=float)))
+
+    def run(batches):
+        names, q = sent.value
+        held: tuple[np.ndarray, np.ndarray, np.ndarray] = (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0))
+
+        def best(query, point, score):
+            order = np.lexsort((point, -score, query))
+            query = query[order]
+            return order[np.arange(len(order)) - np.searchsorted(query, query) < k]
+
+        for b in batches:
+            if not b.num_rows or not len(names):
+                continue
+            p = b.column(0).to_numpy(zero_copy_only=False)
+            x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(p), -1)
+            counts = np.diff(b.column(2).offsets.to_numpy())
+            query = np.searchsorted(names, b.column(2).flatten().to_numpy(zero_copy_only=False))
+            point = np.repeat(np.arange(len(p)), counts)
+            if x.shape[1] != q.shape[1]:
+                raise ValueError("points and queries differ in length")
+            for at in range(0, len(query), SCORES // 8):
+                some, of = query[at : at + SCORES // 8], point[at : at + SCORES // 8]
+                score = np.zeros(len(some))
+                for j in range(q.shape[1]):  # in order of position, so that every formulation adds up alike
+                    score += q[some, j] * x[of, j]
+                both = np.concatenate([held[0], some]), np.concatenate([held[1], p[of]]), np.concatenate([held[2], score])
+                keep = best(*both)
+                held = tuple(c[keep] for c in both)
+        yield pa.RecordBatch.from_arrays([pa.array(names[held[0]] if len(held[0]) else [], pa.int64()), pa.array(held[1], pa.int64()), pa.array(held[2], pa.float64())], names=["query_id", "point_id", "score"])
+
+    return asked.mapInArrow(run, "query_id long, point_id long, score double")

@@ -91,12 +91,12 @@ def dense_estimates(index: DataFrame, probed: DataFrame) -> DataFrame:
 
 
 def dense_best(index: DataFrame, probed: DataFrame, n_cand: int) -> DataFrame:
-    """(query_id, point_id, est, rank) of the n_cand best estimates of each query: tasks estimate batches of points for blocks of queries and pass on only the best of each batch."""
+    """(query_id, point_id, est, rank) of the n_cand best estimates of each query: tasks estimate batches of points for blocks of queries and pass on only their own best."""
     steps = F.sort_array(F.collect_list(F.struct("rk", "dir", "sgn"))).alias("steps")
     per_query = probed.groupBy("query_id").agg(steps)
-    size = probed.count() * 2
+    queries = per_query.count()
     found = None
-    for part in query_blocks(per_query, size):
+    for part in query_blocks(per_query, probed.count() * 2 + queries * n_cand * 2):  # and what a task holds for them
         some = _estimated_in_tasks(index, part, n_cand)
         found = some if found is None else found.unionByName(some)
     return best_candidates(found, n_cand)
@@ -108,19 +108,24 @@ def _estimated_in_tasks(index: DataFrame, per_query: DataFrame, n_cand: int) ->
 
     def run(batches):
         names, dirs, signs = sent.value
+        best = np.full((len(names), n_cand), -np.inf), np.full((len(names), n_cand), np.iinfo(np.int64).max)
         for b in batches:
             if not len(names) or not b.num_rows:
                 continue
             ids = b.column(0).to_numpy(zero_copy_only=False)
             proj = np.ascontiguousarray(b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1).T)
-            step = max(1, SCORES // len(ids))
+            step = max(1, SCORES // (len(ids) + n_cand))
             for at in range(0, len(names), step):
                 some = slice(at, at + step)
                 est = np.zeros((len(names[some]), len(ids)))
                 for j in range(dirs.shape[1]):  # in order of the probes
                     est += signs[some, j, None] * proj[dirs[some, j]]
-                row, best, point = best_of(est, np.broadcast_to(ids, est.shape), n_cand)
-                yield pa.RecordBatch.from_arrays([pa.array(names[some][row], pa.int64()), pa.array(point, pa.int64()), pa.array(best, pa.float64())], names=["query_id", "point_id", "est"])
+                both = np.hstack([best[0][some], est]), np.hstack([best[1][some], np.broadcast_to(ids, est.shape)])
+                _, e, point = best_of(*both, n_cand)
+                best[0][some], best[1][some] = e.reshape(-1, n_cand), point.reshape(-1, n_cand)
+        there = best[1] < np.iinfo(np.int64).max
+        rows = np.nonzero(there)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(names[rows] if len(names) else [], pa.int64()), pa.array(best[1][there], pa.int64()), pa.array(best[0][there], pa.float64())], names=["query_id", "point_id", "est"])
 
     return index.select(F.col("point_id").cast("long").alias("point_id"), "proj").mapInArrow(run, "query_id long, point_id long, est double")
 

@@ -5,6 +5,8 @@ Points are all rows; queries are the rows whose id is divisible by 50.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,9 +25,9 @@ from . import IndexConfig, QueryConfig
 
 CFG = IndexConfig(dim=64, n_proj=64, n_repeats=2, top_m=50)
 Q = QueryConfig(k=10, n_probed_vectors=10, n_cand=50)
-#: Searches take a share of the points, so that their recall holds at every size: points in a bucket and scored exactly (at least LEAST), and in the hash form read of a bucket.
-SHARE, HASH_SHARE, LEAST = 5, 10, 50
-PROBED = {"dense": 16, "bucket": 24, "hash": 10}
+#: Points in a bucket and scored exactly: ROOT times the root of the points, at least LEAST; the hash form reads half of a bucket. What a query reads grows with that root.
+ROOT, LEAST = 9, 50
+PROBED = {"dense": 16, "bucket": 48, "hash": 16}
 GIVEN = 61
 WIDE = 15
 PADDED = 100
@@ -83,8 +85,8 @@ def _built(kind: str):
 
 def sized(p: DataFrame, centering: bool = False) -> tuple[IndexConfig, dict[str, QueryConfig]]:
     """Parameters of the searches for so many points."""
-    n = p.count()
-    m, h = max(LEAST, n // SHARE), max(LEAST, n // HASH_SHARE)
+    m = max(LEAST, math.isqrt(ROOT * ROOT * p.count()))
+    h = m // 2
     cfg = IndexConfig(CFG.dim, CFG.n_proj, CFG.n_repeats, m, centering=centering)
     return cfg, {kind: QueryConfig(Q.k, s, h if kind == "hash" else None, m) for kind, s in PROBED.items()}
 
@@ -367,13 +369,13 @@ def _bucket(name: str, source: str, top: str = str(CFG.top_m)) -> str:
     return f"{name} as (select * from ({ranked}) where rk <= {top})"
 
 
-_SIZES = f"z as (select greatest({LEAST}, count(*) // {SHARE}) as m, greatest({LEAST}, count(*) // {HASH_SHARE}) as h from p)"
+_SIZES = f"z as (select m, m // 2 as h from (select greatest({LEAST}, floor(sqrt({ROOT * ROOT} * count(*)))::bigint) as m from p))"
 _M, _H = "(select m from z)", "(select h from z)"
 
 
 _BASE = f"with recursive {_POINTS}, {_LONG}, {_BITS}, {_ROUNDS}, {_PROJ}, {_probe()}, {_SIDES}, {_bucket('bk', 'sides')}"
 _PROBES = ", ".join(_probe(s, f"pb_{kind}") for kind, s in PROBED.items())
-#: The searches: buckets of a share of the points, and the probes of each kind.
+#: The searches: their larger buckets, and the probes of each kind.
 _SIZED = f"with recursive {_POINTS}, {_LONG}, {_BITS}, {_ROUNDS}, {_PROJ}, {_SIZES}, {_PROBES}, {_SIDES}, {_bucket('bk', 'sides', _M)}"
 _AGES = "w as (select count(*) // 10 as tenth, count(*) as n from p), a as (select point_id, row_number() over (order by point_id) - 1 as age from p)"
 _OLD, _NEW = "age < n - tenth", "age >= n - tenth"
