@@ -19,6 +19,8 @@ from .exact import SCORES, best_of, query_blocks, rerank
 from .rotation import long_projection, project, project_batch, vectors_of
 from .topk import probes, top_per_group
 
+#: Projections that a task makes at a time.
+HELD = 1 << 21
 BUCKET = "dir int, sgn int, point_id long, val double"
 
 
@@ -46,9 +48,11 @@ def _local_buckets(cfg: IndexConfig):
             best = values, points
 
         for b in batches:
-            if b.num_rows:
-                held.append((b.column(0).to_numpy(zero_copy_only=False), project_batch(vectors_of(b.column(1), cfg.dim), cfg)))
-                if sum(len(i) for i, _ in held) * cfg.directions > 4_000_000:
+            ids, x = b.column(0).to_numpy(zero_copy_only=False), vectors_of(b.column(1), cfg.dim)
+            step = max(1, HELD // cfg.directions)
+            for at in range(0, len(ids), step):
+                held.append((ids[at : at + step], project_batch(x[at : at + step], cfg)))
+                if sum(len(i) for i, _ in held) * cfg.directions > max(2 * HELD, cfg.top_m * cfg.directions):
                     fold()
         if held:
             fold()
