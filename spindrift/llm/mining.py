@@ -31,7 +31,7 @@ SEGMENT, SEGMENTS = 1024, 16_384
 #: Anchors in a pack.
 PACK = 128
 #: Intervals that a pack reads in its first round, and how many times as many by the end of each round after.
-FIRST, GROWTH = 8, 4
+FIRST, GROWTH = 32, 8
 POSITIVES, NEGATIVES = 5, 3
 #: Distances are off by less than this share of the greatest one; bounds are wider by it.
 NEAR = 1e-7
