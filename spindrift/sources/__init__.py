@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-import io
-import itertools
 import os
+import shutil
+import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import names_in, with_row_ids
-
-
-#: Records of a .bin file that travel to Python as one row.
-RECORDS = 1024
+from .tables import with_row_ids
+from .vectors import VectorSource, npy_header, opened, vector_files
 
 
 def from_memory(spark: SparkSession, data, id_col: str = "point_id", vec_col: str = "vec") -> DataFrame:
@@ -32,37 +30,17 @@ def from_memory(spark: SparkSession, data, id_col: str = "point_id", vec_col: st
     return spark.createDataFrame(data.select([id_col, vec_col])).withColumnRenamed(id_col, "point_id").withColumnRenamed(vec_col, "vec")
 
 
+def _vectors(spark: SparkSession, path: str, **options) -> DataFrame:
+    spark.dataSource.register(VectorSource)
+    return spark.read.format("vectors").options(**options).load(path)
+
+
 def read_bin(spark: SparkSession, path: str, dim: int, n: int | None = None) -> DataFrame:
     """(point_id, vec) of records of dim float32 numbers, of files in order of name; with n, the first n rows, an error if there are fewer."""
-    files = [f for f in names_in(spark, path + "/*") or names_in(spark, path) if not f.rsplit("/", 1)[-1].startswith((".", "_"))]
-    if not files:
-        raise ValueError(f"{path}: no such file")
-    records = spark.sparkContext.union([spark.sparkContext.binaryRecords(f, 4 * dim) for f in files])
-
-    def blocks(part, rows):
-        k = 0
-        while some := list(itertools.islice(rows, RECORDS)):
-            yield part, k, len(some), bytearray(b"".join(some))
-            k += len(some)
-
-    table = spark.createDataFrame(records.mapPartitionsWithIndex(blocks), "part int, first long, n int, value binary")
-    sizes = dict(table.groupBy("part").agg(F.sum("n")).collect())  # a row per partition
-    starts, at = {}, 0
-    for p in sorted(sizes):
-        starts[p] = at
-        at += sizes[p]
-    if n is not None and at < n:
+    files = vector_files(path, "bin", dim)
+    if n is not None and sum(f.rows for f in files) < n:
         raise ValueError(f"{path} has fewer than {n} rows")
-
-    def floats(batches):
-        for b in batches:
-            for part, first, count, value in zip(*(c.to_pylist() for c in b.columns)):
-                ids = np.arange(count, dtype=np.int64) + starts[part] + first
-                offsets = pa.array(np.arange(count + 1, dtype=np.int32) * dim)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(value, dtype="<f4")))], names=["point_id", "vec"])
-
-    rows = table.mapInArrow(floats, "point_id long, vec array<float>")
-    return rows if n is None else rows.filter(F.col("point_id") < n)
+    return _vectors(spark, path, format="bin", dim=dim, **({} if n is None else {"rows": n}))
 
 
 def read_txt(spark: SparkSession, path: str) -> DataFrame:
@@ -75,57 +53,23 @@ def read_txt(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_npy(spark: SparkSession, path: str) -> DataFrame:
-    """(point_id, vec) of a two-dimensional array, whole numbers as longs; the file is read by one task, as the format has one file. For large tables .bin and Parquet are the formats."""
-    head = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 4096)).first()[0]
-    source = io.BytesIO(bytes(head))
-    version = np.lib.format.read_magic(source)
-    shape, _, dtype = (np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0)(source)
-    if len(shape) != 2:
-        raise ValueError(f"{path}: an array of vectors has two dimensions")
-    whole = dtype.kind in "iub"
-    kind, name = (pa.int64(), "long") if whole else (pa.float64(), "double")
-
-    def rows(batches):
-        for b in batches:
-            for content in b.column(0).to_pylist():
-                a = np.load(io.BytesIO(content), allow_pickle=False)
-                for k in range(0, len(a), 4096):
-                    part = list(a[k : k + 4096].astype(int if whole else float))
-                    yield pa.RecordBatch.from_arrays([pa.array(range(k, k + len(part)), pa.int64()), pa.array(part, pa.list_(kind))], names=["point_id", "vec"])
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(rows, f"point_id long, vec array<{name}>")
+    """(point_id, vec) of a two-dimensional array, or of a folder of them in order of name; whole numbers as longs, others as doubles. Ranges of rows are read side by side."""
+    return _vectors(spark, path, format="npy")
 
 
 def _ordered(df: DataFrame, id_col: str) -> DataFrame:
     return df.repartitionByRange(id_col).sortWithinPartitions(id_col)
 
 
-def _mounted(path: str) -> str:
-    """The path of a folder that all executors see as files; other file systems are not written to in these formats."""
-    if "://" in path and not path.startswith("file://"):
-        raise ValueError(f"{path}: these formats are written to mounted folders only; Parquet goes anywhere")
-    return path.removeprefix("file://")
-
-
 def write_bin(df: DataFrame, path: str, id_col: str = "point_id", vec_col: str = "vec") -> None:
-    """Part files in order of id, in a folder that all executors share; a task that runs again replaces its own file."""
-    folder = _mounted(path)
-    os.makedirs(folder, exist_ok=True)
+    """Part files in order of id."""
+    _write(df, path, "bin", id_col, vec_col)
 
-    def write(batches):
-        from pyspark import TaskContext
 
-        part = TaskContext.get().partitionId()
-        name = f"{folder}/.part-{part:05d}-{TaskContext.get().taskAttemptId()}"
-        n = 0
-        with open(name, "wb") as f:
-            for b in batches:
-                f.write(b.column(0).flatten().to_numpy(zero_copy_only=False).astype("<f4").tobytes())
-                n += b.num_rows
-        os.replace(name, f"{folder}/part-{part:05d}.bin")
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
-
-    _ordered(df, id_col).select(vec_col).mapInArrow(write, "n long").agg(F.sum("n")).collect()
+def _write(df: DataFrame, path: str, kind: str, id_col: str, vec_col: str) -> None:
+    opened(path)
+    df.sparkSession.dataSource.register(VectorSource)
+    _ordered(df, id_col).select(F.col(vec_col).cast("array<float>").alias("vec")).write.format("vectors").option("format", kind).mode("append").save(path)
 
 
 def write_txt(df: DataFrame, path: str, id_col: str = "point_id", vec_col: str = "vec") -> None:
@@ -134,19 +78,42 @@ def write_txt(df: DataFrame, path: str, id_col: str = "point_id", vec_col: str =
 
 
 def write_npy(df: DataFrame, path: str, id_col: str = "point_id", vec_col: str = "vec") -> None:
-    """One file by one task, streamed, as the format asks for; for large tables Parquet is the format."""
-    rows = df.count()
-    dim = len((df.select(vec_col).first() or [[]])[0])
-    name = _mounted(path)
-
-    def write(batches):
-        with open(name, "wb") as f:
-            np.lib.format.write_array_header_1_0(f, {"descr": "<f4", "fortran_order": False, "shape": (rows, dim)})
-            for b in batches:
-                f.write(b.column(0).flatten().to_numpy(zero_copy_only=False).astype("<f4").tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array([rows], pa.int64())], names=["n"])
-
-    df.orderBy(id_col).coalesce(1).select(vec_col).mapInArrow(write, "n long").collect()
+    """One array file in order of id, in a mounted folder: tasks write their rows to files of their own, and then, as their sizes are known, to their places in the file side by side."""
+    fs, place = opened(path)
+    if not isinstance(fs, pafs.LocalFileSystem):
+        raise ValueError(f"{path}: one file is written side by side in mounted folders only; .bin and Parquet go to others")
+    folder = f"{path}.parts-{uuid.uuid4().hex}"
+    _write(df, folder, "npy", id_col, vec_col)
+    parts = sorted((i for i in fs.get_file_info(pafs.FileSelector(opened(folder)[1])) if i.base_name.endswith(".raw")), key=lambda i: i.base_name)
+    dim = df.select(F.size(vec_col)).first()[0] if parts else 0  # the writer has seen that all are alike
+    head = npy_header(sum(i.size for i in parts) // (4 * dim) if dim else 0, dim)
+    begin, work = len(head), []
+    for i in parts:
+        work.append((i.path, begin))
+        begin += i.size
+    made = f"{place}.new-{uuid.uuid4().hex}"
+    with open(made, "wb") as f:
+        f.write(head)
+        f.truncate(begin)
+    if work:
+        spark = df.sparkSession
+        spark.createDataFrame(work, "part string, begin long").repartition(len(work)).mapInArrow(_copier(made), "part string").count()
+    os.replace(made, place)
+    fs.delete_dir(opened(folder)[1])
+
+
+def _copier(target: str):
+    """Copies parts to their places; one that is copied again writes the same bytes."""
+
+    def run(batches):
+        for b in batches:
+            for part, begin in zip(*(c.to_pylist() for c in b.columns)):
+                with open(part, "rb") as source, open(target, "r+b") as f:
+                    f.seek(begin)
+                    shutil.copyfileobj(source, f, 1 << 22)
+            yield b.select(["part"])
+
+    return run
 
 
 def write_results(results: DataFrame, path: str) -> None:
