@@ -23,6 +23,7 @@ import re
 import struct
 import zlib
 from collections import defaultdict
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +57,25 @@ def cut(n: int, size: int = SEQUENCE) -> list[tuple[int, int]]:
     return [(0, head)] + [(k, size) for k in range(head, n, size)]
 
 
+class _Known(dict):
+    """Ids of chunks, made where they are asked for: `kept` at most, and as many of those before them, so that a chunk that comes again outlives a full table."""
+
+    def __init__(self, make: Callable[[str], bytes], kept: int, longest: int):
+        self.make, self.kept, self.longest, self.older = make, kept, longest, {}
+
+    def __missing__(self, chunk: str) -> bytes:
+        out = self.older.get(chunk)
+        if out is None:
+            out = self.make(chunk)
+            if len(chunk) > self.longest:
+                return out
+        if len(self) >= self.kept:
+            self.older = dict(self)
+            self.clear()
+        self[chunk] = out
+        return out
+
+
 class Encoder:
     """Ids of whole texts as little-endian 32-bit bytes.
 
@@ -64,7 +84,6 @@ class Encoder:
     and ASCII signs. Other tokenizers, and texts with an added token, are encoded whole.
     """
 
-    KEPT = 125_000
     LONGEST = 64
     _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
     _SIGN = "!-/:-@\\[-`{-~"
@@ -72,33 +91,24 @@ class Encoder:
     CHUNK = re.compile(f" ?[{_LETTER}]+(?![^{_SPACE}{_SIGN}])|[{_SIGN}]+(?=[{_SPACE}])| ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
     WORD = re.compile(f" ?[{_LETTER}]+")
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int = 125_000):
         from tokenizers import Tokenizer
 
+
         self.tokenizer = Tokenizer.from_file(path)
         # asked one by one: the whole description with its vocabulary would take much of a worker's memory
         split = self.tokenizer.pre_tokenizer
         split = {} if split is None else json.loads(split.__getstate__())
         self.by_chunk = split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space") and self.tokenizer.normalizer is None
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        # what came lately, and what came before: a chunk that comes again outlives the change of both
-        self.model, self.known, self.older = self.tokenizer.model, {}, {}
+        self.model, self.known = self.tokenizer.model, _Known(self._made, kept, self.LONGEST)
         # byte-level alphabets write printable bytes as themselves and the others, in order, from 256 on
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in set(shown)]
         self.alphabet = {b: b for b in shown} | {b: 256 + k for k, b in enumerate(hidden)}
         self.blank = chr(self.alphabet[32])
 
-    def _keep(self, chunk: str, out: bytes) -> bytes:
-        if len(self.known) >= self.KEPT:
-            self.older, self.known = self.known, {}
-        self.known[chunk] = out
-        return out
-
-    def _chunk(self, chunk: str) -> bytes:
-        out = self.older.get(chunk)
-        if out is not None:
-            return self._keep(chunk, out)
+    def _made(self, chunk: str) -> bytes:
         if self.WORD.fullmatch(chunk):
             if chunk.isascii():  # only the blank is not written as itself
                 shown = self.blank + chunk[1:] if chunk[0] == " " else chunk
@@ -107,20 +117,18 @@ class Encoder:
             ids = [t.id for t in self.model.tokenize(shown)]
         else:
             ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
-        out = np.array(ids, dtype="<u4").tobytes() if len(ids) > 64 else struct.pack(f"<{len(ids)}I", *ids)
-        return self._keep(chunk, out) if len(chunk) <= self.LONGEST else out
+        return np.array(ids, dtype="<u4").tobytes() if len(ids) > 64 else struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:
         if not self.by_chunk or any(t in text for t in self.added):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        get = self.known.get
-        return b"".join([get(c) or self._chunk(c) for c in self.CHUNK.findall(text)])
+        return b"".join(map(self.known.__getitem__, self.CHUNK.findall(text)))
 
 
 @functools.cache
-def _encoder(path: str) -> Encoder:
+def _encoder(path: str, **options) -> Encoder:
     """One for a Python worker, whose tasks share what it remembers."""
-    return Encoder(path)
+    return Encoder(path, **options)
 
 
 def _piecer(path: str, size: int, end_id: int):

@@ -8,8 +8,8 @@ A shard is a row of a Parquet table: part and shard (its place in the order), n_
 their symbols end); `rules` are the rules' pairs of symbols, `lengths` how many ids each rule stands for, and `symbols` what is left of the shard, all little-endian unsigned 32-bit numbers; symbols from first_rule on are rules, a
 rule refers to earlier ones only. A document is read by expanding its own symbols; the lengths tell beforehand where each id of it lies, so a range of ids needs only the symbols that cover it.
 
-Defined cases: null text counts as empty and has the end id alone; very long texts are one document of one shard, which is then as long; rows without id come first, rows of one id follow one another in the order of a hash of their text;
-rows equal in both are alike, so their order says nothing; an empty table gives an empty table of shards; other columns are not looked at.
+Defined cases: null text counts as empty and has the end id alone; very long texts are one document of one shard, which is then as long; rows without id come first, rows of one id follow one another in the order in which they are read,
+which may be another in another run; an empty table gives an empty table of shards; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -29,10 +29,12 @@ from .packing import _encoder, default_tokenizer
 END_ID = 0
 #: Ids in a shard, beyond which it is closed.
 SHARD_IDS = 1 << 20
+#: Chunks of text that a Python worker remembers with their ids, some 130 MB; so many, as new words cost most of the time.
+KEPT = 400_000
 #: Places of the table of pairs, and how often a pair comes up for a rule.
 BITS, LEAST = 20, 8
 #: The share of a shard that a round has to save for another to follow.
-LEAST_GAIN = 0.01
+LEAST_GAIN = 0.02
 _SHARD = "part int, shard int, n_ids long, low_id long, high_id long, doc_ids array<long>, sizes array<long>, symbol_ends array<long>, first_rule long, rules binary, lengths binary, symbols binary"
 
 
@@ -43,27 +45,26 @@ def pair_rounds(ids: np.ndarray, first_rule: int, end_id: int = END_ID, least: i
     while len(x) > 1:
         factor = factor * 0x2C1B3C6D + 0x297A2D39 & 0xFFFFFFFF | 1
         a, b = x[:-1], x[1:]
-        place = ((a * np.uint32(factor)) ^ (b * np.uint32(0x85EBCA6B))) * np.uint32(0xC2B2AE35) >> shift
-        often = np.bincount(place, minlength=1 << bits) >= least
-        at = np.flatnonzero(often[place] & (a != end_id) & (b != end_id))
+        place = (((a * np.uint32(factor)) ^ (b * np.uint32(0x85EBCA6B))) * np.uint32(0xC2B2AE35) >> shift).astype(np.int64)
+        # how often the pair at each position comes up, none before the first and after the last
+        count = np.zeros(len(x) + 1, dtype=np.int32)
+        mine, before, after = count[1:-1], count[:-2], count[2:]
+        mine[:] = np.bincount(place, minlength=1 << bits).astype(np.int32)[place]
+        mine[(mine < least) | (a == end_id) | (b == end_id)] = 0
+        chosen = (mine > before) & (mine >= after)
+        twins = a == b
+        again = np.concatenate([[False], twins[1:] & twins[:-1]])
+        if again.any():  # runs of one symbol: every other pair of it
+            in_run = np.arange(len(a))
+            in_run -= np.maximum.accumulate(np.where(again, 0, in_run))
+            chosen |= again & (in_run % 2 == 0) & (mine > 0) & (mine >= after)
+        at = np.flatnonzero(chosen)
         where = place[at]
         # of the pairs that share a place the last one stands for it
         stands = np.zeros(1 << bits, dtype=np.int64)
         stands[where] = at
         same = (a[stands[where]] == a[at]) & (b[stands[where]] == b[at])
         at, where = at[same], where[same]
-        count = np.zeros(len(x) + 1, dtype=np.int32)
-        count[at] = np.bincount(where, minlength=1 << bits)[where]
-        count[count < least] = 0
-        mine = count[at]
-        chosen = (mine > 0) & (mine >= count[at + 1]) & (mine > count[at - 1])
-        again = np.zeros(len(at), dtype=bool)
-        again[1:] = (where[1:] == where[:-1]) & (at[1:] == at[:-1] + 1)
-        if again.any():  # runs of one symbol: every other pair of it
-            place_in_run = np.arange(len(at))
-            place_in_run -= np.maximum.accumulate(np.where(again, 0, place_in_run))
-            chosen |= again & (place_in_run % 2 == 0) & (mine > 0) & (mine >= count[at + 1])
-        at, where = at[chosen], where[chosen]
         enough = np.bincount(where, minlength=1 << bits) >= least
         kept = enough[where]
         at, where = at[kept], where[kept]
@@ -138,7 +139,7 @@ def _writer(path: str, end_id: int, shard_ids: int):
     def run(batches):
         from pyspark import TaskContext
 
-        encoder, part = _encoder(path), TaskContext.get().partitionId()
+        encoder, part = _encoder(path, kept=KEPT), TaskContext.get().partitionId()
         first_rule = encoder.tokenizer.get_vocab_size()
         ids: list = []
         raw: list[bytes] = []
@@ -179,10 +180,9 @@ def _writer(path: str, end_id: int, shard_ids: int):
 def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID, shard_ids: int = SHARD_IDS, id_col: str = "doc_id", text_col: str = "text") -> None:
     """The ids of all documents as shards in a folder of any file system that Spark writes to; a task that runs again replaces its own rows."""
     small_batches(docs.sparkSession)
-    text = whole_text(text_col)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("th"), F.monotonically_increasing_id().alias("any"))
-    # equal rows may go to several ranges
-    ranged = rows.repartitionByRange("doc_id", "th", "any").sortWithinPartitions("doc_id", "th", "any")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
+    # rows of one id may go to several ranges; texts are not read for the splitters
+    ranged = rows.repartitionByRange("doc_id", "row").sortWithinPartitions("doc_id", "row")
     ranged.select("doc_id", "text").mapInArrow(_writer(tokenizer or default_tokenizer(), end_id, shard_ids), _SHARD).write.parquet(path)
 
 
