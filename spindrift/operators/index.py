@@ -24,11 +24,13 @@ HELD = 1 << 21
 BUCKET = "dir int, sgn int, point_id long, val double"
 
 
-def _local_buckets(cfg: IndexConfig):
-    """Each task's own top_m per direction and sign: what crosses the shuffle doesn't grow with its points."""
+def _local_buckets(cfg: IndexConfig, only: list[tuple[int, int]] | None = None):
+    """Each task's own top_m per direction and sign (of those in `only`, if given): what crosses the shuffle doesn't grow with its points."""
+    chosen = None if only is None else np.array([d + cfg.directions * (s < 0) for d, s in only], dtype=int)
 
     def run(batches):
-        sides = 2 * cfg.directions
+        every = np.arange(2 * cfg.directions) if chosen is None else chosen
+        sides = len(every)
         held: list[tuple[np.ndarray, np.ndarray]] = []
         best = np.zeros((sides, 0)), np.zeros((sides, 0), dtype=np.int64)
 
@@ -41,7 +43,8 @@ def _local_buckets(cfg: IndexConfig):
             step = max(1, SCORES // (len(ids) + cfg.top_m))
             for at in range(0, sides, step):
                 some = np.arange(at, min(sides, at + step))
-                new = rows[some % cfg.directions] * np.where(some < cfg.directions, 1.0, -1.0)[:, None]
+                side = every[some]
+                new = rows[side % cfg.directions] * np.where(side < cfg.directions, 1.0, -1.0)[:, None]
                 both = np.hstack([best[0][some], new]), np.hstack([best[1][some], np.broadcast_to(ids, new.shape)])
                 _, v, p = best_of(*both, cfg.top_m)
                 values[some], points[some] = v.reshape(-1, width), p.reshape(-1, width)
@@ -59,7 +62,7 @@ def _local_buckets(cfg: IndexConfig):
         width = best[0].shape[1]
         for at in range(0, sides, max(1, SCORES // max(1, width))):
             some = np.arange(at, min(sides, at + max(1, SCORES // max(1, width))))
-            side = np.repeat(some, width)
+            side = np.repeat(every[some], width)
             cols = (side % cfg.directions, pa.int32()), (np.where(side < cfg.directions, 1, -1), pa.int32()), (best[1][some].ravel(), pa.int64()), (best[0][some].ravel(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in cols], names=["dir", "sgn", "point_id", "val"])
 
@@ -78,11 +81,11 @@ def signed_entries(projected: DataFrame) -> DataFrame:
     return long.select("dir", "sgn", "point_id", (F.col("sgn") * F.col("val")).alias("val"))
 
 
-def build_buckets(points: DataFrame, cfg: IndexConfig, backend: str = "arrow") -> DataFrame:
+def build_buckets(points: DataFrame, cfg: IndexConfig, backend: str = "arrow", only: list[tuple[int, int]] | None = None) -> DataFrame:
     if backend == "sql":
         return ranked_buckets(signed_entries(project(points, cfg, backend="sql")), cfg.top_m)
     typed = points.select(F.col("point_id").cast("long").alias("point_id"), "vec")
-    return ranked_buckets(typed.mapInArrow(_local_buckets(cfg), BUCKET), cfg.top_m)
+    return ranked_buckets(typed.mapInArrow(_local_buckets(cfg, only), BUCKET), cfg.top_m)
 
 
 def dense_estimates(index: DataFrame, probed: DataFrame) -> DataFrame:

@@ -21,6 +21,7 @@ from ..operators.rotation import flip, long_projection, project, rotate, round_b
 from ..operators.topk import probes, to_matrix
 from ..sources.tables import fresh_path, id_at, stored, with_row_ids
 from ..streaming import StreamingIndex, WindowIndex
+from ..streaming.reserve import ReserveWindow
 from . import IndexConfig, QueryConfig
 
 CFG = IndexConfig(dim=64, n_proj=64, n_repeats=2, top_m=50)
@@ -150,6 +151,21 @@ def stream_one_window(spark, d):
     return _rounded(found[0].unionByName(found[1]), "score")
 
 
+def stream_update_lossless(spark, d):
+    """The newest tenth arrives in two steps; buckets are those of the whole window."""
+    old, new, n_del = _windows(spark, d)
+    cut = id_at(new, "seq", n_del // 2)
+    window = ReserveWindow.build(old, sized(points(spark, d))[0])
+    for part, leave in ((F.col("seq") < cut, n_del // 2), (F.col("seq") >= cut, n_del - n_del // 2)):
+        window = window.update(new.filter(part), leave)
+    return _rounded(window.buckets, "val")
+
+
+def sign_flips(spark, d):
+    """Points with the signs of the first round of the first rotation."""
+    return _entries(points(spark, d), flip(pad(F.col("vec"), CFG.width), round_bits(CFG, 0, 0)))
+
+
 def stream_delete(spark, d):
     """The buckets of all points after those whose id leaves 3 by 7 have left."""
     p = points(spark, d).withColumnRenamed("point_id", "seq")
@@ -281,6 +297,7 @@ QUERIES = {
     "column_mean": lambda s, d: _rounded(column_mean(points(s, d)), "mean"),
     "center_vectors": lambda s, d: _entries(center(p := points(s, d), mean_vector(p)), F.col("vec")),
     "sign_bits": lambda s, d: sign_table(s, CFG),
+    "sign_flips": sign_flips,
     "hadamard_round": lambda s, d: _entries(points(s, d), hadamard(flip(pad(F.col("vec"), CFG.width), round_bits(CFG, 0, 0)), CFG.width)),
     "rotate3": lambda s, d: _entries(points(s, d), rotate(F.col("vec"), CFG)),
     "project_points": lambda s, d: _rounded(long_projection(project(points(s, d), CFG, backend="arrow"), "point_id"), "val"),
@@ -301,6 +318,7 @@ QUERIES = {
     "hash_search": _search("hash"),
     "stream_update_incremental": lambda s, d: _rounded(_updated("incremental")(s, d).buckets, "val"),
     "stream_update_rebuild": lambda s, d: _rounded(_updated("rebuild")(s, d).buckets, "val"),
+    "stream_update_lossless": stream_update_lossless,
     "stream_estimate_search": _stream_search("estimate"),
     "stream_hash_search": _stream_search("hash"),
     "recall_dense": _recall("dense"),
@@ -474,6 +492,7 @@ ORACLE_SQL = {
     "column_mean": f"with {_POINTS}, {_LONG} select pos, {_r('avg(x)')} as mean from l group by pos",
     "center_vectors": _rows(_r("x - avg(x) over (partition by pos)")),
     "sign_bits": f"with recursive {_BITS} select repeat, round, pos, bit from bits",
+    "sign_flips": f"with recursive {_POINTS}, {_LONG}, {_BITS} select point_id, l.pos, {_r('x * (2 * bit - 1)')} as x from l join bits b on b.pos = l.pos and b.repeat = 0 and b.round = 0",
     "hadamard_round": f"{_BASE} select point_id, pos, {_r('x')} as x from p1 where repeat = 0",
     "rotate3": f"{_BASE} select point_id, pos, {_r('x')} as x from p3 where repeat = 0",
     "project_points": f"{_BASE} {_out('select * from pr', 'val')}",
@@ -494,6 +513,7 @@ ORACLE_SQL = {
     "hash_search": f"{_SIZED} {_out(_top(_found('hash')), 'score')}",
     "stream_update_incremental": f"{_SIZED}, {_STREAM} {_out('select * from b1', 'val')}",
     "stream_update_rebuild": f"{_SIZED}, {_STREAM}, " + _bucket("b2", "(select sides.* from sides join a using (point_id), w where age >= tenth)", _M) + f" {_out('select * from b2', 'val')}",
+    "stream_update_lossless": f"{_SIZED}, {_AGES}, " + _bucket("b2", "(select sides.* from sides join a using (point_id), w where age >= tenth)", _M) + f" {_out('select * from b2', 'val')}",
     "stream_estimate_search": f"{_SIZED}, {_STREAM} {_out(_top(_found('bucket', 'b1')), 'score')}",
     "stream_hash_search": f"{_SIZED}, {_STREAM} {_out(_top(_found('hash', 'b1')), 'score')}",
     "recall_dense": f"{_SIZED} {_recall_sql(_top(_found('dense')), _top(_ALL))}",

@@ -2,7 +2,7 @@
 
 Age is the column `seq`, increasing; the oldest points leave first. A position in the window is seq minus the oldest seq
 while numbers are gapless, so nothing is renumbered. mode="incremental" lets survivors of the old buckets and the new points compete (a survivor that
-was outside its bucket can't return); mode="rebuild" recomputes the buckets of the whole window.
+was outside its bucket can't return); mode="rebuild" recomputes the buckets of the whole window; `reserve.ReserveWindow` keeps more than a bucket shows, so that none is lost and few are recomputed.
 """
 
 from __future__ import annotations
@@ -41,6 +41,17 @@ class WindowIndex:
         """Append new points, then drop the n_del oldest of all."""
         if mode not in ("incremental", "rebuild"):
             raise ValueError("mode must be incremental or rebuild")
+        points, added, first = self.slid(new, n_del)
+        if mode == "rebuild":
+            return replace(self, points=points, buckets=_buckets(points, self.cfg, self.mean))
+        survivors = self.buckets.drop("rk")
+        if first is not None:
+            survivors = survivors.filter(F.col("point_id") >= first)
+        entries = survivors.unionByName(_buckets(added, self.cfg, self.mean).drop("rk"))
+        return replace(self, points=points, buckets=ranked_buckets(entries, self.cfg.top_m))
+
+    def slid(self, new: DataFrame | None, n_del: int) -> tuple[DataFrame, DataFrame, int | None]:
+        """The points of the window after an update, those that are new, and the oldest seq that stays (None if none leaves)."""
         old = self.points.agg(F.count("*").alias("n"), F.min("seq").alias("lo"), F.max("seq").alias("hi")).first()
         if n_del < 0 or n_del > old["n"]:
             raise ValueError("more points are to leave than the window has")
@@ -50,20 +61,14 @@ class WindowIndex:
             raise ValueError("new points must have larger seq than the window's")
         if old["n"] + got["n"] - n_del < self.cfg.top_m:
             raise ValueError("the window would be smaller than a bucket")
-        points = self.points.unionByName(added)
+        points, first = self.points.unionByName(added), None
         if n_del:
             if old["hi"] - old["lo"] + 1 == old["n"]:
                 first = old["lo"] + n_del
             else:
                 first = id_at(self.points, "seq", n_del) if n_del < old["n"] else old["hi"] + 1
             points = points.filter(F.col("seq") >= first)
-        if mode == "rebuild":
-            return replace(self, points=points, buckets=_buckets(points, self.cfg, self.mean))
-        survivors = self.buckets.drop("rk")
-        if n_del:
-            survivors = survivors.filter(F.col("point_id") >= first)
-        entries = survivors.unionByName(_buckets(added, self.cfg, self.mean).drop("rk"))
-        return replace(self, points=points, buckets=ranked_buckets(entries, self.cfg.top_m))
+        return points, added, first
 
     def delete(self, ids: DataFrame, mode: str = "incremental") -> WindowIndex:
         """Without the points whose seq is in ids (seq), of any age; buckets keep what else they hold, or are made again with mode="rebuild"."""
