@@ -2,10 +2,10 @@
 
 Longer documents are cut into full pieces (the first may be shorter). The histogram of piece lengths has at most 1024 bars, so the plan
 is made on the driver at any input size: all patterns of two or three lengths that fill a sequence exactly are
-enumerated, and non-negative least squares fits their repeat counts to the histogram, all bars weighing alike. Counts are rounded, at least to one, and taken in falling order of
-the fit as far as the bars go; what is left is fitted again until little comes of it. Best-fit decreasing packs the residual bars, for which pieces under SHORTEST of a sequence, that close gaps,
-are kept out of the patterns. On few documents patterns may use up what the residual needs, so they are also fitted to smaller SHARES of the bars, and the plan of fewest sequences, of these the
-one of most patterns, is taken. Pieces then find their place by their rank among pieces of their length: ranks come from salted two-level prefix sums, so a length that holds a third of all pieces is dealt
+enumerated, and non-negative least squares fits their repeat counts to the histogram, all bars weighing alike. Counts of a half or more are rounded to the nearest number and taken in falling order of
+the fit as far as the bars go, and what is left is fitted again, from half the greatest count on where all are smaller, until no pattern is left. Best-fit decreasing packs the residual bars, for which pieces under SHORTEST of a
+sequence, that close gaps, are kept out of the patterns. The last patterns may use up what the residual needs, on few documents most of all, so plans with fewer of them, down to a tenth (KEPT), are made too, and the plan of fewest
+sequences, of these the one of most patterns, is taken. Pieces then find their place by their rank among pieces of their length: ranks come from salted two-level prefix sums, so a length that holds a third of all pieces is dealt
 over many tasks.
 
 With `in_order` sequences follow the order of the rows (of files: by name, then row): the rows are cut into up to WINDOWS windows with a plan each, patterns are dealt evenly to SLICES parts of a window, pieces take
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import functools
 import json
+import math
 import re
 import struct
 import zlib
@@ -36,9 +37,9 @@ from .common import buckets_for, prefix_offsets, small_batches, stored, whole_te
 SEQUENCE = 1024
 END_ID = 2
 TOKENIZER = "byte_bpe_50k.json"
-#: The shortest length in a pattern, as a share of a sequence, and the shares of the bars that patterns are fitted to.
-SHORTEST = 3 / 32
-SHARES = (1.0, 0.75, 0.5, 0.25, 0.1, 0.0)
+#: The shortest length in a pattern, as a share of a sequence, and the shares of the fitted patterns that plans are made with.
+SHORTEST = 1 / 8
+KEPT = (1.0, 0.95, 0.9, 0.85, 0.8, 0.75, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2, 0.1)
 #: In order: windows at most, rows that one needs, and parts of each.
 WINDOWS, WINDOW_ROWS, SLICES = 16, 50_000, 8
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -231,27 +232,28 @@ def best_fit_residual(bars: np.ndarray, size: int) -> list[tuple[tuple[int, ...]
     return done + [g for groups in by_room.values() for g in groups]
 
 
-def fitted(bars: np.ndarray, size: int, share: float = 1.0) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths, repeat count) of patterns fitted to a share of the bars, and never more than it."""
-    left = np.ceil(bars[:size] * share).astype(np.int64)
-    patterns = full_patterns(size)
+def fitted(bars: np.ndarray, size: int) -> list[tuple[tuple[int, ...], int]]:
+    """(lengths, repeat count) of patterns fitted to the bars, and never more than these, in the order in which they were taken."""
+    left, patterns = bars[:size].astype(np.int64).copy(), full_patterns(size)
     patterns = patterns[((patterns >= SHORTEST * size) | (patterns == 0)).all(axis=1)]
     out: dict[tuple[int, ...], int] = defaultdict(int)
     while True:
         patterns = patterns[((left[patterns] > 0) | (patterns == 0)).all(axis=1)]
-        if not len(patterns):
+        wanted = fit_counts(patterns, left) if len(patterns) else np.zeros(1)
+        least, taken = min(0.5, wanted.max() / 2), 0
+        if wanted.max() < 1e-3:
             return list(out.items())
-        wanted, before = fit_counts(patterns, left), sum(out.values())
         for k in np.argsort(-wanted, kind="stable"):
-            if wanted[k] < 1e-3:
+            if wanted[k] < least:
                 break
             lengths = tuple(int(v) for v in patterns[k] if v)
-            n = min(max(1, int(wanted[k])), *(int(left[v]) // lengths.count(v) for v in lengths))
+            n = min(max(1, round(wanted[k])), *(int(left[v]) // lengths.count(v) for v in lengths))
             if n > 0:
                 out[lengths] += n
+                taken += n
                 for v in lengths:
                     left[v] -= n
-        if sum(out.values()) - before < max(1, before // 50):
+        if not taken:
             return list(out.items())
 
 
@@ -259,12 +261,18 @@ def plan(bars: np.ndarray, size: int = SEQUENCE) -> list[tuple[tuple[int, ...],
     """(lengths, repeat count) whose pieces are just those of the histogram; bars[l] pieces have length l."""
     left = bars.astype(np.int64).copy()
     full, left[size] = int(left[size]), 0
+    patterns = fitted(left, size)
+    total = sum(n for _, n in patterns)
     best, fewest = [], None
-    for share in SHARES:
-        rest, made = left.copy(), fitted(left, size, share) if share else []
-        for lengths, n in made:
-            for v in lengths:
-                rest[v] -= n
+    for share in KEPT:
+        rest, made, room = left.copy(), [], math.ceil(share * total)
+        for lengths, n in patterns:
+            n = min(n, room)
+            if n:
+                made.append((lengths, n))
+                room -= n
+                for v in lengths:
+                    rest[v] -= n
         made = made + best_fit_residual(rest, size)
         number = sum(n for _, n in made)
         if fewest is None or number < fewest:
