@@ -18,7 +18,9 @@ from ..operators.bounded import bounded_search
 from ..operators.exact import exact_search
 from ..operators.ivf import ivf_pq_search, ivf_search
 from ..operators.rotation import flip, long_projection, project, rotate, round_bits, sign_table
+from ..operators.threshold import threshold_candidates
 from ..operators.topk import probes, to_matrix
+from ..operators.tuning import certain_search
 from ..sources.tables import fresh_path, id_at, stored, with_row_ids
 from ..streaming import StreamingIndex, WindowIndex
 from ..streaming.reserve import ReserveWindow
@@ -161,6 +163,13 @@ def stream_update_lossless(spark, d):
     return _rounded(window.buckets, "val")
 
 
+def certain(spark, d):
+    """Searched by buckets where a bound shows that this is exact, else exactly."""
+    p = points(spark, d)
+    cfg, q = sized(p)
+    return _rounded(certain_search(ix.MipsIndex.build(p, cfg, "bucket"), queries_of(p), q["hash"]), "score")
+
+
 def sign_flips(spark, d):
     """Points with the signs of the first round of the first rotation."""
     return _entries(points(spark, d), flip(pad(F.col("vec"), CFG.width), round_bits(CFG, 0, 0)))
@@ -313,6 +322,8 @@ QUERIES = {
     "bucket_estimate_mean": lambda s, d: _rounded(ix.bucket_estimates(_buckets(s, d), _probed(s, d), CFG.top_m, "mean"), "est"),
     "bucket_candidates": lambda s, d: _rounded((b := _built("bucket")(s, d))[0].candidates(b[1], Q), "est"),
     "bucket_search": _search("bucket"),
+    "threshold_candidates": lambda s, d: _rounded(threshold_candidates(stored(_buckets(s, d)), _probed(s, d), CFG.top_m, Q.n_cand), "est"),
+    "certain_search": certain,
     "hash_candidates": lambda s, d: ix.hash_candidates(_buckets(s, d), _probed(s, d), CFG.top_m),
     "hash_candidate_count": lambda s, d: _rounded(ix.candidate_counts(ix.hash_candidates(_buckets(s, d), _probed(s, d), CFG.top_m)), "avg_candidates"),
     "hash_search": _search("hash"),
@@ -507,6 +518,8 @@ ORACLE_SQL = {
     "bucket_estimate": f"{_BASE} {_out(_est(), 'est')}",
     "bucket_estimate_mean": f"{_BASE} {_out(_est(agg='avg'), 'est')}",
     "bucket_candidates": f"{_BASE} {_out(_cand(_est()), 'est')}",
+    "threshold_candidates": f"{_BASE} {_out(_cand(_est()), 'est')}",
+    "certain_search": _scored("list_inner_product(q.vec, p.vec)"),
     "bucket_search": f"{_SIZED} {_out(_top(_found('bucket')), 'score')}",
     "hash_candidates": f"{_BASE} {_HASH}",
     "hash_candidate_count": f"{_BASE} select {_r('avg(n)')} as avg_candidates, count(*) as n_queries from (select query_id, count(*) as n from ({_HASH}) group by query_id)",
