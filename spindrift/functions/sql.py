@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-import heapq
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import SparkSession
-from pyspark.sql.functions import udtf
+from pyspark.sql.functions import arrow_udtf
+
+from ..operators.exact import best_of
+from ..operators.rotation import vectors_of
 
 _BODIES = {
     "vec_dot(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>) RETURNS DOUBLE": "aggregate(zip_with(a, b, (x, y) -> x * y), 0D, (s, x) -> s + x)",
@@ -18,30 +21,30 @@ _BODIES = {
 class MipsSearch:
     """mips_search(points => TABLE(...) PARTITION BY ..., query => ..., k => ...): the k points (point_id, vec: the first two columns) with the largest inner products, of each partition; ties go to the smaller id.
 
-    Each partition keeps k rows; for all points order and limit what comes out of the partitions.
+    Batches are scored as arrays. Each partition keeps k rows; for all points order and limit what comes out of the partitions.
     """
 
     def __init__(self):
-        self.best: list[tuple[float, int]] = []
-        self.k = 0
-
-    def eval(self, points, query: list[float], k: int):
-        self.k = k
-        score = 0.0
-        for a, b in zip(query, points[1], strict=True):
-            score += a * b
-        entry = (score, -points[0])
-        if len(self.best) < k:
-            heapq.heappush(self.best, entry)
-        elif entry > self.best[0]:
-            heapq.heapreplace(self.best, entry)
+        self.scores, self.ids = np.zeros((1, 0)), np.zeros((1, 0), dtype=np.int64)
+
+    def eval(self, points: pa.RecordBatch, query: pa.Array, k: pa.Array):
+        if points.num_rows:
+            q, keep = np.array(query[0].as_py(), dtype=float), k[0].as_py()
+            x = vectors_of(points.column(1), len(q))
+            score = np.zeros(len(x))
+            for j in range(len(q)):  # in order of position, so that every formulation adds up alike
+                score += q[j] * x[:, j]
+            both = np.append(self.scores, score[None], axis=1), np.append(self.ids, points.column(0).to_numpy(zero_copy_only=False)[None], axis=1)
+            _, scores, ids = best_of(*both, keep)
+            self.scores, self.ids = scores[None], ids[None]
+        return iter(())
 
     def terminate(self):
-        for score, point in sorted(self.best, reverse=True):
-            yield -point, score
+        order = np.lexsort((self.ids[0], -self.scores[0]))
+        yield pa.table({"point_id": pa.array(self.ids[0][order], pa.int64()), "score": pa.array(self.scores[0][order], pa.float64())})
 
 
 def register(spark: SparkSession) -> None:
-    spark.udtf.register("mips_search", udtf(MipsSearch, returnType="point_id: bigint, score: double"))
+    spark.udtf.register("mips_search", arrow_udtf(MipsSearch, returnType="point_id: bigint, score: double"))
     for head, body in _BODIES.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")

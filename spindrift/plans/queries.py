@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import sources
-from ..functions import center, column_mean, hadamard, inner_product, l2_normalize, mean_vector, pad, sign_of
+from ..functions import center, column_mean, hadamard, inner_product, l2_normalize, mean_vector, pad, sign_of, sql
 from ..operators import index as ix
 from ..operators.bounded import bounded_search
 from ..operators.exact import exact_search
@@ -170,6 +170,15 @@ def certain(spark, d):
     return _rounded(certain_search(ix.MipsIndex.build(p, cfg, "bucket"), queries_of(p), q["hash"]), "score")
 
 
+def table_function_search(spark, d):
+    """The neighbours of the point of least id, by the table function in SQL."""
+    sql.register(spark)
+    points(spark, d).createOrReplaceTempView("spindrift_points")
+    query = spark.table("spindrift_points").orderBy("point_id").first()["vec"]
+    best = f"mips_search(points => table(select point_id, vec, point_id % 16 as part from spindrift_points) partition by part, query => array({', '.join(f'{float(x)!r}D' for x in query)}), k => {Q.k})"
+    return _rounded(spark.sql(f"select point_id, score from {best} order by score desc, point_id limit {Q.k}"), "score")
+
+
 def sign_flips(spark, d):
     """Points with the signs of the first round of the first rotation."""
     return _entries(points(spark, d), flip(pad(F.col("vec"), CFG.width), round_bits(CFG, 0, 0)))
@@ -324,6 +333,7 @@ QUERIES = {
     "bucket_search": _search("bucket"),
     "threshold_candidates": lambda s, d: _rounded(threshold_candidates(stored(_buckets(s, d)), _probed(s, d), CFG.top_m, Q.n_cand), "est"),
     "certain_search": certain,
+    "table_function_search": table_function_search,
     "hash_candidates": lambda s, d: ix.hash_candidates(_buckets(s, d), _probed(s, d), CFG.top_m),
     "hash_candidate_count": lambda s, d: _rounded(ix.candidate_counts(ix.hash_candidates(_buckets(s, d), _probed(s, d), CFG.top_m)), "avg_candidates"),
     "hash_search": _search("hash"),
@@ -519,6 +529,7 @@ ORACLE_SQL = {
     "bucket_estimate_mean": f"{_BASE} {_out(_est(agg='avg'), 'est')}",
     "bucket_candidates": f"{_BASE} {_out(_cand(_est()), 'est')}",
     "threshold_candidates": f"{_BASE} {_out(_cand(_est()), 'est')}",
+    "table_function_search": f"with {_POINTS}, one as (select vec as v from p order by point_id limit 1) select point_id, {_r('list_inner_product(v, vec)')} as score from p, one order by list_inner_product(v, vec) desc, point_id limit {Q.k}",
     "certain_search": _scored("list_inner_product(q.vec, p.vec)"),
     "bucket_search": f"{_SIZED} {_out(_top(_found('bucket')), 'score')}",
     "hash_candidates": f"{_BASE} {_HASH}",
