@@ -15,6 +15,7 @@ from .. import sources
 from ..functions import center, column_mean, hadamard, inner_product, l2_normalize, mean_vector, pad, sign_of, sql
 from ..operators import index as ix
 from ..operators.bounded import bounded_search
+from ..operators.codes import CodeIndex, Codebook
 from ..operators.exact import exact_search
 from ..operators.ivf import ivf_pq_search, ivf_search
 from ..operators.rotation import flip, long_projection, project, rotate, round_bits, sign_table
@@ -170,6 +171,13 @@ def certain(spark, d):
     return _rounded(certain_search(ix.MipsIndex.build(p, cfg, "bucket"), queries_of(p), q["hash"]), "score")
 
 
+def residual_codes_search(spark, d):
+    """Lists of a 16th of the points, half of them probed; 16 bytes a point."""
+    p = points(spark, d)
+    index = CodeIndex.build(p, Codebook.learn(p, parts=16))
+    return _rounded(index.search(queries_of(p), Q.k, 8, sized(p)[0].top_m), "score")
+
+
 def table_function_search(spark, d):
     """The neighbours of the point of least id, by the table function in SQL."""
     sql.register(spark)
@@ -366,6 +374,7 @@ QUERIES = {
     "ivf_given": ivf_given,
     "ivf_pq_given": ivf_pq_given,
     "ivf_pq_search": lambda s, d: _rounded(ivf_pq_search(p := points(s, d), queries_of(p), Q.k, n_cand=sized(p)[0].top_m), "score"),
+    "residual_codes_search": residual_codes_search,
     "ivf_search": lambda s, d: _rounded(ivf_search(p := points(s, d), queries_of(p), Q.k), "score"),
 }
 
