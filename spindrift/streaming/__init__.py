@@ -22,6 +22,10 @@ from ..plans import IndexConfig, QueryConfig
 from ..sources.tables import drop_path, fresh_path, id_at, names_in, stored
 
 
+#: Tables of live points beyond which they are written as one.
+PARTS = 16
+
+
 @dataclass
 class WindowIndex:
     """points: seq, vec of the window; buckets: dir, sgn, rk, point_id (a seq), val; mean is fixed at the build."""
@@ -118,7 +122,8 @@ class StreamingIndex:
             raise ValueError("the window would be smaller than a bucket")
         self.cfg, self.window, self.mode, self.path = cfg, window, mode, path
         self.state: WindowIndex | None = None
-        self.last, self.parts, self.low = -1, [], None
+        #: tables of live points with the greatest seq of each
+        self.last, self.parts, self.low = -1, {}, None
         self.opened = False
 
     def open(self, spark: SparkSession) -> WindowIndex | None:
@@ -138,8 +143,11 @@ class StreamingIndex:
     def _folder(self, version: int | None = None) -> str:
         return f"{self.path}/version={self.last if version is None else version:012d}"
 
+    def _versions(self) -> set[int]:
+        return {int(name.split("/")[0].removeprefix("version=")) for name in self.parts}
+
     def _load(self, spark: SparkSession, mean) -> None:
-        points = spark.read.schema("seq long, vec array<double>").parquet(*[f"{self._folder(v)}/points" for v in self.parts])
+        points = spark.read.schema("seq long, vec array<double>").parquet(*[f"{self.path}/{name}" for name in self.parts])
         buckets = spark.read.schema("dir int, sgn int, rk int, point_id long, val double").parquet(f"{self._folder()}/buckets")
         self.state = WindowIndex(points.filter(F.col("seq") >= self.low), buckets, self.cfg, tuple(mean) if mean else None)
 
@@ -149,7 +157,8 @@ class StreamingIndex:
         if batch_id <= self.last:  # a batch that comes again is already in
             return
         batch = batch.select(F.col("seq").cast("long").alias("seq"), F.col("vec").cast("array<double>").alias("vec"))
-        n = batch.count()
+        got = batch.agg(F.count("*").alias("n"), F.max("seq").alias("top")).first()
+        n, top = got["n"], got["top"]
         if not n:
             return
         if self.window and n > self.window:
@@ -166,9 +175,12 @@ class StreamingIndex:
             state = self.state.update(batch, over, self.mode)
         state.buckets.select(F.col("dir").cast("int").alias("dir"), F.col("sgn").cast("int").alias("sgn"), F.col("rk").cast("int").alias("rk"), "point_id", "val").write.mode("overwrite").parquet(f"{self._folder(batch_id)}/buckets")
         low = state.points.agg(F.min("seq")).first()[0]
-        tops = {v: spark.read.parquet(f"{self._folder(v)}/points").agg(F.max("seq")).first()[0] for v in self.parts}
-        before = set(self.parts) | ({self.last} if self.last >= 0 else set())
-        self.parts, self.low = [v for v in self.parts if tops[v] >= low] + [batch_id], low
+        before = self._versions() | ({self.last} if self.last >= 0 else set())
+        own = f"version={batch_id:012d}"
+        self.parts, self.low = {name: t for name, t in self.parts.items() if t >= low} | {f"{own}/points": top}, low
+        if len(self.parts) > PARTS:
+            state.points.write.mode("overwrite").parquet(f"{self.path}/{own}/merged")
+            self.parts = {f"{own}/merged": top}
         whole = {"cfg": asdict(self.cfg), "mean": state.mean, "parts": self.parts, "low": low}
         spark.createDataFrame([(json.dumps(whole),)], "value string").write.mode("overwrite").text(f"{self._folder(batch_id)}/whole")
         self.last = batch_id
@@ -176,7 +188,7 @@ class StreamingIndex:
         # the version before stays for its readers; older ones stay only while their points are in the window
         for v in names_in(spark, f"{self.path}/version=*"):
             number = int(v.split("/version=")[1].split("/")[0])
-            if number not in before and number not in self.parts and number < batch_id:
+            if number not in before and number not in self._versions() and number < batch_id:
                 drop_path(spark, v)
 
     def run(self, stream: DataFrame) -> WindowIndex | None:
