@@ -17,10 +17,12 @@ from ..functions import center, checked, mean_vector
 from ..plans import IndexConfig, QueryConfig
 from .exact import SCORES, best_of, query_blocks, rerank
 from .rotation import long_projection, project, project_batch, vectors_of
-from .topk import probes, top_per_group
+from .topk import probes, ranked, top_per_group
 
 #: Projections that a task makes at a time.
 HELD = 1 << 21
+#: Buckets of up to so many bytes are sent to all tasks in a search.
+INDEX_BYTES = 64 << 20
 BUCKET = "dir int, sgn int, point_id long, val double"
 
 
@@ -150,6 +152,124 @@ def hash_candidates(buckets: DataFrame, probed: DataFrame, prefix: int) -> DataF
     return probed_entries(buckets, probed, prefix).select("query_id", "point_id").distinct()
 
 
+def _sent(buckets: DataFrame, prefix: int):
+    """The read parts of all buckets as a broadcast: bucket numbers (2 dir, and 1 for the far side) in order, ids, values."""
+    got = buckets.filter(F.col("rk") <= prefix).select("dir", "sgn", "rk", "point_id", *(["val"] if "val" in buckets.columns else [])).toArrow()  # INDEX_BYTES at most
+    dirs, sgns, rks, ids = (got.column(c).to_numpy() for c in ("dir", "sgn", "rk", "point_id"))
+    side = 2 * dirs.astype(np.int64) + (sgns < 0)
+    order = np.lexsort((rks, side))
+    vals = got.column("val").to_numpy()[order] if "val" in got.column_names else np.zeros(len(ids))
+    return buckets.sparkSession.sparkContext.broadcast((side[order], ids[order], vals))
+
+
+def _sides(probed: DataFrame) -> DataFrame:
+    """(query_id, sides): the numbers of a query's probed buckets, in order of the probes."""
+    steps = F.sort_array(F.collect_list(F.struct("rk", "dir", "sgn"))).alias("steps")
+    return probed.groupBy("query_id").agg(steps).select("query_id", F.transform("steps", lambda p: p["dir"].cast("long") * 2 + (p["sgn"] < 0).cast("long")).alias("sides"))
+
+
+def _entries_at(side: np.ndarray, sides) -> np.ndarray:
+    """Places of the entries of buckets."""
+    begin, end = np.searchsorted(side, sides, "left"), np.searchsorted(side, sides, "right")
+    return np.concatenate([np.arange(x, y) for x, y in zip(begin, end)] or [np.zeros(0, dtype=int)])
+
+
+def _by_query(buckets: DataFrame, probed: DataFrame, prefix: int, schema: str, pick) -> DataFrame:
+    """pick(point ids, values) of each query's probed buckets, query by query in tasks, to all of which the buckets are sent."""
+    spark, sent = buckets.sparkSession, _sent(buckets, prefix)
+
+    def run(batches):
+        side, ids, vals = sent.value
+        names, kinds = zip(*(f.split() for f in schema.split(", ")))
+        kinds = [{"long": pa.int64(), "double": pa.float64(), "int": pa.int32()}[k] for k in kinds]
+        for b in batches:
+            for query, sides in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                at = _entries_at(side, sides)
+                cols = pick(ids[at], vals[at])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((np.full(len(cols[0]), query), *cols), kinds)], names=list(names))
+
+    return _sides(probed).repartition(spark.sparkContext.defaultParallelism, "query_id").mapInArrow(run, schema)
+
+
+def sent_whole(cfg: IndexConfig, prefix: int) -> bool:
+    """Whether the read parts of all buckets fit in INDEX_BYTES."""
+    return 2 * cfg.directions * prefix * 24 <= INDEX_BYTES
+
+
+def bucket_best(buckets: DataFrame, probed: DataFrame, prefix: int, n_cand: int, estimator: str, cfg: IndexConfig) -> DataFrame:
+    """The rows of best_candidates(bucket_estimates(...), n_cand). Buckets of up to INDEX_BYTES go to all tasks, which estimate query by query, so nothing is shuffled for a query and a point; larger ones are joined."""
+    if not sent_whole(cfg, prefix):
+        return best_candidates(bucket_estimates(buckets, probed, prefix, estimator), n_cand)
+
+    def pick(ids, vals):
+        points, of = np.unique(ids, return_inverse=True)
+        est = np.bincount(of, vals, len(points))
+        if estimator == "mean":
+            est /= np.bincount(of, minlength=len(points))
+        best = np.lexsort((points, -est))[:n_cand]
+        return points[best], est[best], np.arange(1, len(best) + 1, dtype=np.int32)
+
+    return _by_query(buckets, probed, prefix, "query_id long, point_id long, est double, rank int", pick)
+
+
+def hash_union(buckets: DataFrame, probed: DataFrame, prefix: int, cfg: IndexConfig) -> DataFrame:
+    """The rows of hash_candidates, in the same two ways."""
+    if not sent_whole(cfg, prefix):
+        return hash_candidates(buckets, probed, prefix)
+    return _by_query(buckets, probed, prefix, "query_id long, point_id long", lambda ids, vals: (np.unique(ids),))
+
+
+def hash_scored(buckets: DataFrame, probed: DataFrame, prefix: int, points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, rank, point_id, score): rerank(hash_candidates(...)) for buckets that are sent whole. Tasks score the points that a query's buckets hold where the points lie, and pass on their k best; no pair of a query and a point is shuffled."""
+    sent, found = _sent(buckets, prefix), None
+    spark = points.sparkSession
+    for part in query_blocks(queries, queries.agg(F.sum(F.size("vec")).alias("n")).first()["n"] or 0):
+        rows = part.select("query_id", F.col("vec").cast("array<double>").alias("vec")).join(_sides(probed), "query_id").collect()  # QUERY_BYTES
+        asked = spark.sparkContext.broadcast(([r["query_id"] for r in rows], np.array([r["vec"] for r in rows], dtype=float), [r["sides"] for r in rows]))
+        some = points.select(F.col("point_id").cast("long").alias("point_id"), F.col("vec").cast("array<double>").alias("vec")).mapInArrow(_hash_scorer(sent, asked, k), "query_id long, point_id long, score double")
+        found = some if found is None else found.unionByName(some)
+    return ranked(found, k)
+
+
+def _hash_scorer(sent, asked, k: int):
+    def run(batches):
+        side, ids, _ = sent.value
+        names, q, sides = asked.value
+        best = np.full((len(names), k), -np.inf), np.full((len(names), k), np.iinfo(np.int64).max)
+        held: list = []
+
+        def scored():
+            points, x = np.concatenate([h[0] for h in held]), np.vstack([h[1] for h in held])
+            order = np.argsort(points, kind="stable")
+            points, x = points[order], x[order]
+            # the entries of all buckets that are points of this task
+            here = np.searchsorted(points, ids)
+            mine = np.flatnonzero(points[np.minimum(here, len(points) - 1)] == ids)
+            place, own = here[mine], side[mine]
+            for i, buckets in enumerate(sides):
+                some = np.unique(place[_entries_at(own, buckets)])
+                score = np.zeros(len(some))
+                for j in range(q.shape[1]):  # in order of position, so that every formulation adds up alike
+                    score += q[i, j] * x[some, j]
+                _, s, p = best_of(np.append(best[0][i], score)[None], np.append(best[1][i], points[some])[None], k)
+                best[0][i], best[1][i] = s, p
+
+        for b in batches:
+            if b.num_rows and len(names):
+                p = b.column(0).to_numpy(zero_copy_only=False)
+                held.append((p, b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(p), -1)))
+                if sum(len(h[0]) for h in held) * q.shape[1] > 2 * HELD:
+                    scored()
+                    held = []
+        if held:
+            scored()
+        there = best[1] < np.iinfo(np.int64).max
+        rows = np.nonzero(there)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(np.array(names, dtype=np.int64)[rows], pa.int64()), pa.array(best[1][there], pa.int64()), pa.array(best[0][there], pa.float64())], names=["query_id", "point_id", "score"])
+
+    return run
+
+
 def best_candidates(estimates: DataFrame, n_cand: int) -> DataFrame:
     return top_per_group(estimates, ["query_id"], [F.desc("est"), F.col("point_id")], n_cand)
 
@@ -184,11 +304,13 @@ class MipsIndex:
         if self.kind == "dense":
             return dense_best(self.table, probed, q.n_cand)
         if self.kind == "bucket":
-            return best_candidates(bucket_estimates(self.table, probed, prefix, q.estimator), q.n_cand)
-        return hash_candidates(self.table, probed, prefix)
+            return bucket_best(self.table, probed, prefix, q.n_cand, q.estimator, self.cfg)
+        return hash_union(self.table, probed, prefix, self.cfg)
 
     def search(self, queries: DataFrame, q: QueryConfig) -> DataFrame:
         """(query_id, rank, point_id, score)"""
+        if self.kind == "hash" and sent_whole(self.cfg, q.prefix(self.cfg)):
+            return hash_scored(self.table, self.probe(queries, q), q.prefix(self.cfg), self.points, queries, q.k)
         return rerank(self.candidates(queries, q), self.points, queries, q.k)
 
     def cache(self) -> MipsIndex:

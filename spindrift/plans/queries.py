@@ -30,8 +30,9 @@ from . import IndexConfig, QueryConfig
 CFG = IndexConfig(dim=64, n_proj=64, n_repeats=2, top_m=50)
 Q = QueryConfig(k=10, n_probed_vectors=10, n_cand=50)
 #: Points in a bucket and scored exactly: ROOT times the root of the points, at least LEAST; the hash form reads half of a bucket. What a query reads grows with that root.
-ROOT, LEAST = 9, 50
-PROBED = {"dense": 16, "bucket": 48, "hash": 16}
+#: The dense form, which estimates all points, scores a 16th of that.
+ROOT, LEAST, DENSE = 9, 50, 16
+PROBED = {"dense": 64, "bucket": 48, "hash": 16}
 GIVEN = 61
 WIDE = 15
 PADDED = 100
@@ -92,7 +93,7 @@ def sized(p: DataFrame, centering: bool = False) -> tuple[IndexConfig, dict[str,
     m = max(LEAST, math.isqrt(ROOT * ROOT * p.count()))
     h = m // 2
     cfg = IndexConfig(CFG.dim, CFG.n_proj, CFG.n_repeats, m, centering=centering)
-    return cfg, {kind: QueryConfig(Q.k, s, h if kind == "hash" else None, m) for kind, s in PROBED.items()}
+    return cfg, {kind: QueryConfig(Q.k, s, h if kind == "hash" else None, max(LEAST, m // DENSE) if kind == "dense" else m) for kind, s in PROBED.items()}
 
 
 def _search(kind: str, centering: bool = False):
@@ -417,8 +418,8 @@ def _bucket(name: str, source: str, top: str = str(CFG.top_m)) -> str:
     return f"{name} as (select * from ({ranked}) where rk <= {top})"
 
 
-_SIZES = f"z as (select m, m // 2 as h from (select greatest({LEAST}, floor(sqrt({ROOT * ROOT} * count(*)))::bigint) as m from p))"
-_M, _H = "(select m from z)", "(select h from z)"
+_SIZES = f"z as (select m, m // 2 as h, greatest({LEAST}, m // {DENSE}) as c from (select greatest({LEAST}, floor(sqrt({ROOT * ROOT} * count(*)))::bigint) as m from p))"
+_M, _H, _C = "(select m from z)", "(select h from z)", "(select c from z)"
 
 
 _BASE = f"with recursive {_POINTS}, {_LONG}, {_BITS}, {_ROUNDS}, {_PROJ}, {_probe()}, {_SIDES}, {_bucket('bk', 'sides')}"
@@ -474,7 +475,7 @@ def _found(kind: str, buckets: str = "bk") -> str:
     if kind == "hash":
         return f"select distinct query_id, point_id from pb_hash join {buckets} using (dir, sgn) where {buckets}.rk <= {_H}"
     est = _est(buckets, probe="pb_bucket") if kind == "bucket" else _DENSE.replace("from pb ", "from pb_dense ")
-    return _cand(est, _M)
+    return _cand(est, _C if kind == "dense" else _M)
 
 
 def _given_sql(body: str) -> str:

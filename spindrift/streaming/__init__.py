@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import center, checked, mean_vector
 from ..operators.exact import rerank
-from ..operators.index import best_candidates, bucket_estimates, build_buckets, hash_candidates, ranked_buckets
+from ..operators.index import bucket_best, build_buckets, hash_candidates, hash_scored, ranked_buckets, sent_whole
 from ..operators.rotation import project
 from ..operators.topk import probes
 from ..plans import IndexConfig, QueryConfig
@@ -97,9 +97,11 @@ class WindowIndex:
         probed = probes(project(checked(queries, "vec", self.cfg.dim), self.cfg, "query_id"), q.n_probed_vectors)
         prefix = q.prefix(self.cfg)
         if kind == "hash":
+            if sent_whole(self.cfg, prefix):
+                return hash_scored(self.buckets, probed, prefix, self.points.withColumnRenamed("seq", "point_id"), queries, q.k)
             found = hash_candidates(self.buckets, probed, prefix)
         elif kind == "estimate":
-            found = best_candidates(bucket_estimates(self.buckets, probed, prefix, q.estimator), q.n_cand)
+            found = bucket_best(self.buckets, probed, prefix, q.n_cand, q.estimator, self.cfg)
         else:
             raise ValueError("kind must be estimate or hash")
         return rerank(found, self.points.withColumnRenamed("seq", "point_id"), queries, q.k)
