@@ -3,6 +3,9 @@
 A point is stored as the number of its nearest centre and, of what is left after the centre, rotated, one byte for each run of entries: the nearest of CODES means of that run. Centres, rotation and means are learned from a bounded sample (SAMPLE points
 of least hash of id): means and rotation take turns, the rotation being the orthogonal one that brings the sample nearest to its codes (by singular values). A product is estimated as the query's product with the centre and a sum of table entries; tasks
 estimate the points of the lists that a query probes and pass on their n_cand best, which are scored exactly.
+
+With `along` above 1 codes are score-aware: a query that a point is found by lies near the point's own direction, so an error along that direction weighs `along` times as much as one across it. Codes and means then take turns part by part: each point takes the
+code of least weighted error given its other parts, and each mean solves the weighted least squares of its points.
 """
 
 from __future__ import annotations
@@ -45,23 +48,63 @@ def _means(x: np.ndarray, count: int, seed: int, start: np.ndarray | None = None
     return centres
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    length = np.linalg.norm(x, axis=1, keepdims=True)
+    return x / np.where(length > 0, length, 1)
+
+
+def _error_along(y: np.ndarray, u: np.ndarray, books: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """What is missing of each row in the direction u."""
+    made = np.hstack([book[codes[:, p]] for p, book in enumerate(books)])
+    return ((y - made) * u).sum(axis=1)
+
+
+def _aware_codes(y: np.ndarray, u: np.ndarray, books: np.ndarray, codes: np.ndarray, along: float) -> np.ndarray:
+    """Codes of least weighted error, part by part, the other parts as they are."""
+    codes, width = codes.copy(), books.shape[2]
+    missing = _error_along(y, u, books, codes)
+    for p, book in enumerate(books):
+        mine, dirs = y[:, p * width : (p + 1) * width], u[:, p * width : (p + 1) * width]
+        told = dirs @ book.T
+        others = missing + np.take_along_axis(told, codes[:, p, None], axis=1)[:, 0]
+        error = (book * book).sum(axis=1)[None, :] - 2 * (mine @ book.T) + (along - 1) * (others[:, None] - told) ** 2
+        codes[:, p] = error.argmin(axis=1)
+        missing = others - np.take_along_axis(told, codes[:, p, None], axis=1)[:, 0]
+    return codes
+
+
+def _aware_means(y: np.ndarray, u: np.ndarray, books: np.ndarray, codes: np.ndarray, along: float) -> np.ndarray:
+    """Means that solve the weighted least squares of their points, part by part; one without points stays."""
+    books, (count, width) = books.copy(), books.shape[1:]
+    for p in range(len(books)):
+        mine, dirs, of = y[:, p * width : (p + 1) * width], u[:, p * width : (p + 1) * width], codes[:, p]
+        others = _error_along(y, u, books, codes) + (dirs * books[p][of]).sum(axis=1)
+        left, right = np.zeros((count, width, width)), np.zeros((count, width))
+        np.add.at(left, of, np.eye(width) + (along - 1) * dirs[:, :, None] * dirs[:, None, :])
+        np.add.at(right, of, mine + (along - 1) * dirs * others[:, None])
+        there = np.bincount(of, minlength=count) > 0
+        books[p][there] = np.linalg.solve(left[there], right[there][:, :, None])[:, :, 0]
+    return books
+
+
 @dataclass(frozen=True)
 class Codebook:
-    """centres: lists x dim; rotation: dim x dim, orthogonal; books: parts x CODES x (dim / parts)."""
+    """centres: lists x dim; rotation: dim x dim, orthogonal; books: parts x CODES x (dim / parts); along: the weight of an error in a point's own direction."""
 
     centres: np.ndarray
     rotation: np.ndarray
     books: np.ndarray
+    along: float = 1.0
 
     @classmethod
-    def learn(cls, points: DataFrame, parts: int = 8, lists: int = 16, codes: int = CODES, seed: int = 42, rotate: bool = True, residual: bool = True) -> Codebook:
+    def learn(cls, points: DataFrame, parts: int = 8, lists: int = 16, codes: int = CODES, seed: int = 42, rotate: bool = True, residual: bool = True, along: float = 1.0) -> Codebook:
         rows = points.select("point_id", F.col("vec").cast("array<double>").alias("vec")).orderBy(F.xxhash64("point_id"), "point_id").limit(SAMPLE).collect()
         if not rows:
             raise ValueError("no points to learn from")
         x = np.array([r["vec"] for r in rows])
         dim = x.shape[1]
-        if dim % parts or not 1 <= codes <= 256:
-            raise ValueError("the number of parts must divide the length of the vectors, and codes are 1 to 256")
+        if dim % parts or not 1 <= codes <= 256 or along < 1:
+            raise ValueError("the number of parts must divide the length of the vectors, codes are 1 to 256, and along is not below 1")
         centres = _means(x, lists, seed)
         left = x - centres[_nearest(x, centres)] if residual else x
         rotation, books, width = np.eye(dim), None, dim // parts
@@ -72,14 +115,24 @@ class Codebook:
                 made = np.hstack([books[p][_nearest(y[:, p * width : (p + 1) * width], books[p])] for p in range(parts)])
                 u, _, v = np.linalg.svd(left.T @ made)
                 rotation = u @ v
-        return cls(centres, rotation, books)
+        if along > 1:
+            y, u = left @ rotation, _unit(x) @ rotation
+            near = np.stack([_nearest(y[:, p * width : (p + 1) * width], b) for p, b in enumerate(books)], axis=1)
+            for _ in range(TURNS):
+                near = _aware_codes(y, u, books, near, along)
+                books = _aware_means(y, u, books, near, along)
+        return cls(centres, rotation, books, along)
 
     def encode(self, x: np.ndarray, residual: bool = True) -> tuple[np.ndarray, np.ndarray]:
         """List numbers and codes (rows x parts)."""
         near = _nearest(x, self.centres)
         y = (x - self.centres[near] if residual else x) @ self.rotation
         width = self.books.shape[2]
-        return near, np.stack([_nearest(y[:, p * width : (p + 1) * width], book) for p, book in enumerate(self.books)], axis=1).astype(np.uint8)
+        codes = np.stack([_nearest(y[:, p * width : (p + 1) * width], book) for p, book in enumerate(self.books)], axis=1)
+        if self.along > 1:
+            for _ in range(2):
+                codes = _aware_codes(y, _unit(x) @ self.rotation, self.books, codes, self.along)
+        return near, codes.astype(np.uint8)
 
 
 @dataclass

@@ -56,12 +56,33 @@ def test_residuals_and_rotation_help(spark, skewed):
     assert found["both"] > found["plain"] + 0.02 and found["residual"] > found["plain"] - 0.02, found
 
 
+def test_score_aware_codes(spark):
+    """Less error along the vectors, weighted error no greater than of plain codes, and no worse recall."""
+    rng = np.random.default_rng(17)
+    x = rng.normal(size=(3000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    p = table(spark, x).repartition(4).cache()
+    q = queries_of(p)
+    truth = exact_search(p, q, 10).cache()
+    errors, found = {}, {}
+    for along in (1.0, 4.0):
+        book = Codebook.learn(p, parts=8, lists=4, codes=64, along=along)
+        near, codes = book.encode(x)
+        left = x - book.centres[near] - np.hstack([b[codes[:, k]] for k, b in enumerate(book.books)]) @ book.rotation.T
+        main = (left * x).sum(axis=1)
+        errors[along] = (main**2).mean(), (left**2).sum(axis=1).mean()
+        found[along] = recall(CodeIndex.build(p, book).search(q, 10, 4, 30), truth, 10).first()["recall"]
+    assert errors[4.0][0] < 0.8 * errors[1.0][0]
+    assert 3 * errors[4.0][0] + errors[4.0][1] <= 3 * errors[1.0][0] + errors[1.0][1]
+    assert found[4.0] >= found[1.0] - 0.02, found
+
+
 def test_few_points_and_bad_parameters(spark, skewed):
     few = skewed.filter("point_id < 3")
     index = CodeIndex.build(few, Codebook.learn(few, parts=2, lists=4, codes=8))
     q = queries_of(skewed).limit(2)
     assert sorted(map(tuple, index.search(q, 5, 4, 10).collect())) == sorted(map(tuple, exact_search(few, q, 5).collect()))
-    for bad in (dict(parts=5), dict(codes=300)):
+    for bad in (dict(parts=5), dict(codes=300), dict(along=0.5)):
         with pytest.raises(ValueError):
             Codebook.learn(skewed, **bad)
     with pytest.raises(ValueError):
