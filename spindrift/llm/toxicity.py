@@ -1,9 +1,9 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-A text is cut into clauses and each word becomes a symbol: insult, threat, target, negation, reported speech or other.
+A text is cut into sentences, a sentence at commas and colons into clauses, and each word becomes a symbol: insult, threat, target, negation, reported speech or other; the cut between clauses is a symbol too.
 Three transducers over these symbols are composed into one machine: negation marks the insults and threats in its reach, reported
-speech marks what follows its verb in the clause, and the scorer sums lexical weights, raised where a target stands close by.
-The machine's state reaches to the end of a clause, so what counts is matched clauses, not words alone.
+speech marks what follows its verb in the sentence, also behind a comma, a colon or quotation marks, and the scorer sums lexical weights, raised where a target stands close by.
+Negation and targets reach to the end of a clause, so what counts is matched clauses, not words alone.
 
 The closed classes (threat verbs, targets, negations, verbs of saying) are fixed lists; the insult class is learned: words and word stems that
 a bounded sample of labelled documents (MAX_POSITIVE and MAX_NEGATIVE, by smallest hash of id) has far more often in toxic documents. A logistic
@@ -11,7 +11,7 @@ regression on the sums of plain, negated and reported clause scores, the best cl
 
 Defined cases: null text counts as empty and scores as a text without matches; null labels are left out; a document with
 several labels counts as toxic if one is 1; with labels of one class only, every score is 0; rows without id are scored but not learned from;
-repeated rows get equal scores; an empty table gives an empty result; other columns are not looked at.
+repeated rows get equal scores; very long texts are read whole, sentence by sentence; entries that tie in weight are taken by their count, then in alphabetical order; an empty table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -41,7 +41,8 @@ NEGATIONS = {"not", "no", "never", "isn", "don", "ne", "pas", "jamais", "nicht",
 REPORTS = {"said", "says", "called", "wrote", "claimed", "quoted", "dit", "appelé", "sagte", "nannte", "schrieb", "dijo", "llamó", "escribió"}
 
 WORD = re.compile(r"[^\W\d_]+")
-CLAUSE = re.compile(r"[.!?;:,\n|]+")
+SENTENCE = re.compile(r"[.!?;\n|]+")
+CLAUSE = re.compile(r"[:,]+")
 CACHED = 400_000
 FEATURES = 5
 
@@ -69,8 +70,14 @@ class Transducer:
         return Transducer((self.start, other.start), step)
 
 
+#: The cut between two clauses of a sentence.
+CUT = "C"
+
+
 def negation() -> Transducer:
     def step(left, s):
+        if s == CUT:
+            return 0, s
         if s == "N":
             return REACH, s
         return max(0, left - 1), s + "-" if left and s in ("I", "H") else s
@@ -89,6 +96,8 @@ def targeting() -> Transducer:
     """Marks insults and threats within REACH of a target before them."""
 
     def step(left, s):
+        if s == CUT:
+            return 0, s
         if s == "T":
             return REACH, s
         return max(0, left - 1), s + ">" if left and s[0] in "IH" else s
@@ -116,8 +125,13 @@ class Lexicon:
 
 
 def clause_scores(clause: list[str], lexicon: Lexicon) -> tuple[float, float, float]:
-    """Scores of plain, negated and reported matches in a clause."""
-    state, sums = GRAMMAR.start, [0.0, 0.0, 0.0]
+    """Scores of plain, negated and reported matches in a clause alone."""
+    return _scored(clause, lexicon)[0]
+
+
+def _scored(clause: list[str], lexicon: Lexicon, state=None) -> tuple[tuple[float, float, float], tuple]:
+    """Scores of plain, negated and reported matches in a clause, and the state that the next clause of the sentence begins in; state: that of the clause before."""
+    state, sums = GRAMMAR.start if state is None else GRAMMAR.step(state, CUT)[0], [0.0, 0.0, 0.0]
     symbols = [lexicon.symbol(w) for w in clause]
     after = [any(s == "T" for s, _ in symbols[k + 1 : k + 1 + REACH]) for k in range(len(symbols))]
     for (s, weight), near in zip(symbols, after):
@@ -127,7 +141,7 @@ def clause_scores(clause: list[str], lexicon: Lexicon) -> tuple[float, float, fl
             aimed = ">" in out or near
             value = weight * (1.5 if aimed else 1.0) if out[0] == "I" else (2.0 if aimed else 0.0)
             sums[2 if '"' in out else 1 if "-" in out else 0] += value
-    return tuple(sums)
+    return tuple(sums), state
 
 
 class Scorer:
@@ -145,10 +159,12 @@ class Scorer:
             (self.hot if self.lexicon.symbol(w)[0] in "IH" else self.cold).add(w)
         out = [0.0] * FEATURES
         if words & self.hot:
-            for clause in CLAUSE.split(low):
-                parts = WORD.findall(clause)
-                if not self.hot.isdisjoint(parts):
-                    got = clause_scores(parts, self.lexicon)
+            for sentence in SENTENCE.split(low):
+                if self.hot.isdisjoint(WORD.findall(sentence)):
+                    continue
+                state = None
+                for clause in CLAUSE.split(sentence):
+                    got, state = _scored(WORD.findall(clause), self.lexicon, state)
                     out = [out[0] + got[0], out[1] + got[1], out[2] + got[2], max(out[3], got[0]), out[4] + (sum(got) > 0)]
         return [math.log1p(v) for v in out]
 
