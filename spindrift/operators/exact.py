@@ -127,8 +127,10 @@ def _pairs_in_tasks(asked: DataFrame, queries: DataFrame, k: int) -> DataFrame:
             p = b.column(0).to_numpy(zero_copy_only=False)
             x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(p), -1)
             counts = np.diff(b.column(2).offsets.to_numpy())
-            query = np.searchsorted(names, b.column(2).flatten().to_numpy(zero_copy_only=False))
-            point = np.repeat(np.arange(len(p)), counts)
+            wanted = b.column(2).flatten().to_numpy(zero_copy_only=False)
+            query, point = np.minimum(np.searchsorted(names, wanted), len(names) - 1), np.repeat(np.arange(len(p)), counts)
+            there = names[query] == wanted
+            query, point = query[there], point[there]
             if x.shape[1] != q.shape[1]:
                 raise ValueError("points and queries differ in length")
             for at in range(0, len(query), SCORES // 8):
