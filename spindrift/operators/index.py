@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import center, checked, mean_vector
 from ..plans import IndexConfig, QueryConfig
+from . import shares
 from .exact import SCORES, best_of, query_blocks, rerank
 from .rotation import long_projection, project, project_batch, vectors_of
 from .topk import probes, ranked, top_per_group
@@ -52,21 +53,28 @@ def _local_buckets(cfg: IndexConfig, only: list[tuple[int, int]] | None = None):
                 values[some], points[some] = v.reshape(-1, width), p.reshape(-1, width)
             best = values, points
 
+        def told():
+            width = best[0].shape[1]
+            for at in range(0, sides, max(1, SCORES // max(1, width))):
+                some = np.arange(at, min(sides, at + max(1, SCORES // max(1, width))))
+                side = np.repeat(every[some], width)
+                cols = (side % cfg.directions, pa.int32()), (np.where(side < cfg.directions, 1, -1), pa.int32()), (best[1][some].ravel(), pa.int64()), (best[0][some].ravel(), pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in cols], names=["dir", "sgn", "point_id", "val"])
+
+        large = sides * cfg.top_m > 2 * HELD  # what a task would hold for such buckets grows with them, so it passes on what it has
         for b in batches:
             ids, x = b.column(0).to_numpy(zero_copy_only=False), vectors_of(b.column(1), cfg.dim)
             step = max(1, HELD // cfg.directions)
             for at in range(0, len(ids), step):
                 held.append((ids[at : at + step], project_batch(x[at : at + step], cfg)))
-                if sum(len(i) for i, _ in held) * cfg.directions > max(2 * HELD, cfg.top_m * cfg.directions):
+                if sum(len(i) for i, _ in held) * cfg.directions > (HELD if large else max(2 * HELD, cfg.top_m * cfg.directions)):
                     fold()
+                    if large:
+                        yield from told()
+                        best = np.zeros((sides, 0)), np.zeros((sides, 0), dtype=np.int64)
         if held:
             fold()
-        width = best[0].shape[1]
-        for at in range(0, sides, max(1, SCORES // max(1, width))):
-            some = np.arange(at, min(sides, at + max(1, SCORES // max(1, width))))
-            side = np.repeat(every[some], width)
-            cols = (side % cfg.directions, pa.int32()), (np.where(side < cfg.directions, 1, -1), pa.int32()), (best[1][some].ravel(), pa.int64()), (best[0][some].ravel(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in cols], names=["dir", "sgn", "point_id", "val"])
+        yield from told()
 
     return run
 
@@ -90,6 +98,38 @@ def build_buckets(points: DataFrame, cfg: IndexConfig, backend: str = "arrow", o
     return ranked_buckets(typed.mapInArrow(_local_buckets(cfg, only), BUCKET), cfg.top_m)
 
 
+def _steps(probed: DataFrame) -> DataFrame:
+    """(query_id, steps): a query's probes in order."""
+    return probed.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rk", "dir", "sgn"))).alias("steps"))
+
+
+def _steps_of(rows) -> tuple[np.ndarray, np.ndarray]:
+    return np.array([[p["dir"] for p in r["steps"]] for r in rows], dtype=int), np.array([[p["sgn"] for p in r["steps"]] for r in rows], dtype=float)
+
+
+def dense_search(index: DataFrame, probed: DataFrame, n_cand: int, points: DataFrame, queries: DataFrame, k: int, directions: int) -> DataFrame:
+    """(query_id, rank, point_id, score): rerank(dense_best(...)), without a pair held or shuffled but those near the n_cand-th."""
+    asked = queries.select("query_id", "vec").join(_steps(probed), "query_id")
+    return shares.search(points.join(index, "point_id"), ["proj"], asked, _steps_of, shares.by_directions, 2 * directions, k, n_cand, index)
+
+
+def hash_searched(buckets: DataFrame, probed: DataFrame, prefix: int, points: DataFrame, queries: DataFrame, k: int, directions: int) -> DataFrame:
+    """(query_id, rank, point_id, score): rerank(hash_candidates(...)) for buckets of any size. A point carries a bit for each bucket that holds it, a query one for each that it probes, and pairs with a common bit are scored where the points lie."""
+    side = F.col("dir").cast("long") * 2 + (F.col("sgn") < 0).cast("long")
+    words = -(-2 * directions // 64)
+    bits = [F.expr(f"bit_or(if(side div 64 = {w}, shiftleft(1L, cast(side % 64 as int)), 0L))").alias(f"w{w}") for w in range(words)]
+    held = buckets.filter(F.col("rk") <= prefix).select("point_id", side.alias("side")).groupBy("point_id").agg(*bits)
+
+    def asked(rows) -> tuple:
+        out = np.zeros((len(rows), 64 * words), dtype=np.uint8)
+        for i, r in enumerate(rows):
+            out[i, r["sides"]] = 1
+        return (np.packbits(out, axis=1, bitorder="little").view("<i8"),)
+
+    names = [f"w{w}" for w in range(words)]
+    return shares.search(points.join(held, "point_id"), names, queries.select("query_id", "vec").join(_sides(probed), "query_id"), asked, shares.by_sides, words, k)
+
+
 def dense_estimates(index: DataFrame, probed: DataFrame) -> DataFrame:
     """(query_id, point_id, est): the signed sum of a point's projections on the probed directions."""
     steps = F.sort_array(F.collect_list(F.struct("rk", "dir", "sgn"))).alias("steps")
@@ -311,6 +351,10 @@ class MipsIndex:
         """(query_id, rank, point_id, score)"""
         if self.kind == "hash" and sent_whole(self.cfg, q.prefix(self.cfg)):
             return hash_scored(self.table, self.probe(queries, q), q.prefix(self.cfg), self.points, queries, q.k)
+        if self.kind == "hash":
+            return hash_searched(self.table, self.probe(queries, q), q.prefix(self.cfg), self.points, queries, q.k, self.cfg.directions)
+        if self.kind == "dense":
+            return dense_search(self.table, self.probe(queries, q), q.n_cand, self.points, queries, q.k, self.cfg.directions)
         return rerank(self.candidates(queries, q), self.points, queries, q.k)
 
     def cache(self) -> MipsIndex:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import center, checked, mean_vector
 from ..operators.exact import rerank
-from ..operators.index import bucket_best, build_buckets, hash_candidates, hash_scored, ranked_buckets, sent_whole
+from ..operators.index import bucket_best, build_buckets, hash_scored, hash_searched, ranked_buckets, sent_whole
 from ..operators.rotation import project
 from ..operators.topk import probes
 from ..plans import IndexConfig, QueryConfig
@@ -99,7 +99,7 @@ class WindowIndex:
         if kind == "hash":
             if sent_whole(self.cfg, prefix):
                 return hash_scored(self.buckets, probed, prefix, self.points.withColumnRenamed("seq", "point_id"), queries, q.k)
-            found = hash_candidates(self.buckets, probed, prefix)
+            return hash_searched(self.buckets, probed, prefix, self.points.withColumnRenamed("seq", "point_id"), queries, q.k, self.cfg.directions)
         elif kind == "estimate":
             found = bucket_best(self.buckets, probed, prefix, q.n_cand, q.estimator, self.cfg)
         else:
