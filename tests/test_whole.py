@@ -65,6 +65,17 @@ def test_centred_hash_search_reads_a_tenth(spark, made, monkeypatch):
     assert found(vq.QUERIES["hash_search_centered"](spark, path)) == one
 
 
+def test_codes_score_a_fifth(spark, made):
+    path, x = made
+    c = x[[i for i in range(N) if i % vq.GIVEN == 0][:16]]
+    near = lambda y, m: ((m * m).sum(axis=1) - 2 * y @ m.T).argmin(axis=1)
+    lists, codes = near(x, c), np.stack([near(x[:, j : j + 8], c[:, j : j + 8]) for j in range(0, 64, 8)], axis=1)
+    got = found(vq.QUERIES["ivf_pq_given"](spark, path))
+    for q in range(0, N, 50):
+        est = sum((c[codes[:, j], 8 * j : 8 * j + 8] * x[q, 8 * j : 8 * j + 8]).sum(axis=1) for j in range(8))
+        est[~np.isin(lists, np.argsort(-(c @ x[q]), kind="stable")[:8])] = -np.inf
+        assert got[q] == best(est, N // 5, x @ x[q])
+
 
 @pytest.mark.parametrize("sample, bins", [(1, 1), (40, 3)])
 def test_share_is_exact_whatever_the_sample(spark, monkeypatch, sample, bins):
