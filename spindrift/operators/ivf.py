@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import doubles, inner_product, norm2
-from .exact import rerank
-from .topk import top_per_group
+from ..sources.tables import stored
+from . import shares
 
 Centres = list[list[float]]
 
@@ -28,9 +29,21 @@ def _nearest(v: Column, centres: Centres) -> Column:
 
 
 def _probed(queries: DataFrame, centres: Centres, n_probes: int) -> DataFrame:
-    """(query_id, list) of the lists whose centres have the largest inner products with the query; picked inside each row."""
+    """(query_id, vec, lists): the numbers of the lists whose centres have the largest inner products with the query; picked inside each row."""
     near = F.transform(_table(centres), lambda c, i: F.struct((-inner_product(F.col("vec"), c)).alias("s"), i.alias("i")))
-    return queries.select("query_id", F.explode(F.slice(F.array_sort(near), 1, n_probes)).alias("e")).select("query_id", F.col("e.i").alias("list"))
+    return queries.select("query_id", "vec", F.transform(F.slice(F.array_sort(near), 1, n_probes), lambda e: e["i"]).alias("lists"))
+
+
+def _asked(lists: int):
+    """Which lists each query probes, and, where it has them, its products with the codes of each part."""
+
+    def own(rows) -> tuple:
+        probed = np.zeros((len(rows), lists), dtype=bool)
+        for i, r in enumerate(rows):
+            probed[i, r["lists"]] = True
+        return (probed, np.array([r["products"] for r in rows], dtype=float)) if "products" in rows[0] else (probed,)
+
+    return own
 
 
 def _table(centres: Centres) -> Column:
@@ -41,8 +54,8 @@ def _table(centres: Centres) -> Column:
 def ivf_search(points: DataFrame, queries: DataFrame, k: int = 10, n_lists: int = 16, n_probes: int = 4, seed: int = 42, centres: Centres | None = None) -> DataFrame:
     """(query_id, rank, point_id, score): the lists whose centres have the largest inner product with the query are scored exactly. Centres are learned by k-means unless given."""
     centres = centres or learn_centres(points, n_lists, seed)
-    listed = points.select("point_id", _nearest(F.col("vec"), centres).alias("list"))
-    return rerank(_probed(queries, centres, n_probes).join(listed, "list"), points, queries, k)
+    listed = points.select("point_id", "vec", _nearest(F.col("vec"), centres).alias("list"))
+    return shares.search(listed, ["list"], _probed(queries, centres, n_probes), _asked(len(centres)), shares.by_lists, len(centres), k)
 
 
 def learn_codebooks(points: DataFrame, parts: int, codes: int, seed: int = 42) -> list[Centres]:
@@ -62,14 +75,12 @@ def ivf_pq_search(
     codebooks = codebooks or learn_codebooks(points, parts, codes, seed)
     width = len(codebooks[0][0])
     run = lambda j: F.slice(doubles(F.col("vec")), j * width + 1, width)
-    coded = points.select("point_id", _nearest(F.col("vec"), centres).alias("list"), F.array(*[_nearest(run(j), book) for j, book in enumerate(codebooks)]).alias("codes"))
+    coded = points.select("point_id", "vec", _nearest(F.col("vec"), centres).alias("list"), F.array(*[_nearest(run(j), book) for j, book in enumerate(codebooks)]).alias("codes"))
     # a query's products with every centre of every run: parts x codes numbers
     products = F.array(*[_products(run(j), book) for j, book in enumerate(codebooks)])
-    tables = queries.select("query_id", products.alias("products"))
-    found = _probed(queries, centres, n_probes).join(coded, "list").join(tables, "query_id")
-    est = F.aggregate(F.zip_with("products", "codes", lambda t, c: F.get(t, c)), F.lit(0.0), lambda s, x: s + x)
-    best = top_per_group(found.select("query_id", "point_id", est.alias("est")), ["query_id"], [F.desc("est"), F.col("point_id")], n_cand)
-    return rerank(best, points, queries, k)
+    coded = stored(coded)  # read three times: for a sample, to count and to score
+    asked = _probed(queries, centres, n_probes).withColumn("products", products)
+    return shares.search(coded, ["list", "codes"], asked, _asked(len(centres)), shares.by_lists, len(centres) + len(codebooks) * len(codebooks[0]), k, n_cand)
 
 
 def _products(v: Column, centres: Centres) -> Column:
