@@ -132,11 +132,8 @@ def hash_searched(buckets: DataFrame, probed: DataFrame, prefix: int, points: Da
 
 def dense_estimates(index: DataFrame, probed: DataFrame) -> DataFrame:
     """(query_id, point_id, est): the signed sum of a point's projections on the probed directions."""
-    steps = F.sort_array(F.collect_list(F.struct("rk", "dir", "sgn"))).alias("steps")
-    per_query = probed.groupBy("query_id").agg(steps)
-    both = index.crossJoin(per_query)  # a row for every pair is what is asked for here; searches use dense_best
-    est = F.aggregate("steps", F.lit(0.0), lambda s, p: s + p["sgn"] * F.get(F.col("proj"), p["dir"]))
-    return both.select("query_id", "point_id", est.alias("est"))
+    # a row for every pair is what is asked for here; searches don't make them
+    return shares.all_pairs(index, ["proj"], _steps(probed), _steps_of, shares.by_directions, 2 * (probed.agg(F.max("rk")).first()[0] or 0), "est")
 
 
 def dense_best(index: DataFrame, probed: DataFrame, n_cand: int) -> DataFrame:
