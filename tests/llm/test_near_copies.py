@@ -52,3 +52,29 @@ def test_stage_against_all_pairs(spark):
     kept = corpus_pipeline.drop_near_copies(spark, docs, SF)
     assert kept.columns == docs.columns
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted({find(i) for i in ids})
+
+
+def test_pairs_that_meet_in_no_bucket_are_linked(spark, monkeypatch):
+    """Against all pairs, with buckets that find nothing, a small sample, and texts of one to a few hundred words."""
+    rng, texts = random.Random(9), ["", "one", "one two three four"]
+    for k in range(60):
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.choice([5, 6, 9, 14, 30, 120, 300]))]
+        texts.append(" ".join(words))
+        for _ in range(3):
+            words = list(words)
+            for _ in range(max(1, len(words) // rng.choice([40, 60, 90]))):
+                words[rng.randrange(len(words))] = f"e{rng.randrange(3000)}"
+            texts.append(" ".join(words + ["common line of every text here"] * (k % 3 == 0)))
+    sets, root = [shingles(t) for t in texts], list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if texts[a] != texts[b] and alike(sets[a], sets[b]):
+                old, new = sorted((root[a], root[b]), reverse=True)
+                root = [new if r == old else r for r in root]
+    want = sorted(set(root))
+    assert 60 < len(want) < len(texts) - 40
+    monkeypatch.setattr(near_copies, "candidates", lambda *_: spark.createDataFrame([], "a long, b long"))
+    for sampled in (near_copies.SAMPLED, 20):
+        monkeypatch.setattr(near_copies, "SAMPLED", sampled)
+        got = near_copies.keep_representatives(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+        assert sorted(r["doc_id"] for r in got.collect()) == want
