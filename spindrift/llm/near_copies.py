@@ -5,8 +5,11 @@ a dozen bits of a 64-bit SimHash, and masks that cover so many would be thousand
 covering masks of the SimHash of the same shingles, and BANDS bands of ROWS minimum hashes, of which a pair at 0.8 shares one with
 probability 1 - (1 - 0.8^5)^20 = 0.9996. In a bucket each text is paired with the texts of the least and the greatest digest, under one of HUBS orders by table; only
 pairs whose sets, compared as a whole, are similar enough are linked, so a bucket costs in proportion to its members. What these links leave apart is then
-searched exactly: two such texts share a shingle among the first of both, n - 0.8 n + 1 of n, in an order of all shingles. All texts of different groups that share one are compared, so no link
-between groups is missed; links inside a group that is already one are not listed. The order puts rare shingles first, by counts in a sample of texts; it decides how many are compared, not what is found.
+searched exactly: two such texts share a shingle among the first of both, n - 0.8 n + 1 of n, in an order of all shingles. All texts of different groups that share one are paired, so no link
+between groups is missed; links inside a group that is already one are not listed. The order puts rare shingles first, by counts in a sample of texts; it decides how many are paired, not what is found.
+
+Sets are made and compared of the pairs alone that bounds leave: the sizes, the places of a shared shingle in both orders, and bit sketches, which hold a bit or two for each shingle: each bit is the parity of the shingles that fall on it,
+so two sets differ in as many shingles as their sketches do in bits, at least. No bound leaves out a pair that is similar enough.
 
 Defined cases: null text counts as empty; texts without words are alike; a text under five words has one shingle of all its words;
 equal texts are one node, a 64-bit digest; very long texts are read whole; ties of id go to the first row; rows without id take part and stay only if nothing in the component has an id;
@@ -20,10 +23,10 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import row_name, rows_of, small_batches, steady, stored, whole_text
+from .common import drop_since, mark, row_name, rows_of, small_batches, steady, stored, whole_text
 from .components import components
 from .simhash import BITS, covering_masks
 
@@ -36,6 +39,8 @@ PART = 1 << 12
 SAMPLED, FREQUENT, OFTEN = 20_000, 1 << 16, 3
 #: Places of the bitmap that tells which texts are in a pair; where it fills up, more sets are made than are needed.
 PLACES = 1 << 23
+#: Longs of a sketch, at least; a power of two.
+SKETCH = 2
 _MASKS = np.array(covering_masks(), dtype=np.uint64)
 _RNG = np.random.default_rng(11)
 _XOR = _RNG.integers(0, 1 << 63, (BANDS * ROWS, 1), dtype=np.uint64)
@@ -93,6 +98,15 @@ def prefix(hashes: np.ndarray, similarity: float, frequent: np.ndarray, counts:
     return hashes[np.lexsort((hashes, count))][: len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + 1]
 
 
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """The parity of a set's shingles on each bit, of as many bits as shingles or up to twice as many; the first half of a sketch xor the second is the sketch of half as many bits."""
+    longs = SKETCH
+    while 64 * longs < len(hashes):
+        longs *= 2
+    odd = np.bincount((hashes & np.uint64(64 * longs - 1)).astype(np.int64), minlength=64 * longs) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def _keys(words: int, similarity: float, frequent: np.ndarray, counts: np.ndarray):
     def run(batches):
         for b in batches:
@@ -100,7 +114,8 @@ def _keys(words: int, similarity: float, frequent: np.ndarray, counts: np.ndarra
             keys = [bucket_keys(s).view(np.int64) for s in sets]
             firsts = [prefix(s, similarity, frequent, counts).view(np.int64) for s in sets]
             longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, longs), pa.array([len(s) for s in sets], pa.int32()), pa.array(firsts, longs)], names=["node", "keys", "size", "prefix"])
+            sketches = pa.array([sketch(s) for s in sets], longs)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, longs), pa.array([len(s) for s in sets], pa.int32()), pa.array(firsts, longs), sketches], names=["node", "keys", "size", "prefix", "sketch"])
 
     return run
 
@@ -152,8 +167,8 @@ def _marked(pairs: DataFrame) -> np.ndarray:
 
 
 def _keyed(texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(node, keys, size, prefix) of texts (node, text)."""
-    return stored(texts.mapInArrow(_keys(words, similarity, *_frequent(texts, words)), "node long, keys array<long>, size int, prefix array<long>"))
+    """(node, keys, size, prefix, sketch) of texts (node, text)."""
+    return stored(texts.mapInArrow(_keys(words, similarity, *_frequent(texts, words)), "node long, keys array<long>, size int, prefix array<long>, sketch array<long>"))
 
 
 def candidates(keyed: DataFrame) -> DataFrame:
@@ -167,37 +182,76 @@ def candidates(keyed: DataFrame) -> DataFrame:
     return met.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
 
+def _may(common: Column, sizes: Column, similarity: float) -> Column:
+    """Whether sets of so many shingles together are similar enough if they have `common` of them in common."""
+    return common >= F.lit(similarity) * (sizes - common) - F.lit(1e-6)
+
+
+def _differing(x: Column, y: Column) -> Column:
+    """Bits in which two sketches differ, the longer one, if any, in its form of half as many bits."""
+
+    def halved(z: Column, other: Column) -> Column:
+        half = F.size(other)
+        return F.when(F.size(z) > half, F.zip_with(F.slice(z, 1, half), F.slice(z, half + 1, half), lambda p, q: p.bitwiseXOR(q))).otherwise(z)
+
+    bits = F.zip_with(halved(x, y), halved(y, x), lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+    return F.aggregate(bits, F.lit(0), lambda total, n: total + n)
+
+
 def across(keyed: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
-    """Distinct pairs (a, b) of nodes of different groups (node, root) that share a shingle of their prefixes and whose sizes fit. Members of one group are not paired, however many share a shingle."""
-    rows = keyed.join(groups, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "size", F.explode("prefix").alias("s"))
+    """Distinct pairs (a, b) of nodes of different groups (node, root) that share a shingle of their prefixes and whose sizes and places of it fit. Members of one group are not paired, however many share a shingle."""
+    rows = keyed.select("node", "size", F.posexplode("prefix").alias("at", "s"))
+    # most shingles are of one text: what is left after one shuffle is small
+    one = Window.partitionBy("s")
+    rows = rows.withColumns({"low": F.min("node").over(one), "high": F.max("node").over(one)}).filter("low != high").select("s", "node", "size", "at").distinct()
+    rows = stored(rows.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node")))
     shared = rows.groupBy("s").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("s")
     rows = stored(rows.join(shared, "s"))
     roots = rows.select("s", "root").distinct()
     met = roots.withColumnRenamed("root", "ra").join(roots.withColumnRenamed("root", "rb"), "s").filter("ra < rb")
-    one = rows.select("s", F.col("root").alias("ra"), F.col("node").alias("x"), F.col("size").alias("nx"))
-    other = rows.select("s", F.col("root").alias("rb"), F.col("node").alias("y"), F.col("size").alias("ny"))
-    fit = F.least("nx", "ny") >= F.lit(similarity) * F.greatest("nx", "ny")
+    one = rows.select("s", F.col("root").alias("ra"), F.col("node").alias("x"), F.col("size").alias("nx"), F.col("at").alias("i"))
+    other = rows.select("s", F.col("root").alias("rb"), F.col("node").alias("y"), F.col("size").alias("ny"), F.col("at").alias("j"))
+    # the first shingle in common has all the others behind it in both
+    fit = _may(F.least(F.col("nx") - F.col("i"), F.col("ny") - F.col("j")), F.col("nx") + F.col("ny"), similarity)
     both = met.join(one, ["s", "ra"]).join(other, ["s", "rb"]).filter(fit)
     return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def similar_pairs(texts: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """Edges (u, v) between texts whose sets of shingles are similar enough; any two such texts are joined by a path of them."""
+    """Edges (u, v) between texts whose sets of shingles are similar enough; any two such texts are joined by a path of them. A table; those that led to it are removed."""
+    since = mark()
     keyed = _keyed(texts, words, similarity)
-    found = stored(_alike(texts, candidates(keyed), words, similarity))
-    return found.unionByName(_alike(texts, across(keyed, components(found), similarity), words, similarity))
+    first = mark()
+    found = stored(_alike(texts, keyed, candidates(keyed), words, similarity))
+    drop_since(texts.sparkSession, first, keep=1)
+    links = stored(found.unionByName(_alike(texts, keyed, across(keyed, components(found), similarity), words, similarity)))
+    drop_since(texts.sparkSession, since, keep=1)
+    return links
+
+
+def possible(keyed: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) that sizes and sketches do not exclude."""
+    light = keyed.select("node", "size", "sketch").dropDuplicates(["node"])
+    left = light.select(F.col("node").alias("a"), F.col("size").alias("nx"), F.col("sketch").alias("p"))
+    right = light.select(F.col("node").alias("b"), F.col("size").alias("ny"), F.col("sketch").alias("q"))
+    sizes = F.col("nx") + F.col("ny")
+    # sizes first: sketches of similar sizes have as many bits, or one has twice as many
+    sized = pairs.join(left, "a").join(right, "b").filter(_may(F.least("nx", "ny"), sizes, similarity))
+    near = F.when(_ratio(F.size("p"), F.size("q")) <= 2, _may((sizes - _differing(F.col("p"), F.col("q"))) / 2, sizes, similarity)).otherwise(True)
+    return sized.filter(near).select("a", "b")
+
+
+def _ratio(m: Column, n: Column) -> Column:
+    return F.greatest(m, n) / F.least(m, n)
 
 
-def _alike(texts: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
+def _alike(texts: DataFrame, keyed: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
     """Edges (u, v) of the pairs (a, b) whose sets are similar enough."""
-    pairs = stored(pairs)
+    pairs = stored(possible(keyed, pairs, similarity))
     sets = stored(texts.mapInArrow(_sets(words, _marked(pairs)), "node long, shingles array<long>").dropDuplicates(["node"]))
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    # sizes first: sets of very different sizes are not similar
-    sized = pairs.join(left.select("a", F.size("x").alias("nx")), "a").join(right.select("b", F.size("y").alias("ny")), "b")
-    fit = sized.filter(F.least("nx", "ny") >= F.lit(similarity) * F.greatest("nx", "ny")).select("a", "b")
-    both = fit.join(left, "a").join(right, "b")
+    both = pairs.join(left, "a").join(right, "b")
     common = F.size(F.array_intersect("x", "y"))
     alike = common >= F.lit(similarity) * (F.size("x") + F.size("y") - common)
     return both.filter(alike).select(F.col("b").alias("u"), F.col("a").alias("v"))

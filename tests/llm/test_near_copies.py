@@ -78,3 +78,43 @@ def test_pairs_that_meet_in_no_bucket_are_linked(spark, monkeypatch):
         monkeypatch.setattr(near_copies, "SAMPLED", sampled)
         got = near_copies.keep_representatives(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
         assert sorted(r["doc_id"] for r in got.collect()) == want
+
+
+def test_sketches_exclude_no_similar_sets():
+    """The bits in which sketches differ are never more than the shingles in which the sets do."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for size in (0, 1, 5, 127, 129, 260, 5000):
+        for share in (0.0, 0.1, 1.0):
+            base = rng.integers(0, 1 << 63, size, dtype=np.uint64)
+            other = np.concatenate([base[int(size * share) :], rng.integers(0, 1 << 63, int(size * share * 0.9), dtype=np.uint64)])
+            x, y = near_copies.sketch(base), near_copies.sketch(other)
+            while len(x) != len(y):
+                x, y = (z if len(z) <= min(len(x), len(y)) else z[: len(z) // 2] ^ z[len(z) // 2 :] for z in (x, y))
+            bits = sum(bin(int(b) & (1 << 64) - 1).count("1") for b in x ^ y)
+            differ = len(np.setxor1d(base, other))
+            assert bits <= differ
+            if size >= 260 and share == 1.0:  # and they tell strangers apart
+                assert bits > 0.25 * size
+
+
+def test_only_possible_pairs_are_compared_and_tables_go(spark, monkeypatch):
+    """300 texts in which others' passages stand: sets are made for pairs that may be similar alone, whatever their shingles in common."""
+    from spindrift.sources import tables
+
+    rng = random.Random(2)
+    passages = [[f"p{k}x{j}" for j in range(30)] for k in range(10)]
+    rows = []
+    for k in range(300):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(90)]
+        words[40:40] = passages[k % 10]
+        rows.append((k, " ".join(words)))
+    rows.append((300, " ".join(words[:-1] + ["edited"])))
+    marked, seen = near_copies._marked, []
+    monkeypatch.setattr(near_copies, "_marked", lambda pairs: (seen.append(pairs.count()), marked(pairs))[1])
+    texts = spark.createDataFrame(rows, "node long, text string")
+    before = tables.mark()
+    assert [tuple(sorted(r)) for r in near_copies.similar_pairs(texts).distinct().collect()] == [(299, 300)]
+    assert sum(seen) <= 5
+    assert tables.mark() == before + 1
