@@ -12,8 +12,8 @@ from .topk import ranked
 
 #: Queries travel to every task in blocks whose numbers fit in this many bytes.
 QUERY_BYTES = 64 << 20
-#: Scores that a task holds at a time.
-SCORES = 1 << 21
+#: Scores that a task holds at a time; some six arrays of as many numbers are there at once.
+SCORES = 1 << 19
 
 
 def query_blocks(queries: DataFrame, numbers: int, id_col: str = "query_id") -> list[DataFrame]:

@@ -94,3 +94,29 @@ def test_share_is_exact_whatever_the_sample(spark, monkeypatch, sample, bins):
     assert index.search(q.limit(0), conf).collect() == []
     assert ivf_search(p, q.limit(0), 3, centres=x[:4].tolist()).collect() == []
     assert len(found(ivf_pq_search(p, q, 3, 4, 1, 2, 4, 2, centres=x[:4].tolist(), codebooks=[x[:4, :4].tolist(), x[:4, 4:].tolist()]))) > 0
+
+
+def test_exact_search_holds_few_scores(spark, monkeypatch):
+    """A task's arrays for 1,000 queries and a batch of 10,000 points, as large as batches get."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from spindrift.operators.exact import exact_search
+
+    rng = np.random.default_rng(1)
+    queries = spark.createDataFrame([(i, rng.normal(size=8).tolist()) for i in range(1000)], "query_id long, vec array<double>")
+    points = queries.withColumnRenamed("query_id", "point_id")
+    kind, runs = type(points), []
+    made = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, run, *a, **k: (runs.append(run), made(self, run, *a, **k))[1])
+    exact_search(points, queries, 10)
+    vectors = pa.ListArray.from_arrays(pa.array(np.arange(10_001, dtype=np.int32) * 8), pa.array(rng.normal(size=80_000)))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(10_000)), vectors], names=["point_id", "vec"])
+    tracemalloc.start()
+    got = list(runs[0](iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(b.num_rows for b in got) == 10_000
+    assert peak < 40e6
