@@ -8,6 +8,10 @@ pairs whose sets, compared as a whole, are similar enough are linked, so a bucke
 searched exactly: two such texts share a shingle among the first of both, n - 0.8 n + 1 of n, in an order of all shingles. All texts of different groups that share one are paired, so no link
 between groups is missed; links inside a group that is already one are not listed. The order puts rare shingles first, by counts in a sample of texts; it decides how many are paired, not what is found.
 
+Where many share one shingle, as edited copies of one text that are below 0.8 among themselves do, they are not paired by it. All of them are compared with one of them, the hub, and go on by what they do not have
+in common with it: sets x and y of p and q shingles that differ from the hub's differ in p + q - 2 c, where c are in both differences. Two that are similar enough and not both linked to the hub have at least
+(p + q - (x + y) / 9) / 2 > 0 of these in common (x, y: sizes), so again one among the first of both; an edit of one text alone is in no other. Shingles that too many share there take another hub, LEVELS times at most.
+
 Sets are made and compared of the pairs alone that bounds leave: the sizes, the places of a shared shingle in both orders, and bit sketches, which hold a bit or two for each shingle: each bit is the parity of the shingles that fall on it,
 so two sets differ in as many shingles as their sketches do in bits, at least. No bound leaves out a pair that is similar enough.
 
@@ -37,6 +41,8 @@ HUBS = 4
 PART = 1 << 12
 #: Texts whose shingles are counted for the order, and the frequent ones that come last in it: those counted at least OFTEN times.
 SAMPLED, FREQUENT, OFTEN = 20_000, 1 << 16, 3
+#: Texts that are looked up by one shingle without a hub, and how often differences from a hub are dealt to further hubs. They decide how many are paired, not what is found.
+CROWD, LEVELS = 16, 3
 #: Places of the bitmap that tells which texts are in a pair; where it fills up, more sets are made than are needed.
 PLACES = 1 << 23
 #: Longs of a sketch, at least; a power of two.
@@ -87,17 +93,37 @@ def bucket_keys(hashes: np.ndarray) -> np.ndarray:
     return np.concatenate([np.uint64(majority(hashes)) & _MASKS, bands])
 
 
+def _counted(hashes: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Counts of shingles, 0 if not among the frequent, which are sorted."""
+    if not len(frequent):
+        return np.zeros(len(hashes), dtype=np.int64)
+    at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
+    return np.where(frequent[at] == hashes, counts[at], 0)
+
+
 def prefix(hashes: np.ndarray, similarity: float, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The first of a set of shingles, in order of their counts (0 if not among the frequent, which are sorted), then hashes: sets of that similarity have one of them in common."""
     if not len(hashes):
         return hashes
-    count = np.zeros(len(hashes), dtype=np.int64)
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
-        count = np.where(frequent[at] == hashes, counts[at], 0)
+    count = _counted(hashes, frequent, counts)
     return hashes[np.lexsort((hashes, count))][: len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + 1]
 
 
+def difference(x: np.ndarray, hub: np.ndarray, similarity: float, frequent: np.ndarray, counts: np.ndarray) -> tuple[bool, int, int, np.ndarray]:
+    """Whether two sets are similar enough, in how many shingles they differ, and the first of these: those that x has come first, then those that only the hub has.
+
+    Two similar sets that are not both linked to the hub have in common one of all the first of the set that differs from it in more shingles and of `reach` first of the other, the third of the result:
+    by the sizes that the other set may have, by differing in no more shingles itself, and, of a linked set, by the other one not being linked.
+    """
+    new, gone = np.setdiff1d(x, hub, assume_unique=True), np.setdiff1d(hub, x, assume_unique=True)
+    differ, common = len(new) + len(gone), len(x) - len(new)
+    linked = common >= similarity * (len(x) + len(hub) - common)
+    wide = (1 / similarity - 1) * len(x)
+    half = (differ - (1 - similarity) / (1 + similarity) * (len(hub) - len(x))) / 2 if linked else wide
+    first = np.concatenate([new[np.lexsort((new, _counted(new, frequent, counts)))], gone])
+    return bool(linked), differ, math.floor(min(half, wide / 2) + 1e-6) + 1, first[: math.floor(min(half, wide) + 1e-6) + 1]
+
+
 def sketch(hashes: np.ndarray) -> np.ndarray:
     """The parity of a set's shingles on each bit, of as many bits as shingles or up to twice as many; the first half of a sketch xor the second is the sketch of half as many bits."""
     longs = SKETCH
@@ -115,7 +141,8 @@ def _keys(words: int, similarity: float, frequent: np.ndarray, counts: np.ndarra
             firsts = [prefix(s, similarity, frequent, counts).view(np.int64) for s in sets]
             longs = pa.list_(pa.int64())
             sketches = pa.array([sketch(s) for s in sets], longs)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, longs), pa.array([len(s) for s in sets], pa.int32()), pa.array(firsts, longs), sketches], names=["node", "keys", "size", "prefix", "sketch"])
+            usual = pa.array([float(np.count_nonzero(_counted(s, frequent, counts))) / max(1, len(s)) for s in sets], pa.float64())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, longs), pa.array([len(s) for s in sets], pa.int32()), pa.array(firsts, longs), sketches, usual], names=["node", "keys", "size", "prefix", "sketch", "usual"])
 
     return run
 
@@ -166,9 +193,14 @@ def _marked(pairs: DataFrame) -> np.ndarray:
     return out.view(np.uint8)
 
 
-def _keyed(texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(node, keys, size, prefix, sketch) of texts (node, text)."""
-    return stored(texts.mapInArrow(_keys(words, similarity, *_frequent(texts, words)), "node long, keys array<long>, size int, prefix array<long>, sketch array<long>"))
+def _sets_of(texts: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
+    """(node, shingles) of the texts that are in `pairs`, and of a few more. A table."""
+    return stored(texts.mapInArrow(_sets(words, _marked(pairs)), "node long, shingles array<long>").dropDuplicates(["node"]))
+
+
+def _keyed(texts: DataFrame, words: int, similarity: float, frequent: np.ndarray, counts: np.ndarray) -> DataFrame:
+    """(node, keys, size, prefix, sketch, usual) of texts (node, text); usual is the share of a text's shingles that are frequent."""
+    return stored(texts.mapInArrow(_keys(words, similarity, frequent, counts), "node long, keys array<long>, size int, prefix array<long>, sketch array<long>, usual double"))
 
 
 def candidates(keyed: DataFrame) -> DataFrame:
@@ -198,33 +230,85 @@ def _differing(x: Column, y: Column) -> Column:
     return F.aggregate(bits, F.lit(0), lambda total, n: total + n)
 
 
-def across(keyed: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
-    """Distinct pairs (a, b) of nodes of different groups (node, root) that share a shingle of their prefixes and whose sizes and places of it fit. Members of one group are not paired, however many share a shingle."""
-    rows = keyed.select("node", "size", F.posexplode("prefix").alias("at", "s"))
+def _differences(similarity: float, frequent: np.ndarray, counts: np.ndarray):
+    def run(batches):
+        for b in batches:
+            sets = zip(*(b.column(k).to_pylist() for k in (5, 6)))
+            got = [difference(*(np.array(s, dtype=np.int64).view(np.uint64) for s in both), similarity, frequent, counts) for both in sets]
+            linked, differ, reach = (pa.array([g[k] for g in got], t) for k, t in enumerate((pa.bool_(), pa.int32(), pa.int32())))
+            firsts = pa.array([g[3].view(np.int64) for g in got], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(5)), linked, differ, reach, firsts], names=["node", "hub", "size", "usual", "root", "linked", "n", "reach", "prefix"])
+
+    return run
+
+
+def _shared(rows: DataFrame) -> DataFrame:
+    """The rows (s, node, root, ...) whose s is in different groups, with a hub, of the most usual shingles, where more than CROWD texts are looked up by it. A table."""
+    looked_up = F.sum((F.col("at") < F.col("reach")).cast("int"))
+    hub = F.max(F.struct("usual", "node"))["node"]
+    of = rows.groupBy("s").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.when(looked_up > CROWD, hub).alias("hub")).filter("low != high")
+    return stored(rows.join(of.select("s", "hub"), "s"))
+
+
+def _paired(rows: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of different groups that share an s, whose sizes and places of it fit."""
+    one = rows.select("s", *[F.col(c).alias(f"{c}1") for c in ("node", "root", "size", "n", "at", "linked")])
+    other = rows.filter("at < reach").select("s", *[F.col(c).alias(f"{c}2") for c in ("node", "root", "size", "n", "at", "linked")])
+    # the first shingle in common has all the others behind it in both
+    common = (F.col("n1") + F.col("n2") - F.lit((1 - similarity) / (1 + similarity)) * (F.col("size1") + F.col("size2"))) / 2
+    fit = F.least(F.col("n1") - F.col("at1"), F.col("n2") - F.col("at2")) >= common - F.lit(1e-6)
+    apart = (F.col("root1") != F.col("root2")) & ~(F.col("linked1") & F.col("linked2"))
+    larger = (F.col("n1") > F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("node1") > F.col("node2")))
+    both = one.join(other, "s").filter(apart & larger & fit)
+    return both.select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b"))
+
+
+def across(texts: DataFrame, keyed: DataFrame, groups: DataFrame, words: int, similarity: float, frequent: np.ndarray, counts: np.ndarray) -> tuple[DataFrame, DataFrame]:
+    """Distinct pairs (a, b) of nodes of different groups (node, root) that may be similar enough, and edges (u, v) to hubs that are. Members of one group are not paired, however many share a shingle."""
+    rows = keyed.select("node", "size", "usual", F.posexplode("prefix").alias("at", "s"))
     # most shingles are of one text: what is left after one shuffle is small
     one = Window.partitionBy("s")
-    rows = rows.withColumns({"low": F.min("node").over(one), "high": F.max("node").over(one)}).filter("low != high").select("s", "node", "size", "at").distinct()
+    rows = rows.withColumns({"low": F.min("node").over(one), "high": F.max("node").over(one)}).filter("low != high").drop("low", "high").distinct()
     rows = stored(rows.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node")))
-    shared = rows.groupBy("s").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("s")
-    rows = stored(rows.join(shared, "s"))
-    roots = rows.select("s", "root").distinct()
-    met = roots.withColumnRenamed("root", "ra").join(roots.withColumnRenamed("root", "rb"), "s").filter("ra < rb")
-    one = rows.select("s", F.col("root").alias("ra"), F.col("node").alias("x"), F.col("size").alias("nx"), F.col("at").alias("i"))
-    other = rows.select("s", F.col("root").alias("rb"), F.col("node").alias("y"), F.col("size").alias("ny"), F.col("at").alias("j"))
-    # the first shingle in common has all the others behind it in both
-    fit = _may(F.least(F.col("nx") - F.col("i"), F.col("ny") - F.col("j")), F.col("nx") + F.col("ny"), similarity)
-    both = met.join(one, ["s", "ra"]).join(other, ["s", "rb"]).filter(fit)
-    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    # of two sets the smaller one is looked up by fewer
+    reach = F.floor(F.lit((1 - similarity) / (1 + similarity)) * F.col("size") + F.lit(1e-6)).cast("int") + 1
+    rows = rows.withColumns({"n": F.col("size"), "reach": reach, "linked": F.lit(False)})
+    pairs, links, sets = [], [], None
+    for level in range(LEVELS + 1):
+        rows = _shared(rows)
+        crowd = rows.filter("hub is not null")
+        if level == LEVELS or crowd.isEmpty():
+            pairs.append(_paired(rows, similarity))
+            break
+        pairs.append(_paired(rows.filter("hub is null"), similarity))
+        met = stored(crowd.filter("node != hub").select("node", "hub", "size", "usual", "root").distinct())
+        if sets is None:
+            sets = _sets_of(texts, met.select(F.col("node").alias("a"), F.col("hub").alias("b")), words)
+        both = met.join(sets.withColumnRenamed("shingles", "x"), "node").join(sets.select(F.col("node").alias("hub"), F.col("shingles").alias("y")), "hub")
+        both = both.select("node", "hub", "size", "usual", "root", "x", "y")
+        schema = "node long, hub long, size int, usual double, root long, linked boolean, n int, reach int, prefix array<long>"
+        found = stored(both.mapInArrow(_differences(similarity, frequent, counts), schema))
+        links.append(found.filter("linked").select(F.col("node").alias("u"), F.col("hub").alias("v")))
+        rows = found.select(*[c for c in found.columns if c != "prefix"], F.posexplode("prefix").alias("at", "s")).withColumn("s", F.xxhash64("hub", "s")).drop("hub")
+    every = pairs[0]
+    for more in pairs[1:]:
+        every = every.unionByName(more)
+    edges = groups.sparkSession.createDataFrame([], "u long, v long") if not links else links[0]
+    for more in links[1:]:
+        edges = edges.unionByName(more)
+    return every.distinct(), edges
 
 
 def similar_pairs(texts: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """Edges (u, v) between texts whose sets of shingles are similar enough; any two such texts are joined by a path of them. A table; those that led to it are removed."""
     since = mark()
-    keyed = _keyed(texts, words, similarity)
+    order = _frequent(texts, words)
+    keyed = _keyed(texts, words, similarity, *order)
     first = mark()
     found = stored(_alike(texts, keyed, candidates(keyed), words, similarity))
     drop_since(texts.sparkSession, first, keep=1)
-    links = stored(found.unionByName(_alike(texts, keyed, across(keyed, components(found), similarity), words, similarity)))
+    pairs, near = across(texts, keyed, components(found), words, similarity, *order)
+    links = stored(found.unionByName(near).unionByName(_alike(texts, keyed, pairs, words, similarity)))
     drop_since(texts.sparkSession, since, keep=1)
     return links
 
@@ -248,7 +332,7 @@ def _ratio(m: Column, n: Column) -> Column:
 def _alike(texts: DataFrame, keyed: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
     """Edges (u, v) of the pairs (a, b) whose sets are similar enough."""
     pairs = stored(possible(keyed, pairs, similarity))
-    sets = stored(texts.mapInArrow(_sets(words, _marked(pairs)), "node long, shingles array<long>").dropDuplicates(["node"]))
+    sets = _sets_of(texts, pairs, words)
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     both = pairs.join(left, "a").join(right, "b")

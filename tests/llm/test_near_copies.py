@@ -118,3 +118,62 @@ def test_only_possible_pairs_are_compared_and_tables_go(spark, monkeypatch):
     assert [tuple(sorted(r)) for r in near_copies.similar_pairs(texts).distinct().collect()] == [(299, 300)]
     assert sum(seen) <= 5
     assert tables.mark() == before + 1
+
+
+def test_a_crowd_that_shares_shingles_is_not_paired(spark, monkeypatch):
+    """Edited copies of one text, most below 0.8 among themselves: the same links as of all pairs, and few pairs are looked at, whatever hubs there are."""
+    rng, base = random.Random(4), [f"w{k}" for k in range(150)]
+    texts = []
+    for k in range(240):
+        words = list(base)
+        for _ in range(rng.choice([2, 5, 8, 9, 10])):
+            words[rng.randrange(150)] = f"e{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+        if k % 8 == 0:  # a near copy of one of them that shares its edits
+            words[rng.randrange(150)] = f"e{rng.randrange(10**6)}"
+            texts.append(" ".join(words))
+    sets, root = [shingles(t) for t in texts], list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if alike(sets[a], sets[b]):
+                old, new = sorted((root[a], root[b]), reverse=True)
+                root = [new if r == old else r for r in root]
+    want = sorted(set(root))
+    assert 60 < len(want) < len(texts) - 60
+    monkeypatch.setattr(near_copies, "candidates", lambda *_: spark.createDataFrame([], "a long, b long"))
+    possible, seen = near_copies.possible, []
+    monkeypatch.setattr(near_copies, "possible", lambda keyed, pairs, similarity: (seen.append(pairs.count()), possible(keyed, pairs, similarity))[1])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in near_copies.keep_representatives(docs).collect()) == want
+    assert sum(seen) < 20 * len(texts)
+    if hasattr(near_copies, "CROWD"):  # the same, if nearly all go on from hub to hub
+        monkeypatch.setattr(near_copies, "CROWD", 1)
+        assert sorted(r["doc_id"] for r in near_copies.keep_representatives(docs).collect()) == want
+
+
+def test_differences_from_a_hub_lose_no_similar_sets():
+    """Two similar sets that are not both linked to the hub share one of the shingles by which they are looked up, with places that fit; against all triples."""
+    import numpy as np
+
+    rng, none = np.random.default_rng(6), (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))
+    apart = 0
+    for similarity in (0.5, 0.8, 0.95):
+        for _ in range(120):
+            core = rng.choice(400, rng.integers(1, 60), replace=False)
+            sets = []
+            for _ in range(8):
+                part = core[rng.random(len(core)) < rng.choice([0.6, 0.9, 0.98])]
+                sets.append(np.unique(np.concatenate([part, rng.choice(400, rng.integers(0, 8))])).astype(np.uint64))
+            sets = [s for s in sets if len(s)]
+            hub = sets[0]
+            rows = [(s, *near_copies.difference(s, hub, similarity, *none)) for s in sets[1:]]
+            for k, (x, linked, n, _, first) in enumerate(rows):
+                assert linked == (len(np.intersect1d(x, hub)) >= similarity * len(np.union1d(x, hub)))
+                for j, (y, other, m, reach, begin) in enumerate(rows):
+                    if k == j or (n, k) < (m, j) or linked and other or len(np.intersect1d(x, y)) < similarity * len(np.union1d(x, y)):
+                        continue
+                    apart += 1
+                    first_at = {int(v): p for p, v in enumerate(first)}
+                    common = (n + m - (1 - similarity) / (1 + similarity) * (len(x) + len(y))) / 2
+                    assert any(min(n - first_at[int(v)], m - p) >= common - 1e-6 for p, v in enumerate(begin[:reach]) if int(v) in first_at)
+    assert apart > 300
