@@ -242,11 +242,12 @@ def _differences(similarity: float, frequent: np.ndarray, counts: np.ndarray):
     return run
 
 
-def _shared(rows: DataFrame) -> DataFrame:
-    """The rows (s, node, root, ...) whose s is in different groups, with a hub, of the most usual shingles, where more than CROWD texts are looked up by it. A table."""
+def _shared(rows: DataFrame, similarity: float) -> DataFrame:
+    """The rows (s, node, root, ...) whose s is in different groups, with a hub, of the most usual shingles, where more texts are looked up by it than CROWD and than two times the shingles that a text goes on by. A table."""
     looked_up = F.sum((F.col("at") < F.col("reach")).cast("int"))
+    crowd = F.greatest(F.lit(float(CROWD)), F.lit(2 * (1 / similarity - 1)) * F.avg("size"))
     hub = F.max(F.struct("usual", "node"))["node"]
-    of = rows.groupBy("s").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.when(looked_up > CROWD, hub).alias("hub")).filter("low != high")
+    of = rows.groupBy("s").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.when(looked_up > crowd, hub).alias("hub")).filter("low != high")
     return stored(rows.join(of.select("s", "hub"), "s"))
 
 
@@ -275,7 +276,7 @@ def across(texts: DataFrame, keyed: DataFrame, groups: DataFrame, words: int, si
     rows = rows.withColumns({"n": F.col("size"), "reach": reach, "linked": F.lit(False)})
     pairs, links, sets = [], [], None
     for level in range(LEVELS + 1):
-        rows = _shared(rows)
+        rows = _shared(rows, similarity)
         crowd = rows.filter("hub is not null")
         if level == LEVELS or crowd.isEmpty():
             pairs.append(_paired(rows, similarity))
