@@ -120,3 +120,20 @@ def test_exact_search_holds_few_scores(spark, monkeypatch):
     tracemalloc.stop()
     assert sum(b.num_rows for b in got) == 10_000
     assert peak < 40e6
+
+
+def test_pairs_take_little_more_than_their_scores_in_files(spark, tmp_path):
+    """Ids of pairs of 10,000 points, a whole batch, with 50 queries; and each pair once."""
+    import pyarrow.parquet as pq
+
+    points = spark.range(10_000, numPartitions=1).selectExpr("id * 7 as point_id", "array(double(id), 1d) as vec")
+    pairs = shares.inner_products(points, points.filter("point_id % 1400 = 0").withColumnRenamed("point_id", "query_id"))
+    pairs.write.parquet(f"{tmp_path}/pairs")
+    size = 0
+    for f in (tmp_path / "pairs").glob("*.parquet"):
+        m = pq.ParquetFile(f).metadata
+        size += sum(m.row_group(g).column(c).total_compressed_size for g in range(m.num_row_groups) for c in (0, 1))
+    got = spark.read.parquet(f"{tmp_path}/pairs")
+    assert got.count() == got.distinct().count() == 500_000
+    assert got.filter("score != query_id / 7 * point_id / 7 + 1").isEmpty()
+    assert size < 0.3 * 500_000
