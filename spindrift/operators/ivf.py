@@ -73,14 +73,16 @@ def ivf_pq_search(
     """(query_id, rank, point_id, score): points of the probed lists are estimated by the sum, over the runs of entries, of the query's products with the point's codes; the n_cand best are scored exactly."""
     centres = centres or learn_centres(points, n_lists, seed)
     codebooks = codebooks or learn_codebooks(points, parts, codes, seed)
-    width = len(codebooks[0][0])
+    width, longest = len(codebooks[0][0]), max(map(len, codebooks))
+    # k-means may find fewer centres in one run of entries than in another; a centre that is there twice is never the nearest
+    codebooks = [[*book, *[book[-1]] * (longest - len(book))] for book in codebooks]
     run = lambda j: F.slice(doubles(F.col("vec")), j * width + 1, width)
     coded = points.select("point_id", "vec", _nearest(F.col("vec"), centres).alias("list"), F.array(*[_nearest(run(j), book) for j, book in enumerate(codebooks)]).alias("codes"))
     # a query's products with every centre of every run: parts x codes numbers
     products = F.array(*[_products(run(j), book) for j, book in enumerate(codebooks)])
     coded = stored(coded)  # read three times: for a sample, to count and to score
     asked = _probed(queries, centres, n_probes).withColumn("products", products)
-    return shares.search(coded, ["list", "codes"], asked, _asked(len(centres)), shares.by_lists, len(centres) + len(codebooks) * len(codebooks[0]), k, n_cand)
+    return shares.search(coded, ["list", "codes"], asked, _asked(len(centres)), shares.by_lists, len(centres) + len(codebooks) * longest, k, n_cand)
 
 
 def _products(v: Column, centres: Centres) -> Column:

@@ -137,3 +137,15 @@ def test_pairs_take_little_more_than_their_scores_in_files(spark, tmp_path):
     assert got.count() == got.distinct().count() == 500_000
     assert got.filter("score != query_id / 7 * point_id / 7 + 1").isEmpty()
     assert size < 0.3 * 500_000
+
+
+def test_runs_of_entries_with_fewer_centres_than_others(spark):
+    """Codebooks of one to five centres, as k-means makes them where a run of entries has few values: estimates against NumPy."""
+    x = np.random.default_rng(8).integers(-3, 4, (120, 4)).astype(float)
+    books = [[[-2.0], [0.0], [2.0], [3.0], [1.0]], [[1.0]], [[-1.0], [1.0]], [[0.0], [2.0], [-3.0]]]
+    points = spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(x)], "point_id long, vec array<double>")
+    queries = points.filter("point_id < 10").withColumnRenamed("point_id", "query_id")
+    got = found(ivf_pq_search(points, queries, 3, n_probes=1, n_cand=20, centres=[[0.0] * 4], codebooks=books))
+    near = np.stack([np.array(b)[abs(x[:, j, None] - np.array(b)[:, 0]).argmin(axis=1), 0] for j, b in enumerate(books)], axis=1)
+    for q in range(10):
+        assert got[q] == best(near @ x[q], 20, x @ x[q], 3)
