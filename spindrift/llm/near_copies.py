@@ -6,7 +6,8 @@ covering masks of the SimHash of the same shingles, and BANDS bands of ROWS mini
 probability 1 - (1 - 0.8^5)^20 = 0.9996. In a bucket each text is paired with the texts of the least and the greatest digest, under one of HUBS orders by table; only
 pairs whose sets, compared as a whole, are similar enough are linked, so a bucket costs in proportion to its members. What these links leave apart is then
 searched exactly: two such texts share a shingle among the first of both, n - 0.8 n + 1 of n, in an order of all shingles. All texts of different groups that share one are paired, so no link
-between groups is missed; links inside a group that is already one are not listed. The order puts rare shingles first, by counts in a sample of texts; it decides how many are paired, not what is found.
+between groups is missed; links inside a group that is already one are not listed. The order puts rare shingles first, by counts in a sample of texts and then, as a sample of one size shows less the more texts there are, by counts in the prefixes that it leads to;
+it decides how many are paired, not what is found.
 
 Where many share one shingle, as edited copies of one text that are below 0.8 among themselves do, they are not paired by it. All of them are compared with one of them, the hub, and go on by what they do not have
 in common with it: sets x and y of p and q shingles that differ from the hub's differ in p + q - 2 c, where c are in both differences. Two that are similar enough and not both linked to the hub have at least
@@ -41,6 +42,8 @@ HUBS = 4
 PART = 1 << 12
 #: Texts whose shingles are counted for the order, and the frequent ones that come last in it: those counted at least OFTEN times.
 SAMPLED, FREQUENT, OFTEN = 20_000, 1 << 16, 3
+#: Prefixes that have a shingle in common which the sample did not show, from which on it goes behind rarer ones; how many shingles do so in a round, at most; and rounds, at most. They decide how many are paired, not what is found.
+MET, LATER, ROUNDS = 8, 1 << 20, 3
 #: Texts that are looked up by one shingle without a hub, and how often differences from a hub are dealt to further hubs. They decide how many are paired, not what is found.
 CROWD, LEVELS = 16, 3
 #: Places of the bitmap that tells which texts are in a pair; where it fills up, more sets are made than are needed.
@@ -133,6 +136,10 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
+def _usual(hashes: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> float:
+    return float(np.count_nonzero(_counted(hashes, frequent, counts))) / max(1, len(hashes))
+
+
 def _keys(words: int, similarity: float, frequent: np.ndarray, counts: np.ndarray):
     def run(batches):
         for b in batches:
@@ -141,14 +148,14 @@ def _keys(words: int, similarity: float, frequent: np.ndarray, counts: np.ndarra
             firsts = [prefix(s, similarity, frequent, counts).view(np.int64) for s in sets]
             longs = pa.list_(pa.int64())
             sketches = pa.array([sketch(s) for s in sets], longs)
-            usual = pa.array([float(np.count_nonzero(_counted(s, frequent, counts))) / max(1, len(s)) for s in sets], pa.float64())
+            usual = pa.array([_usual(s, frequent, counts) for s in sets], pa.float64())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, longs), pa.array([len(s) for s in sets], pa.int32()), pa.array(firsts, longs), sketches, usual], names=["node", "keys", "size", "prefix", "sketch", "usual"])
 
     return run
 
 
 def _frequent(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that a sample of texts has often, sorted, and their counts there; FREQUENT at most."""
+    """Shingles that a sample of texts has often, sorted, and in how many of all texts they are by that; FREQUENT at most."""
 
     def run(batches):
         for b in batches:
@@ -160,24 +167,66 @@ def _frequent(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     got = some.groupBy("shingle").agg(F.count("*").alias("n")).filter(F.col("n") >= OFTEN).orderBy(F.desc("n"), "shingle").limit(FREQUENT).toArrow()
     hashes = got.column("shingle").to_numpy().view(np.uint64)
     order = np.argsort(hashes)
-    return hashes[order], got.column("n").to_numpy()[order]
+    return hashes[order], got.column("n").to_numpy()[order] * share
+
+
+def _prefixes(words: int, similarity: float, wanted: np.ndarray, frequent: np.ndarray, counts: np.ndarray):
+    """Of each text whose place is marked, what _keys has of the order."""
+
+    def run(batches):
+        for b in batches:
+            at = _wanted(b.column(0).to_numpy(), wanted)
+            sets = [np.unique(shingle_hashes(t, words)) for t in b.column(1).take(at).to_pylist()]
+            firsts = pa.array([prefix(s, similarity, frequent, counts).view(np.int64) for s in sets], pa.list_(pa.int64()))
+            usual = pa.array([_usual(s, frequent, counts) for s in sets], pa.float64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), pa.array([len(s) for s in sets], pa.int32()), usual, firsts], names=["node", "size", "usual", "prefix"])
+
+    return run
+
+
+def _by_prefixes(texts: DataFrame, keyed: DataFrame, words: int, similarity: float, frequent: np.ndarray, counts: np.ndarray) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """(node, size, usual, prefix) by an order in which the shingles that MET prefixes or more have in common, and that are not among the frequent, come by their number there; and that order.
+
+    These shingles go back in the order and no other moves, so a prefix without them stays as it is; those with them are made again.
+    """
+    spark = texts.sparkSession
+    light = some = keyed.select("node", "size", "usual", "prefix")
+    for _ in range(ROUNDS):
+        got = some.select(F.explode("prefix").alias("s")).groupBy("s").agg(F.count("*").alias("n")).filter(F.col("n") >= MET).orderBy(F.desc("n"), "s").limit(LATER).toArrow()
+        hashes, n = got.column("s").to_numpy().view(np.uint64), got.column("n").to_numpy()
+        new = ~np.isin(hashes, frequent)
+        if not new.any():
+            break
+        late = spark.createDataFrame(pa.table({"s": hashes[new].view(np.int64)}))
+        moved = light.select("node", F.explode("prefix").alias("s")).join(F.broadcast(late), "s", "left_semi")
+        hashes, n = np.concatenate([frequent, hashes[new]]), np.concatenate([counts, n[new]])
+        order = np.argsort(hashes)
+        frequent, counts = hashes[order], n[order]
+        wanted = _marked(moved.select(F.col("node").alias("a"), F.col("node").alias("b")).distinct())
+        # of a passage that many texts share the next shingles may have come into their prefixes
+        some = stored(texts.mapInArrow(_prefixes(words, similarity, wanted, frequent, counts), "node long, size int, usual double, prefix array<long>"))
+        light = light.join(some.select("node"), "node", "left_anti").unionByName(some)
+    return light, frequent, counts
 
 
 def _place(node):
     return F.pmod(node, F.lit(PLACES))
 
 
+def _wanted(nodes: np.ndarray, wanted: np.ndarray) -> pa.Array:
+    """Where the nodes are whose place is marked."""
+    place = nodes % PLACES
+    return pa.array(np.nonzero(wanted[place >> 3] >> (place & 7).astype(np.uint8) & 1)[0], pa.int64())
+
+
 def _sets(words: int, wanted: np.ndarray):
     """The set of shingles of each text whose place is marked."""
 
     def run(batches):
         for b in batches:
-            nodes = b.column(0).to_numpy()
-            place = nodes % PLACES
-            at = np.nonzero(wanted[place >> 3] >> (place & 7).astype(np.uint8) & 1)[0]
-            texts = b.column(1).take(pa.array(at, pa.int64())).to_pylist()
-            sets = [np.unique(shingle_hashes(t, words)).view(np.int64) for t in texts]
-            yield pa.RecordBatch.from_arrays([pa.array(nodes[at], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+            at = _wanted(b.column(0).to_numpy(), wanted)
+            sets = [np.unique(shingle_hashes(t, words)).view(np.int64) for t in b.column(1).take(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
 
     return run
 
@@ -264,9 +313,9 @@ def _paired(rows: DataFrame, similarity: float) -> DataFrame:
     return both.select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b"))
 
 
-def across(texts: DataFrame, keyed: DataFrame, groups: DataFrame, words: int, similarity: float, frequent: np.ndarray, counts: np.ndarray) -> tuple[DataFrame, DataFrame]:
+def across(texts: DataFrame, prefixes: DataFrame, groups: DataFrame, words: int, similarity: float, frequent: np.ndarray, counts: np.ndarray) -> tuple[DataFrame, DataFrame]:
     """Distinct pairs (a, b) of nodes of different groups (node, root) that may be similar enough, and edges (u, v) to hubs that are. Members of one group are not paired, however many share a shingle."""
-    rows = keyed.select("node", "size", "usual", F.posexplode("prefix").alias("at", "s"))
+    rows = prefixes.select("node", "size", "usual", F.posexplode("prefix").alias("at", "s"))
     # most shingles are of one text: what is left after one shuffle is small
     one = Window.partitionBy("s")
     rows = rows.withColumns({"low": F.min("node").over(one), "high": F.max("node").over(one)}).filter("low != high").drop("low", "high").distinct()
@@ -308,7 +357,8 @@ def similar_pairs(texts: DataFrame, words: int = WORDS, similarity: float = SIMI
     first = mark()
     found = stored(_alike(texts, keyed, candidates(keyed), words, similarity))
     drop_since(texts.sparkSession, first, keep=1)
-    pairs, near = across(texts, keyed, components(found), words, similarity, *order)
+    prefixes, *order = _by_prefixes(texts, keyed, words, similarity, *order)
+    pairs, near = across(texts, prefixes, components(found), words, similarity, *order)
     links = stored(found.unionByName(near).unionByName(_alike(texts, keyed, pairs, words, similarity)))
     drop_since(texts.sparkSession, since, keep=1)
     return links

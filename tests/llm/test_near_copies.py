@@ -191,3 +191,23 @@ def test_differences_from_a_hub_lose_no_similar_sets():
                     common = (n + m - (1 - similarity) / (1 + similarity) * (len(x) + len(y))) / 2
                     assert any(min(n - first_at[int(v)], m - p) >= common - 1e-6 for p, v in enumerate(begin[:reach]) if int(v) in first_at)
     assert apart > 300
+
+
+def test_shingles_that_a_sample_misses_are_not_paired(spark, monkeypatch):
+    """Passages that 30 texts each share and the sample does not show: no join makes many rows of them, and the near copies are found as by all pairs."""
+    rng, rows = random.Random(7), []
+    passages = [[f"p{k}x{j}" for j in range(60)] for k in range(10)]
+    for k in range(300):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(180)]
+        words[40:40] = passages[k % 10]
+        rows.append((2 * k, " ".join(words)))
+        if k % 6 == 0:
+            words[rng.randrange(len(words))] = "edited"
+            rows.append((2 * k + 1, " ".join(words)))
+    monkeypatch.setattr(near_copies, "SAMPLED", 20)
+    monkeypatch.setattr(near_copies, "candidates", lambda *_: spark.createDataFrame([], "a long, b long"))
+    before = spark._jsparkSession.sharedState().statusStore().executionsCount()
+    got = near_copies.keep_representatives(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in got.collect()) == [2 * k for k in range(300)]
+    # an edited copy and its text share some 40 shingles of their prefixes
+    assert max(joined(spark, before)) < 6_000
